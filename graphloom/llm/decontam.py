@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import log
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .util import materialize
 
 SHINGLE = 5
-BLOCK = 8  # postings of a block
+BLOCKS = 32  # ranges of items, each with the best score of every term in it
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,27 +49,34 @@ class Posting:
 
 class Index:
     """Inverted index of items of one length class. A term's score in an item is its BM25 score over the item's
-    score for itself, so a passage that holds the whole item scores 1."""
+    score for itself, so a passage that holds the whole item scores 1. Terms are numbers of `vocab`; items are
+    cut into BLOCKS ranges, and postings are blocked by them."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], k1: float = 1.2, b: float = 0.75) -> None:
         self.ids = [i for i, _ in items]
         self.longest = max(len(w) for _, w in items)
         df = Counter(t for _, w in items for t in set(w))
         mean = sum(len(w) for _, w in items) / len(items)
-        found: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for k, (_, w) in enumerate(items):
             tf = Counter(w)
             raw = {t: log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in tf.items()}
             own = sum(raw.values())
             for t, x in raw.items():
-                found[t].append((k, x / own))
-        self.terms: dict[bytes, int] = {t: n for n, t in enumerate(found)}
-        self.postings = []
-        for p in found.values():
+                found[vocab[t]].append((k, x / own))
+        block = -(-len(items) // BLOCKS)
+        self.postings: dict[int, Posting] = {}
+        self.blocks = np.zeros((len(vocab) + 1, BLOCKS), dtype=np.float32)  # the last row: no term
+        for t, p in found.items():
             ids, sc = [x[0] for x in p], [x[1] for x in p]
-            cut = range(0, len(p), BLOCK)
-            self.postings.append(Posting(ids, sc, max(sc), [ids[min(c + BLOCK, len(p)) - 1] for c in cut], [max(sc[c : c + BLOCK]) for c in cut]))
-        self.tops = np.array([p.top for p in self.postings] + [0.0])  # the last: no term of the index
+            top: dict[int, float] = {}
+            last: dict[int, int] = {}
+            for k, x in p:
+                top[k // block] = max(top.get(k // block, 0.0), x)
+                last[k // block] = k
+            self.postings[t] = Posting(ids, sc, max(sc), list(last.values()), list(top.values()))
+            self.blocks[t, list(top)] = list(top.values())
+        self.tops = self.blocks.max(axis=1).astype(np.float64)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items that score at least threshold for these different terms: block-max WAND."""
@@ -126,34 +134,41 @@ class Matcher:
         self.threshold, self.overlap = threshold, overlap
         kinds: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
         self.parts: dict[int, tuple[set, set]] = {}
+        self.vocab: dict[bytes, int] = {}
         for item, text in items:
             if w := words_of(text):
                 kinds[len(w).bit_length()].append((item, w))
                 q, a = question_and_answer(text)
                 # an answer shorter than a shingle is looked up with the words in front of it
                 self.parts[item] = (shingles(q if len(q) >= SHINGLE else w), shingles(a if len(a) >= SHINGLE else w[-max(SHINGLE, len(a)) :]))
-        self.indexes = [Index(v) for _, v in sorted(kinds.items())]
+                for t in w:
+                    self.vocab.setdefault(t, len(self.vocab))
+        self.indexes = [Index(v, self.vocab) for _, v in sorted(kinds.items())]
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item, best score of a passage, question overlap, answer overlap) of the items that the text holds."""
+        """(item, best score of a passage, question overlap, answer overlap) of the items that the text holds.
+
+        Of a passage's bounds the cheapest comes first: best scores of its words, repeats
+        counted; best scores of its different terms in each range of items; then WAND.
+        """
         words = words_of(text)
         if not words:
             return []
         best: dict[int, float] = {}
+        none, enough = len(self.vocab), self.threshold - 1e-5
+        ids = np.array(list(map(self.vocab.get, words, repeat(none))), dtype=np.int64)
+        at = np.flatnonzero(ids < none)  # words of the index, by place
+        known = ids[at]
         for index in self.indexes:
-            get, none = index.terms.get, len(index.postings)
-            ids = np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
             width, step = 2 * index.longest, index.longest
-            sums = np.r_[0.0, np.cumsum(index.tops[ids])]
+            sums = np.r_[0.0, np.cumsum(index.tops[known])]
             starts = np.arange(0, max(1, len(words) - step), step)
-            upper = sums[np.minimum(starts + width, len(words))] - sums[starts]
-            for s in starts[upper >= self.threshold - 1e-6]:
-                some = np.unique(ids[s : s + width])
-                some = some[some < none]
-                if index.tops[some].sum() >= self.threshold - 1e-6:
-                    for k, score in index.search(some.tolist(), self.threshold):
-                        item = index.ids[k]
-                        best[item] = max(best.get(item, 0.0), score)
+            left, right = np.searchsorted(at, starts), np.searchsorted(at, starts + width)
+            for k in np.flatnonzero(sums[right] - sums[left] >= enough):
+                some = list(set(known[left[k] : right[k]].tolist()))
+                if index.blocks[some].sum(axis=0).max() >= enough:
+                    for n, score in index.search([t for t in some if t in index.postings], self.threshold):
+                        best[index.ids[n]] = max(best.get(index.ids[n], 0.0), score)
         if not best:
             return []
         mine = shingles(words)

@@ -205,9 +205,10 @@ def test_lm_difference_orders_documents_and_matches_plain_losses(spark):
 def test_wand_equals_exhaustive_scoring():
     rng = random.Random(2)
     items = [(k, [f"w{min(rng.randrange(60), rng.randrange(60))}".encode() for _ in range(rng.randint(8, 15))]) for k in range(80)]
-    index = decontam.Index(items)
+    vocab = {t: n for n, t in enumerate(sorted({t for _, w in items for t in w}))}
+    index = decontam.Index(items, vocab)
     for _ in range(300):
-        terms = sorted(rng.sample(range(len(index.postings)), rng.randint(3, 25)))
+        terms = sorted(rng.sample(range(len(vocab)), rng.randint(3, 25)))
         full = Counter()
         for t in terms:
             for k, s in zip(index.postings[t].items, index.postings[t].scores, strict=True):
