@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import has_word, let, materialize, text_or_empty, words_of
+from .util import has_word, let, materialize, small, text_or_empty, words_of
 
 #: Tokens with a digit, urls and e-mail addresses are variable fields.
 VARIABLE = r"[0-9]|://|^www\.|@"
@@ -16,15 +16,16 @@ def masked(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(VARIABLE), F.lit(WILD)).otherwise(w))
 
 
-def leaf_key(tokens: Column, depth: int) -> Column:
-    """The path in the tree: token count, then the leading tokens."""
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), "\x01"))
+def leaf_key(words: Column, depth: int) -> Column:
+    """The path in the tree: token count, then the leading tokens, variable fields masked."""
+    return F.xxhash64(F.size(words), F.array_join(masked(F.slice(words, 1, depth)), "\x01"))
 
 
-def line_table(docs: DataFrame, depth: int) -> DataFrame:
-    """(text_hash, lines: array of (line, leaf)) of each row; lines once each, those without a word left out."""
+def line_table(docs: DataFrame, depth: int | None) -> DataFrame:
+    """text_hash, line_hash, leaf (not without a depth) and line: each line of a row once, those without a word left out."""
     lines = F.array_distinct(F.filter(F.split(text_or_empty(), "\n"), has_word))
-    parsed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line_hash"), let(masked(words_of(x)), lambda t: leaf_key(t, depth)).alias("leaf"), x.alias("line")))
+    leaf = lambda x: [] if depth is None else [let(words_of(x), lambda w: leaf_key(w, depth)).alias("leaf")]
+    parsed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line_hash"), *leaf(x), x.alias("line")))
     return docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), F.inline(parsed))
 
 
@@ -44,8 +45,8 @@ def recurring_lines(docs: DataFrame, depth: int = 4, min_docs: int = 3, share: f
     leaves = materialize(counts.groupBy("leaf").agg(F.sum("texts").alias("leaf_texts")).filter(F.col("leaf_texts") >= min_docs), "leaves")
     busy = materialize(counts.join(leaves, "leaf"), "busylines")
     # one text of each line that is in a busy leaf
-    wanted = busy.select(F.col("line_hash").alias("lh"))
-    lines = materialize(raw.select("line_hash", "line").join(wanted, F.col("line_hash") == F.col("lh"), "left_semi").groupBy("line_hash").agg(F.min("line").alias("line")), "busytexts")
+    wanted = small(materialize(busy.select(F.col("line_hash").alias("lh")), "busyhashes"))  # 8 bytes a row
+    lines = materialize(line_table(docs, None).select("line_hash", "line").join(wanted, F.col("line_hash") == F.col("lh"), "left_semi").groupBy("line_hash").agg(F.min("line").alias("line")), "busytexts")
     lines = lines.join(busy, "line_hash").withColumn("tokens", masked(words_of(F.col("line"))))
     lines = materialize(lines.select("leaf", "line_hash", "texts", "leaf_texts", "tokens"), "busytokens")
     tokens = lines.select("leaf", "texts", "leaf_texts", F.posexplode("tokens").alias("pos", "token"))
@@ -80,7 +81,7 @@ def dedup_lines(docs: DataFrame, depth: int = 4, min_docs: int = 3, share: float
     hashes = F.array_distinct(F.transform(F.filter(F.split(text_or_empty(), "\n"), has_word), lambda x: F.xxhash64(x)))
     uses = docs.select(F.xxhash64(text_or_empty()).alias("th"), F.explode(hashes).alias("line_hash"))
     # few rows a text: only lines to drop; texts that are equal share one list
-    drop = uses.join(found, "line_hash", "left_semi").groupBy("th").agg(F.collect_set("line_hash").alias("drop"))
+    drop = uses.join(small(found), "line_hash", "left_semi").groupBy("th").agg(F.collect_set("line_hash").alias("drop"))
     drop = materialize(drop, "droplists")
     rows = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("th"))
     met = rows.join(drop, "th", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))

@@ -35,6 +35,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """df (as written by materialize) to be broadcast if it has at most `most` rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where lambdas inside body use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
