@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import SPACE_RE, ascii_lower, materialize
+from .util import SPACE_RE, ascii_lower, materialize, small
 
 UNK, START = 0, 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,8 +105,8 @@ class Model:
 def fit_models(docs: DataFrame, targets: DataFrame, vocab_size: int = 32_768, slots: int = 2**20) -> Model:
     """targets: doc_id of the target documents. All rows of docs are counted for the background."""
     vocab = {w: i + 2 for i, w in enumerate(vocabulary(docs, vocab_size))}
-    wanted = materialize(targets.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct(), "targets").withColumn("_t", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left")
+    wanted = materialize(targets.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_t")).filter("_id is not null").distinct(), "targets")
+    marked = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id") == F.col("_id"), "left")
     one, two = pair_counts(marked.select("text", F.coalesce("_t", F.lit(False)).alias("is_target")), vocab, slots)
     return Model(vocab, one, two)
 
