@@ -33,9 +33,12 @@ class TokenFile:
 
 def _widths(diff: np.ndarray, counts: np.ndarray, percentile: float) -> np.ndarray:
     """Bits that the value at the percentile of each block needs (padding, which is at the end, does not count)."""
-    high = np.where(np.arange(BLOCK)[None, :] < counts[:, None], diff, np.iinfo(np.int64).max)
+    high = diff.astype(np.uint32)
+    if counts[-1] < BLOCK:
+        high[-1, counts[-1] :] = np.iinfo(np.uint32).max
     rank = np.minimum(np.maximum(np.ceil(counts * percentile).astype(np.int64) - 1, 0), counts - 1)
-    chosen = np.sort(high, axis=1)[np.arange(len(diff)), rank]
+    high.sort(axis=1)
+    chosen = high[np.arange(len(diff)), rank].astype(np.int64)
     return np.where(chosen > 0, np.floor(np.log2(np.maximum(chosen, 1))).astype(np.int64) + 1, 0)
 
 
@@ -63,8 +66,9 @@ def encode(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, valid: np.
         at = np.flatnonzero(width == w)
         for k in range(0, len(at), 2048):
             some = at[k : k + 2048]
-            bits = ((diff[some][:, :, None] >> np.arange(w)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
+            kind = "<u2" if w <= 16 else "<u4"
+            bits = np.unpackbits(diff[some].astype(kind).view(np.uint8).reshape(len(some), BLOCK, -1), axis=2, bitorder="little")
+            packed = np.packbits(bits[:, :, :w].reshape(len(some), -1), axis=1, bitorder="little")
             body[starts[some][:, None] + np.arange(packed.shape[1])] = packed
     over = diff >> width[:, None]
     row, place = np.nonzero(over)
@@ -111,10 +115,9 @@ def _unpack(data: bytes, parts: tuple, some: np.ndarray) -> np.ndarray:
             mine = at[k : k + 2048]
             packed = raw[o_body + starts[some[mine]].astype(np.int64)[:, None] + np.arange(BLOCK * int(w) // 8)]
             bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(mine), BLOCK, int(w))
-            value = np.zeros((len(mine), BLOCK), dtype=np.int64)
-            for bit in range(int(w)):
-                value |= bits[:, :, bit].astype(np.int64) << bit
-            out[mine] = value
+            full = np.zeros((len(mine), BLOCK, 16 if w <= 16 else 32), dtype=np.uint8)
+            full[:, :, : int(w)] = bits
+            out[mine] = np.packbits(full, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
     a, b = first[some].astype(np.int64), first[some + 1].astype(np.int64)
     row = np.repeat(np.arange(len(some)), b - a)
     which = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]) if len(row) else np.empty(0, np.int64)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +28,21 @@ _ODD = re.compile(r"\s | \s|^ | $")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Latin letters, then ASCII punctuation to the end: two pre-tokens, whatever follows the piece.
+_LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level BPE writes bytes as characters.
+_AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
+
 class WordEncoder:
     """Encodes by pieces cut at single inner spaces, each with its space in front.
 
     Byte-level BPE never joins characters across such a space, so the pieces' ids on end are the
-    text's ids; frequent pieces are encoded once a worker. Texts with a special token's
-    marks are encoded whole.
+    text's ids; frequent pieces are encoded once a worker. Of the others, those of one word
+    go to the tokenizer's model without its pre-tokenizer, and the rest through the whole of
+    it. Texts with a special token's marks, and all texts if the tokenizer is of another
+    kind, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,34 +50,50 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.model = self.tok.model
         self.kind = np.uint16 if self.tok.get_vocab_size(with_added_tokens=True) <= 65_536 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tok.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and spec["model"]["type"] == "BPE"
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _learn(self, k: int, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces (k: 1 with a space in front) that are not known; kept while there is room."""
-        new = [p for p in pieces if p not in self.known[k]]
-        got = {p: np.array(e.ids, dtype=self.kind).tobytes() for p, e in zip(new, self.batch([" " * k + p for p in new], add_special_tokens=False), strict=True)}
-        room = _CACHE - len(self.known[k])
-        if len(got) <= room:
-            self.known[k].update(got)
-            return self.known[k]
-        return {p: self.known[k][p] for p in pieces if p in self.known[k]} | got
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = [None if any(s in t for s in self.special) else _INNER.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        heads = self._learn(0, {c[0] for c in cut if c and c[0]})
-        tails = self._learn(1, {p for c in cut if c for p in c[1:]})
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                ids = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=self.kind)
-            else:
-                ids = np.frombuffer((heads[c[0]] if c[0] else b"") + b"".join([tails[p] for p in c[1:]]), dtype=self.kind)
-            out.append(ids)
+        self.runs: dict[str, list[int]] = {"": []}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, spaced: int, piece: str) -> bytes:
+        """Ids of a piece that is not known; kept while there is room."""
+        if m := _LATIN.fullmatch(piece):
+            core, run = m.groups()
+            if not core.isascii():
+                core = core.encode().decode("latin-1").translate(_AS_CHAR)
+            if (end := self.runs.get(run)) is None:
+                end = self.whole(run)
+                if len(self.runs) < 10_000:
+                    self.runs[run] = end
+            ids = [t.id for t in self.model.tokenize("\u0120" * spaced + core)] + end
+        else:
+            ids = self.whole(" " * spaced + piece)
+        out = array(self.code, ids).tobytes()
+        if len(self.known[spaced]) < _CACHE:
+            self.known[spaced][piece] = out
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_piece or any(s in text for s in self.special):
+            return np.array(self.whole(text), dtype=self.kind)
+        cut = _INNER.split(text) if _ODD.search(text) else text.split(" ")
+        head = cut.pop(0)
+        found = list(map(self.known[1].get, cut))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = self.known[1].get(cut[i]) or self._learn(1, cut[i])
+        first = (self.known[0].get(head) or self._learn(0, head)) if head else b""
+        return np.frombuffer(first + b"".join(found), dtype=self.kind)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
@@ -88,19 +115,6 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def _chunks(b: pa.RecordBatch, most: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for d, t in zip(b.column(0), b.column(1), strict=True):
-        ids.append(d.as_py())
-        texts.append(t.as_py() or "")
-        size += len(texts[-1])
-        if size > most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write docs' ids as files in folder; returns the files: part, k, path, n_docs, n_ids.
 
@@ -125,15 +139,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
 
         schema = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         for b in batches:
-            for some, texts in _chunks(b):
-                for d, x in zip(some, enc.encode(texts), strict=True):
-                    ids += [x, end]
-                    lengths.append(len(x) + 1)
-                    names.append(d)
-                    held += len(x) + 1
-                    if held >= FILE_IDS:
-                        yield flush()
-                        ids, lengths, names, held, k = [], [], [], 0, k + 1
+            for d, t in zip(b.column(0), b.column(1), strict=True):
+                x = enc.encode(t.as_py())
+                ids += [x, end]
+                lengths.append(len(x) + 1)
+                names.append(d.as_py())
+                held += len(x) + 1
+                if held >= FILE_IDS:
+                    yield flush()
+                    ids, lengths, names, held, k = [], [], [], 0, k + 1
         if names:
             yield flush()
 

@@ -139,9 +139,11 @@ def test_word_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(tokens, "_CACHE", 5)
     enc = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     for _ in range(2):
-        for t in (prose(1, 80), prose(2, 80), ""):
-            assert enc.encode([t])[0].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        for t in (prose(1, 80), prose(2, 80), "", "Don't, \"quote\"!! ça-va Ünï... x2 _a_ it's's", "\u00e9t\u00e9\u0301 \u03b1\u03b2 \u4f60\u597d \xad\xa0z ,"):
+            assert enc.encode(t).tolist() == enc.tok.encode(t, add_special_tokens=False).ids
     assert len(enc.known[1]) <= 5
+    other = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.encode("Some  Words here").tolist() == other.tok.encode("Some  Words here", add_special_tokens=False).ids
 
 
 def labelled(spark):
