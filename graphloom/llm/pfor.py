@@ -114,10 +114,15 @@ def _unpack(data: bytes, parts: tuple, some: np.ndarray) -> np.ndarray:
         for k in range(0, len(at), 2048):
             mine = at[k : k + 2048]
             packed = raw[o_body + starts[some[mine]].astype(np.int64)[:, None] + np.arange(BLOCK * int(w) // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(mine), BLOCK, int(w))
-            full = np.zeros((len(mine), BLOCK, 16 if w <= 16 else 32), dtype=np.uint8)
-            full[:, :, : int(w)] = bits
-            out[mine] = np.packbits(full, axis=2, bitorder="little").view("<u2" if w <= 16 else "<u4")[:, :, 0]
+            # each value lies in at most five bytes from the one that holds its first bit
+            at_bit = np.arange(BLOCK) * int(w)
+            byte, shift = at_bit >> 3, (at_bit & 7).astype(np.uint64)
+            packed = np.pad(packed, ((0, 0), (0, 5)))
+            kind = np.uint32 if w <= 24 else np.uint64
+            value = packed[:, byte].astype(kind)
+            for n in range(1, (int(w) + 14) // 8):
+                value |= packed[:, byte + n].astype(kind) << kind(8 * n)
+            out[mine] = (value >> shift.astype(kind)) & kind((1 << int(w)) - 1)
     a, b = first[some].astype(np.int64), first[some + 1].astype(np.int64)
     row = np.repeat(np.arange(len(some)), b - a)
     which = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)]) if len(row) else np.empty(0, np.int64)

@@ -23,8 +23,7 @@ from .util import materialize, scratch_path
 
 #: Ids of one file at most (but for a longer document), held in memory while it is written.
 FILE_IDS = 2_000_000
-_CACHE = 1_000_000
-_ODD = re.compile(r"\s | \s|^ | $")
+_CACHE = 1_500_000  # pieces a worker keeps: some 300 MB
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -38,8 +37,8 @@ _AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(
 class WordEncoder:
     """Encodes by pieces cut at single inner spaces, each with its space in front.
 
-    Byte-level BPE never joins characters across such a space, so the pieces' ids on end are the
-    text's ids; frequent pieces are encoded once a worker. Of the others, those of one word
+    Byte-level BPE never joins characters across a space that has white space on one side at
+    most, so the pieces' ids on end are the text's ids; frequent pieces are encoded once a worker. Of the others, those of one word
     go to the tokenizer's model without its pre-tokenizer, and the rest through the whole of
     it. Texts with a special token's marks, and all texts if the tokenizer is of another
     kind, are encoded whole.
@@ -84,12 +83,16 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         if not self.by_piece or any(s in text for s in self.special):
             return np.array(self.whole(text), dtype=self.kind)
-        cut = _INNER.split(text) if _ODD.search(text) else text.split(" ")
+        cut = text.split(" ")
         head = cut.pop(0)
         found = list(map(self.known[1].get, cut))
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
+                    if not cut[i] or cut[i][0].isspace():  # white space on both sides of a cut
+                        head, *cut = _INNER.split(text)
+                        found = [self.known[1].get(p) or self._learn(1, p) for p in cut]
+                        break
                     found[i] = self.known[1].get(cut[i]) or self._learn(1, cut[i])
         first = (self.known[0].get(head) or self._learn(0, head)) if head else b""
         return np.frombuffer(first + b"".join(found), dtype=self.kind)
@@ -139,11 +142,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
 
         schema = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         for b in batches:
-            for d, t in zip(b.column(0), b.column(1), strict=True):
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 x = enc.encode(t.as_py())
                 ids += [x, end]
                 lengths.append(len(x) + 1)
-                names.append(d.as_py())
+                names.append(d)
                 held += len(x) + 1
                 if held >= FILE_IDS:
                     yield flush()
