@@ -48,7 +48,8 @@ def statistics(rows: DataFrame, keep: list[str]) -> DataFrame:
         "line_words": F.col("n") / F.greatest("lines.all", F.lit(1)),
         "repeat_share": per_word(F.col("repeats")),
     }
-    return rows.select(*keep, *[F.coalesce(found[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
+    # a generator: no filter or projection over it is merged into it, so each statistic is computed once a row
+    return rows.select(*keep, F.inline(F.array(F.struct(*[F.coalesce(found[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES]))))
 
 
 #: A rule: (feature, above the value or not, value) for each of its conditions.
