@@ -169,16 +169,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one whose doc_id names it (of rows with that id, the first by text)."""
-    met = simhash_components(docs)
-    keep = materialize(met.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "keepers")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = row.join(keep, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
-    return one_per_id(kept).select("row.*")
-
+    """docs with one row of each component: the one whose doc_id names it (of rows with that id, the first by text).
 
-def one_per_id(rows: DataFrame) -> DataFrame:
-    """rows (row, id) with the least row of each id; ids that stand once pass without moving their texts."""
-    text = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
-    marked = rows.select("row", "id", text.alias("th"), F.monotonically_increasing_id().alias("place"))
-    return marked.groupBy("id").agg(F.min_by("row", F.struct("th", "place")).alias("row"))
+    Texts move once: rows meet the kept ids by a shuffle on the id at every size, and rows that share an
+    id are then in one partition already.
+    """
+    met = simhash_components(docs)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("key")
+    keep = materialize(met.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id")).distinct(), "keepers")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key("doc_id"))
+    kept = row.join(keep.hint("merge"), "key", "left_semi")
+    marked = kept.select("key", "row", F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("th"), F.monotonically_increasing_id().alias("place"))
+    return marked.groupBy("key").agg(F.min_by("row", F.struct("th", "place")).alias("row")).select("row.*")
