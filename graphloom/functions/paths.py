@@ -20,7 +20,7 @@ SOURCE_EXTENSIONS = (
     ".md", ".mdx", ".txt", ".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd",
     ".xml", ".gradle", ".mod", ".sum",
 )
-SOURCE_BASENAMES = ("dockerfile", "makefile", "jenkinsfile", "go.mod", "go.sum")
+SOURCE_BASENAMES = ("Dockerfile", "Makefile", "Procfile", "go.mod", "go.work")
 # Files that are never read.
 BLOCKED_BASENAMES = (
     ".env", ".env.local", ".env.production", ".env.development", ".npmrc", ".pypirc",
@@ -81,7 +81,7 @@ def is_blocked(path: Column) -> Column:
 
 
 def is_likely_source(path: Column) -> Column:
-    p, base = slashes(path), F.lower(basename(path))
+    p, base = slashes(path), basename(path)
     built = p.rlike(r"^(dist|build|coverage|target)/") | F.lower(p).endswith(".min.js") | F.lower(p).endswith(".map")
     return ~is_blocked(path) & ~built & (extension(path).isin(*SOURCE_EXTENSIONS) | base.isin(*SOURCE_BASENAMES))
 
@@ -102,11 +102,11 @@ def path_multiplier(path: Column, terms: list[str]) -> Column:
 
 def is_page_like(path: Column) -> Column:
     p = F.lower(slashes(path))
-    return p.endswith(".vue") | p.rlike(r"(^|/)(pages|views)/")
+    return p.rlike(r"(^|/)(views?|pages?)(/|$)") | p.rlike(r"(view|page)\.vue$")
 
 
 def is_api_module(path: Column) -> Column:
-    return F.lower(slashes(path)).rlike(r"(^|/)(api|apis|services?)(/|\.[cm]?[jt]sx?$)")
+    return F.lower(slashes(path)).rlike(r"(^|/)api(/|$)")
 
 
 def is_config(path: Column) -> Column:

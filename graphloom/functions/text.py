@@ -77,10 +77,8 @@ def token_estimate(n_bytes: Column) -> Column:
 
 
 def route_shape(path: Column) -> Column:
-    """A route without query and trailing slash, its {parameters} and :parameters nameless."""
-    p = F.regexp_replace(path, r"[?#].*$", "")
-    p = F.regexp_replace(p, r"\{[^/{}]+\}", "{}")
-    return F.when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p)
+    """A route without query and fragment, its {parameters} nameless."""
+    return F.regexp_replace(F.regexp_replace(path, r"[?#].*$", ""), r"\{[^/{}]+\}", "{}")
 
 
 def normalize_client_path(url: Column) -> Column:

@@ -1,9 +1,12 @@
 """All registered queries of the engine."""
 
+from . import freshness, graph, joins, retrieval, scan, telemetry  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
