@@ -38,7 +38,8 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        rest = {n: b.column(n) for n in b.schema.names[2:]}
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps.view(np.int64)), *rest.values()], ["doc_id", "fp", *rest])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -169,15 +170,21 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one whose doc_id names it (of rows with that id, the first by text).
+    """docs with one row of each component: of the least doc_id (nulls last), of rows with that id the first by text.
 
-    Texts move once: rows meet the kept ids by a shuffle on the id at every size, and rows that share an
-    id are then in one partition already.
+    Rows are told apart by doc_id and text, so components whose least ids are null or equal keep a row each.
+    Texts move once: rows meet the kept ids by a shuffle on id and text hash at every size.
     """
-    met = simhash_components(docs)
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("key")
-    keep = materialize(met.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id")).distinct(), "keepers")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key("doc_id"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    base = materialize(marked.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "fingerprints")
+    nodes = materialize(connected_components(fingerprint_links(base.select("fp").distinct())), "fpcomponents")
+    met = base.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    keep = met.groupBy("component").agg(F.min(order).alias("first"))
+    key = lambda d, t: F.concat_ws(" ", F.coalesce(F.col(d).cast("string"), F.lit("null")), t).alias("key")
+    keep = materialize(keep.select(key("first.doc_id", F.col("first.th").cast("string"))).distinct(), "keepers")
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key("doc_id", th.cast("string")))
     kept = row.join(keep.hint("merge"), "key", "left_semi")
-    marked = kept.select("key", "row", F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("th"), F.monotonically_increasing_id().alias("place"))
-    return marked.groupBy("key").agg(F.min_by("row", F.struct("th", "place")).alias("row")).select("row.*")
+    marked = kept.select("key", "row", F.monotonically_increasing_id().alias("place"))
+    return marked.groupBy("key").agg(F.min_by("row", "place").alias("row")).select("row.*")
