@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,20 +19,23 @@ from .util import materialize
 
 SHINGLE = 5
 BLOCKS = 32  # ranges of items, each with the best score of every term in it
+_WORD, _ASKS = re.compile(r"\w+"), re.compile(r"\?(?=\s|$)")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits, lower-cased: punctuation at, in or between words is no matter."""
+    return _WORD.findall((text or "").lower())
 
 
-def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """An item's words, cut after its question: at the first word that ends in '?', else before its last quarter."""
+def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
+    """An item's words, cut after its question: at the first '?' that ends a word, else before its last quarter."""
+    if cut := _ASKS.search(text or ""):
+        return words_of(text[: cut.end()]), words_of(text[cut.end() :])
     w = words_of(text)
-    at = next((i + 1 for i, x in enumerate(w) if x.endswith(b"?")), len(w) - len(w) // 4)
-    return w[:at], w[at:]
+    return w[: len(w) - len(w) // 4], w[len(w) - len(w) // 4 :]
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+def shingles(words: list[str]) -> set[tuple[str, ...]]:
     """Runs of five words; of a shorter sequence the whole."""
     if not words:
         return set()
@@ -52,7 +56,7 @@ class Index:
     score for itself, so a passage that holds the whole item scores 1. Terms are numbers of `vocab`; items are
     cut into BLOCKS ranges, and postings are blocked by them."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], vocab: dict[bytes, int], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]], vocab: dict[str, int], k1: float = 1.2, b: float = 0.75) -> None:
         self.ids = [i for i, _ in items]
         self.longest = max(len(w) for _, w in items)
         df = Counter(t for _, w in items for t in set(w))
@@ -132,15 +136,15 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str | None]], threshold: float, overlap: float) -> None:
         self.threshold, self.overlap = threshold, overlap
-        kinds: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
-        self.parts: dict[int, tuple[set, set]] = {}
-        self.vocab: dict[bytes, int] = {}
+        kinds: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+        self.parts: dict[int, tuple[set, set, set, bool]] = {}
+        self.vocab: dict[str, int] = {}
         for item, text in items:
             if w := words_of(text):
                 kinds[len(w).bit_length()].append((item, w))
                 q, a = question_and_answer(text)
                 # an answer shorter than a shingle is looked up with the words in front of it
-                self.parts[item] = (shingles(q if len(q) >= SHINGLE else w), shingles(a if len(a) >= SHINGLE else w[-max(SHINGLE, len(a)) :]))
+                self.parts[item] = (shingles(q if len(q) >= SHINGLE else w), shingles(a if len(a) >= SHINGLE else w[-max(SHINGLE, len(a)) :]), shingles(w), bool(a) and bool(_ASKS.search(text)))
                 for t in w:
                     self.vocab.setdefault(t, len(self.vocab))
         self.indexes = [Index(v, self.vocab) for _, v in sorted(kinds.items())]
@@ -174,14 +178,17 @@ class Matcher:
         mine = shingles(words)
         out = []
         for item, score in best.items():
-            q, a = self.parts[item]
+            q, a, whole, asks = self.parts[item]
             have = lambda s: sum(self._has(x, words, mine) for x in s) / len(s)
-            if (qo := have(q)) >= self.overlap and (ao := have(a)) >= self.overlap:
+            qo, ao = have(q), have(a)
+            # of an item that asks, the answer too must be there, but for the shingles that one changed word breaks
+            answered = not asks or (ao > 0 and (1 - ao) * len(a) <= SHINGLE)
+            if min(qo, ao) >= self.overlap or (answered and have(whole) >= self.overlap):
                 out.append((item, score, qo, ao))
         return out
 
     @staticmethod
-    def _has(run: tuple[bytes, ...], words: list[bytes], mine: set) -> bool:
+    def _has(run: tuple[str, ...], words: list[str], mine: set) -> bool:
         if len(run) == SHINGLE:
             return run in mine
         return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
@@ -203,7 +210,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     Every document is cut into passages of twice the longest item of a length class, half
     over each other, and each passage is a query: all items that score at least `threshold` of
     their own score are retrieved and then verified on the whole document: `overlap` of the
-    question's and of the answer's five-word shingles must occur in it. Null and empty texts hold
+    question's and of the answer's five-word shingles must occur in it, or of the whole item's (of an item with a
+    question mark then all of the answer's but those one word breaks). Null and empty texts hold
     and are held by nothing; null item ids are left out; of items that repeat one counts;
     rows that repeat are reported each; other columns are ignored; empty tables give an
     empty one. The index goes out in parts of bounded size, one pass over docs for each.
