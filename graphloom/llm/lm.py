@@ -1,136 +1,252 @@
-"""Cross-entropy difference of a target and a background n-gram model over one vocabulary."""
+"""Cross-entropy difference of a target and a background bigram model, by exact counts of every word and pair."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import SPACE_RE, ascii_lower, materialize, small
+from .util import materialize, small
 
-UNK, START = 0, 1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+WEIGHT = 8.0
+#: The key of the start sign; words hold no space.
+START = np.uint64(xxhash.xxh64_intdigest(b" "))
+#: Tokens of one pack, and mean keys of one range of keys.
+PACK, RANGE = 1_000_000, 2_000_000
 
 
-def word_ids(text: str | None, vocab: dict[bytes, int]) -> np.ndarray:
-    """Ids of a text's lower-cased words after the start sign; words outside the vocabulary share one id."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    get = vocab.get
-    return np.fromiter((get(w, UNK) for w in words), dtype=np.int64, count=len(words))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pair_slots(ids: np.ndarray, slots: int) -> np.ndarray:
-    """Where the counts of each word after the one before it lie."""
-    before = np.r_[START, ids[:-1]].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = (before << np.uint64(32) | ids.astype(np.uint64)) * _MIX
-    return (h >> np.uint64(40)).astype(np.int64) % slots
+def squeeze(a: np.ndarray) -> bytes:
+    """The array's bytes by significance, compressed, behind their number."""
+    raw = np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The `size` most frequent words of all documents (ties by word); counts are combined before the shuffle."""
-    words = docs.select(F.explode(F.split(ascii_lower_fast(), SPACE_RE)).alias("w")).filter("w != ''")
-    top = words.groupBy("w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(size)
-    return [r.w.encode() for r in top.select("w").collect()]  # `size` words at most
+def spread(data: bytes, kind: type) -> np.ndarray:
+    size, item = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(item, -1).T).view(kind).reshape(-1)
 
 
-def ascii_lower_fast():
-    """Lower case of A-Z alone: lower() for text that is all ASCII, else letter by letter."""
-    t = F.coalesce("text", F.lit(""))
-    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(ascii_lower(t))
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, which np.cumsum undoes."""
+    return np.r_[keys[:1], np.diff(keys)]
 
 
-def pair_counts(docs: DataFrame, vocab: dict[bytes, int], slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (2, words) and (2, slots) of background (all rows) and target (rows with is_target), over the whole corpus.
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of word keys."""
+    x = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (word + np.uint64(0x632BE59BD9B4E019))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    Each task sums what it reads into arrays of that bounded size; their sums by place are
-    all that reaches the driver.
-    """
-    spark, n = docs.sparkSession, len(vocab) + 2
-    known = spark.sparkContext.broadcast(vocab)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, words = np.zeros((2, n), np.int64), np.zeros((2, slots), np.int64), known.value
-        for b in batches:
-            for target in (False, True):
-                texts = [t.as_py() for t, k in zip(b.column(0), b.column(1), strict=True) if k.as_py() or not target]
-                ids = [i for t in texts if len(i := word_ids(t, words))]
-                if ids:
-                    one[int(target)] += np.bincount(np.concatenate(ids), minlength=n)
-                    one[int(target), START] += len(ids)
-                    two[int(target)] += np.bincount(np.concatenate([pair_slots(i, slots) for i in ids]), minlength=slots)
-        for kind, table in ((0, one), (1, two)):
-            at = np.flatnonzero(table[0])
-            for k in range(0, len(at), 100_000):
-                some = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind), pa.int32()), pa.array(some), pa.array(table[0, some]), pa.array(table[1, some])], ["kind", "place", "bg", "tg"])
-
-    rows = docs.select("text", "is_target").mapInArrow(run, "kind int, place long, bg long, tg long")
-    rows = materialize(rows.groupBy("kind", "place").agg(F.sum("bg").alias("bg"), F.sum("tg").alias("tg")), "ngrams")
-    one, two = np.zeros((2, n)), np.zeros((2, slots))
-    got = rows.toArrow()  # at most len(vocab) + 2 + slots rows
-    kind, place = got["kind"].to_numpy(), got["place"].to_numpy()
-    for out, k in ((one, 0), (two, 1)):
-        at = kind == k
-        out[0, place[at]], out[1, place[at]] = got["bg"].to_numpy()[at], got["tg"].to_numpy()[at]
-    known.unpersist()
-    return one, two
+def bits(pair: np.ndarray, before: np.ndarray, word: np.ndarray, tokens: np.ndarray, n_words: int) -> np.ndarray:
+    """Bits of tokens under (background, target) by counts (2, n) of pair, word before and word.
 
+    Interpolated bigrams; the background's counts are scaled to the target's size.
+    """
+    scale = np.array([tokens[1] / tokens[0] if tokens[0] and tokens[1] else 1.0, 1.0])[:, None]
+    pair, before, word, size = pair * scale, before * scale, word * scale, tokens[:, None] * scale
+    alone = (word + 0.5) / (size + 0.5 * (n_words + 2))
+    return -np.log2((pair + WEIGHT * alone) / (np.maximum(before, pair) + WEIGHT))
+
+
+class Pack:
+    """Documents of about PACK tokens together: token places in the pack's sorted word keys, and which are targets."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> None:
+        self.words, self.tokens, self.lengths = words, tokens.astype(np.int64), lengths
+        self.of = np.repeat(np.arange(len(lengths)), lengths)
+        self.target = target
+        self.before = np.r_[0, self.tokens[:-1]] if len(tokens) else self.tokens
+        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        self.before[starts] = np.searchsorted(words, START)
+
+    def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts (2, n); the start sign's is the number of documents with words."""
+        n, hit = len(self.words), self.target[self.of]
+        c = np.array([np.bincount(self.tokens, minlength=n), np.bincount(self.tokens[hit], minlength=n)])
+        full = self.lengths > 0
+        c[:, np.searchsorted(self.words, START)] = full.sum(), (full & self.target).sum()
+        return self.words, c
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = self.pairs()
+        return keys, np.array([np.bincount(at, minlength=len(keys)), np.bincount(at[self.target[self.of]], minlength=len(keys))])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_pairs(self.words[self.before], self.words[self.tokens]), return_inverse=True)
+
+
+_PACKED = "pack long, n long, n_target long, ids binary, known binary, target binary, lengths binary, words binary, tokens binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    serial = TaskContext.get().partitionId() << 32
+
+    def out(ids: list, target: list, keys: list[np.ndarray]) -> pa.RecordBatch:
+        nonlocal serial
+        lengths = np.array([len(k) for k in keys], dtype=np.int64)
+        words, at = np.unique(np.concatenate([np.array([START]), *keys]), return_inverse=True)
+        marks = np.array(target, dtype=bool)
+        data = [np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids]), marks, lengths, _steps(words), at[1:].astype(np.uint32)]
+        row = [serial, int(lengths.sum()), int(lengths[marks].sum()), *[squeeze(x) for x in data]]
+        serial += 1
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 6
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
+
+    ids, target, keys, size = [], [], [], 0
+    for b in batches:
+        for d, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            w = words_of(text.as_py())
+            ids.append(d)
+            target.append(t)
+            keys.append(np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w)))
+            size += len(w) + 1
+            if size >= PACK:
+                yield out(ids, target, keys)
+                ids, target, keys, size = [], [], [], 0
+    if ids:
+        yield out(ids, target, keys)
+
+
+def _unpack(target: bytes, lengths: bytes, words: bytes, tokens: bytes) -> Pack:
+    return Pack(np.cumsum(spread(words, np.uint64)), spread(tokens, np.uint32), spread(lengths, np.int64), spread(target, np.bool_))
+
+
+def _totals(packs: DataFrame, counts: Callable[[Pack], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
+    """pack, part, keys, data: for each pack and range of keys, the whole corpus's counts (2, n) of the pack's keys, in their order.
+
+    The first row of a range, of pack -1, holds the number of its different keys. A pack sends each of its keys once to the
+    key's range; the number of ranges grows with the tokens, so that a range stays of one size.
+    """
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
 
-class Model:
-    """Interpolated bigram probabilities of both models; the background's counts are scaled to the target's size."""
-
-    def __init__(self, vocab: dict[bytes, int], one: np.ndarray, two: np.ndarray, weight: float = 8.0) -> None:
-        self.vocab, self.slots, self.weight = vocab, two.shape[1], weight
-        tokens = one.sum(axis=1) - one[:, START]
-        scale = np.array([tokens[1] / tokens[0] if tokens[0] and tokens[1] else 1.0, 1.0])
-        self.one, self.two = (one * scale[:, None]).astype(np.float32), (two * scale[:, None]).astype(np.float32)
-        words = self.one.copy()
-        words[:, START] = 0
-        self.words = ((words + 0.5) / (words + 0.5).sum(axis=1, keepdims=True)).astype(np.float32)
-
-    def losses(self, text: str | None) -> np.ndarray:
-        """Bits of each token under (background, target)."""
-        ids = word_ids(text, self.vocab)
-        if not len(ids):
-            return np.zeros((2, 0))
-        before, at = np.r_[START, ids[:-1]], pair_slots(ids, self.slots)
-        p = (self.two[:, at] + self.weight * self.words[:, ids]) / (np.maximum(self.one[:, before], self.two[:, at]) + self.weight)
-        return -np.log2(p)
-
-
-def fit_models(docs: DataFrame, targets: DataFrame, vocab_size: int = 32_768, slots: int = 2**20) -> Model:
-    """targets: doc_id of the target documents. All rows of docs are counted for the background."""
-    vocab = {w: i + 2 for i, w in enumerate(vocabulary(docs, vocab_size))}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, *data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                keys, c = counts(_unpack(*data))
+                at = np.r_[0, np.searchsorted(keys, edges), len(keys)]
+                some = np.flatnonzero(np.diff(at))
+                rows = [squeeze(_steps(keys[at[p] : at[p + 1]])) for p in some]
+                sums = [squeeze(c[:, at[p] : at[p + 1]].astype(np.int32)) for p in some]
+                cols = [pa.array(np.full(len(some), k)), pa.array(some, pa.int64()), pa.array(rows, pa.binary()), pa.array(sums, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["pack", "part", "data", "counts"])
+
+    def total(part: int, packs: list[int], data: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        some = [np.cumsum(spread(x, np.uint64)) for x, _ in data]
+        sizes, keys = [len(x) for x in some], np.concatenate(some)
+        c = np.concatenate([spread(x, np.int32).reshape(2, -1) for _, x in data], axis=1)
+        keys, at = np.unique(keys, return_inverse=True)
+        sums = np.array([np.bincount(at, weights=x) for x in c]).astype(np.int64)
+        back = np.split(at, np.cumsum(sizes)[:-1])
+        rows = [b"", *[squeeze(sums[:, a]) for a in back]]
+        cols = [[-1, *packs], [part] * len(rows), [len(keys)] + [0] * len(packs)]
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(rows, pa.binary())], ["pack", "part", "keys", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, packs, data = None, [], []
+        for b in batches:
+            for k, p, *x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if p != part and packs:
+                    yield total(part, packs, data)
+                    packs, data = [], []
+                part = p
+                packs.append(k)
+                data.append(x)
+        if packs:
+            yield total(part, packs, data)
+
+    schema = "pack long, part long, data binary, counts binary"
+    sent = packs.select("pack", "target", "lengths", "words", "tokens").mapInArrow(cut, schema)
+    return sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(add, "pack long, part long, keys long, data binary")
+
+
+def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = materialize(targets.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_t")).filter("_id is not null").distinct(), "targets")
-    marked = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id") == F.col("_id"), "left")
-    one, two = pair_counts(marked.select("text", F.coalesce("_t", F.lit(False)).alias("is_target")), vocab, slots)
-    return Model(vocab, one, two)
+    met = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id") == F.col("_id"), "left")
+    return met.select(F.col("doc_id").cast("long"), "text", F.coalesce("_t", F.lit(False)).alias("is_target"))
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, vocab_size: int = 32_768, slots: int = 2**20) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and ce_diff (mean bits a token; lower: nearer to the target).
 
-    The models share the vocabulary (the vocab_size most frequent words of all documents),
-    their order, their smoothing and, by scaling, their size; pair counts lie in `slots` places
-    by hash. Null and empty texts have no tokens and losses 0; without targets the
-    target model is the smoothing alone; repeated rows count and are scored each; other
-    columns are ignored; an empty table gives an empty one.
+    targets: doc_id of the target documents; all rows of docs are counted for the background. Every word and pair
+    counts for itself (by 64-bit keys), whatever the size: packs of documents send their different keys to ranges
+    of keys and get the whole corpus's counts back, so no task or driver holds a table of all. The models
+    share their words, their order, their smoothing and, by scaling, their size. Null and empty texts have no
+    tokens and losses 0; without targets the target model is the smoothing alone; repeated rows count and are
+    scored each; other columns are ignored; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_models(docs, targets, vocab_size, slots))
+    spark = docs.sparkSession
+    packs = materialize(_marked(docs, targets).mapInArrow(_pack, _PACKED), "packs")
+    n, n_target = packs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    tokens, ranges = np.array([n, n_target], dtype=np.float64), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    words = materialize(_totals(packs, Pack.word_counts, ranges), "wordtotals")
+    n_words = (words.agg(F.sum("keys")).first()[0] or 1) - 1  # the start sign is no word
+    pairs = _totals(packs, Pack.pair_counts, ranges)
+
+    def score(ids: bytes, known: bytes, pack: Pack, word: list[bytes], pair: list[bytes]) -> pa.RecordBatch:
+        word, pair = (np.concatenate([spread(x, np.int64).reshape(2, -1) for x in c], axis=1) if c else np.zeros((2, 0)) for c in (word, pair))
+        _, at = pack.pairs()
+        x = bits(pair[:, at], word[:, pack.before], word[:, pack.tokens], tokens, n_words)
+        size = len(pack.lengths)
+        mean = np.array([np.bincount(pack.of, weights=w, minlength=size) for w in x]) / np.maximum(pack.lengths, 1)
+        doc = pa.array(spread(ids, np.int64), mask=~spread(known, np.bool_))
+        cols = [doc, pa.array(pack.lengths), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        """Of each pack its counts come first, by kind and range, then itself."""
+        got: tuple[list[bytes], list[bytes]] = ([], [])
         for b in batches:
-            n, means = [], []
-            for t in b.column(1):
-                x = model.losses(t.as_py())
-                n.append(x.shape[1])
-                means.append([0.0, 0.0, 0.0] if not n[-1] else [*x.mean(axis=1), (x[1] - x[0]).mean()])
-            m = np.array(means, dtype=np.float64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(m[:, 1]), pa.array(m[:, 0]), pa.array(m[:, 2])], ["doc_id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, ce_diff double")
+            for k in range(b.num_rows):
+                kind, data, *rest = (c[k].as_py() for c in b.columns)
+                if kind < 2:
+                    got[kind].append(data)
+                else:
+                    yield score(rest[0], rest[1], _unpack(*rest[2:]), *got)
+                    got = ([], [])
+
+    cols = ["ids", "known", "target", "lengths", "words", "tokens"]
+    none = [F.lit(None).cast("binary").alias(c) for c in cols]
+    parts = [t.filter("pack >= 0").select("pack", F.lit(k).alias("kind"), "part", "data", *none) for k, t in enumerate((words, pairs))]
+    whole = packs.select("pack", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("binary").alias("data"), *cols)
+    rows = parts[0].unionByName(parts[1]).unionByName(whole).repartition(ranges, "pack")
+    rows = rows.sortWithinPartitions("pack", "kind", "part").select("kind", "data", *cols)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, ce_diff double")
+
+
+class Model:
+    """The models of a small table in one process, by the words themselves: a plain form of what the packs count."""
+
+    def __init__(self, rows: list[tuple[str | None, bool]]) -> None:
+        texts = [(w, t) for text, t in rows if (w := words_of(text))]
+        self.vocab = {w: i + 1 for i, w in enumerate(sorted({x for w, _ in texts for x in w}))}
+        self.one, self.two = np.zeros((2, len(self.vocab) + 1)), [Counter(), Counter()]
+        for w, t in texts:
+            for k in range(1 + t):
+                ids = [0, *map(self.vocab.get, w)]
+                np.add.at(self.one[k], ids, 1)
+                self.two[k].update(zip(ids, ids[1:], strict=False))
+        self.tokens = self.one[:, 1:].sum(axis=1)
+
+    def losses(self, text: str | None) -> np.ndarray:
+        """Bits of each token under (background, target); all words of text are known."""
+        ids = [0, *map(self.vocab.get, words_of(text))]
+        pair = np.array([[c[p] for p in zip(ids, ids[1:], strict=False)] for c in self.two], dtype=np.float64)
+        return bits(pair, self.one[:, ids[:-1]], self.one[:, ids[1:]], self.tokens, len(self.vocab))
+
+
+def fit_models(docs: DataFrame, targets: DataFrame) -> Model:
+    """The models as one object, for tables that fit on the driver."""
+    return Model([(r.text, r.is_target) for r in _marked(docs, targets).collect()])
