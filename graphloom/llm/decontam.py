@@ -134,12 +134,13 @@ class Index:
 class Matcher:
     """Indexes by length class (items of 2**k to 2**(k+1) words), and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str | None]], threshold: float, overlap: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float, overlap: float) -> None:
         self.threshold, self.overlap = threshold, overlap
         kinds: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
         self.parts: dict[int, tuple[set, set, set, bool]] = {}
         self.vocab: dict[str, int] = {}
-        for item, text in items:
+        self.names = [i for i, _ in items]
+        for item, (_, text) in enumerate(items):  # by row: an id may stand on several texts
             if w := words_of(text):
                 kinds[len(w).bit_length()].append((item, w))
                 q, a = question_and_answer(text)
@@ -149,8 +150,8 @@ class Matcher:
                     self.vocab.setdefault(t, len(self.vocab))
         self.indexes = [Index(v, self.vocab) for _, v in sorted(kinds.items())]
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item, best score of a passage, question overlap, answer overlap) of the items that the text holds.
+    def matches(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
+        """(item, best score of a passage, question overlap, answer overlap) of the items that the text holds; of an id's several texts the best.
 
         Of a passage's bounds the cheapest comes first: best scores of its words, repeats
         counted; best scores of its different terms in each range of items; then WAND.
@@ -176,7 +177,7 @@ class Matcher:
         if not best:
             return []
         mine = shingles(words)
-        out = []
+        out: dict[int | None, tuple[float, float, float]] = {}
         for item, score in best.items():
             q, a, whole, asks = self.parts[item]
             have = lambda s: sum(self._has(x, words, mine) for x in s) / len(s)
@@ -184,8 +185,9 @@ class Matcher:
             # of an item that asks, the answer too must be there, but for the shingles that one changed word breaks
             answered = not asks or (ao > 0 and (1 - ao) * len(a) <= SHINGLE)
             if min(qo, ao) >= self.overlap or (answered and have(whole) >= self.overlap):
-                out.append((item, score, qo, ao))
-        return out
+                name = self.names[item]
+                out[name] = max(out.get(name, (0.0, 0.0, 0.0)), (score, qo, ao))
+        return [(name, *x) for name, x in out.items()]
 
     @staticmethod
     def _has(run: tuple[str, ...], words: list[str], mine: set) -> bool:
@@ -194,17 +196,18 @@ class Matcher:
         return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
 
 
-def _item_parts(items: DataFrame, bytes_a_part: int) -> Iterator[list[tuple[int, str | None]]]:
+def _item_parts(items: DataFrame, bytes_a_part: int, null_ids: bool) -> Iterator[list[tuple[int | None, str]]]:
     """The items in parts of about bytes_a_part of text, so that each index is of bounded size; all of them are used."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = items if null_ids else items.filter("item_id is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // bytes_a_part))
     for k in range(parts):
-        some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield sorted({(r.item_id, r.text or "") for r in some.collect()})
+        some = items.filter(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), "text")), F.lit(parts)) == k) if parts > 1 else items
+        yield sorted({(r.item_id, r.text or "") for r in some.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, bytes_a_part: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, bytes_a_part: int = 4_000_000, null_ids: bool = False) -> DataFrame:
     """doc_id, item_id, bm25 (1: the whole item), question_overlap, answer_overlap of each document that holds an item.
 
     Every document is cut into passages of twice the longest item of a length class, half
@@ -212,13 +215,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     their own score are retrieved and then verified on the whole document: `overlap` of the
     question's and of the answer's five-word shingles must occur in it, or of the whole item's (of an item with a
     question mark then all of the answer's but those one word breaks). Null and empty texts hold
-    and are held by nothing; null item ids are left out; of items that repeat one counts;
+    and are held by nothing; null item ids are left out but with null_ids; of items that repeat one counts, and
+    each text of an item_id that has several;
     rows that repeat are reported each; other columns are ignored; empty tables give an
     empty one. The index goes out in parts of bounded size, one pass over docs for each.
     """
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
-    for part in _item_parts(items, bytes_a_part):
+    for part in _item_parts(items, bytes_a_part, null_ids):
         shared = spark.sparkContext.broadcast(Matcher(part, threshold, overlap))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -233,9 +237,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns (decided by text, so null ids are no matter)."""
+    """The rows of docs that hold no item, with all their columns (decided by text, so null ids are no matter, of items neither)."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     marked = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = materialize(contaminated(marked, items, **options).select("doc_id").distinct(), "contaminated")
+    bad = materialize(contaminated(marked, items, null_ids=True, **options).select("doc_id").distinct(), "contaminated")
     kept = row.join(bad, F.xxhash64("text") == F.col("doc_id"), "left_anti")
     return kept.select("row.*")

@@ -22,3 +22,13 @@ def test_whole_item_with_a_changed_end(spark):
         (14, f"{pre} {' '.join(item[:25])} {post}", "s"),
     ]
     assert found(spark, rows, items) == {(10, 1), (11, 1), (12, 2)}
+
+
+def test_an_id_on_two_texts_and_a_null_id(spark):
+    a, b, c = (prose(20 + k, 30) for k in range(3))
+    rows = [(20 + k, f"{prose(30 + k, 60)} {t} {prose(40 + k, 60)}", "s") for k, t in enumerate((a, b, c))] + [(30, prose(50, 90), "s")]
+    items = [(1, a), (1, b), (None, c)]
+    for size in (4_000_000, 200):
+        d, bench = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+        assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(d, bench, bytes_a_part=size).collect()) == [(20, 1), (21, 1)]
+        assert [r.doc_id for r in decontam.drop_contaminated(d, bench, bytes_a_part=size).collect()] == [30]
