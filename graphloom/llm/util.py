@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -15,16 +15,35 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder all executors share (spark.checkpoint.dir); where the session names none, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application's operators wrote in between; results that were not stored elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(df: DataFrame, each: int = 134_217_728) -> int:
+    """Tasks for a shuffle of df: one for `each` bytes of its estimated size, at least spark.sql.shuffle.partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // each), 1_000_000)) if size < 2**60 else least  # beyond: no estimate
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -40,6 +59,20 @@ def small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def numbered(rows: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """rows with `nth`, 0 on among rows with equal keys; part: the number of the partition that wrote the row.
+
+    Rows with equal keys are ranked within their part, and parts by what stands in those before: however
+    many rows are equal, no task gets more of them than a part holds.
+    """
+    local = F.row_number().over(Window.partitionBy(*keys, part).orderBy(part))
+    per = rows.groupBy(*keys, part).agg(F.count("*").alias("_c"))
+    earlier = F.sum("_c").over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    per = per.withColumn("_before", earlier).filter("_before is not null").drop("_c")
+    met = rows.withColumn("_local", local).join(per, [*keys, part], "left")
+    return met.withColumn("nth", F.col("_local") - 1 + F.coalesce("_before", F.lit(0))).drop("_local", "_before")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where lambdas inside body use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

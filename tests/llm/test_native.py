@@ -102,6 +102,37 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
+def test_mix_counts_every_repeat(spark):
+    """A source of equal rows meets its target too: each repeat has a place of its own."""
+    rows = [(7, "one two three four", "same")] * 1000 + [(1000 + i, prose(i, 20), f"s{i % 3}") for i in range(300)]
+    d = docs(spark, rows)
+    got = plain(mixing.mix_sources(d))
+    mine = [r for r in got if r["doc_id"] == 7]
+    assert len(mine) == 1000 and abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+    again = plain(mixing.mix_sources(d.repartition(11)))
+    key = lambda rs: Counter((r["doc_id"], r["taken"], tuple(r["shards"])) for r in rs)
+    assert key(got) == key(again)
+    mixed = mixing.mixed_documents(d).collect()
+    assert abs(4 * sum(r.doc_id == 7 for r in mixed) - mine[0]["target"]) <= 4
+
+
+def test_tree_draws_exact_quotas(spark):
+    quotas = [("a", 0, 700), ("b", 0, 41), ("", 1, 3), ("c", 0, 0)]
+    seen = Counter()
+    for seed in range(3):
+        q = spark.createDataFrame(quotas, "sk string, sn int, quota int")
+        runs = mixing.split_quotas(q, 7, seed).orderBy("sk", "sn", "first").collect()
+        per, at = Counter(), Counter()
+        for r in runs:
+            assert r.first == at[r.sk]  # the runs of a source follow on each other: disjoint, and nothing left out
+            at[r.sk] = r["last"]
+            per[r.shard] += r["last"] - r.first
+            seen[r.sk, r.shard] += r["last"] - r.first
+        assert at == Counter({"a": 700, "b": 41, "": 3})
+        assert sorted(per) == list(range(7)) and max(per.values()) - min(per.values()) <= 2  # exact halves of halves
+    assert all(70 <= seen["a", s] / 3 <= 130 for s in range(7))
+
+
 def test_mix_units_spread_over_shards(spark):
     rows = [(i, prose(i, 20), f"s{i % 3}") for i in range(3000)]
     got = plain(mixing.mix_sources(docs(spark, rows), shards=5, block_docs=4, max_blocks=1000))
