@@ -5,92 +5,117 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import has_word, let, materialize, small, text_or_empty, words_of
+from .util import has_word, let, materialize, text_or_empty, words_of
 
 #: Tokens with a digit, urls and e-mail addresses are variable fields.
 VARIABLE = r"[0-9]|://|^www\.|@"
-WILD, ANY = "<*>", "<?>"  # a variable field; a place at which lines of a leaf differ
+WILD = "<*>"
+#: A line is compared by up to PLACES hashes of runs of its tokens; lines that agree in LIKE of them agree in one of KEYS parts of them.
+PLACES, KEYS = 16, 4
 
 
 def masked(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(VARIABLE), F.lit(WILD)).otherwise(w))
 
 
-def leaf_key(words: Column, depth: int) -> Column:
-    """The path in the tree: token count, then the leading tokens, variable fields masked."""
-    return F.xxhash64(F.size(words), F.array_join(masked(F.slice(words, 1, depth)), "\x01"))
+def _pieces(a: Column, n: Column, parts: int) -> Column:
+    """Hashes of `parts` runs of a (of n values, which they share out), or of each value if there are fewer."""
+    parts = F.least(n, F.lit(parts))
+    cut = lambda k: F.floor(k * n / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.hash(F.slice(a, cut(k) + 1, cut(k + 1) - cut(k))))
 
 
-def line_table(docs: DataFrame, depth: int | None) -> DataFrame:
-    """text_hash, line_hash, leaf (not without a depth) and line: each line of a row once, those without a word left out."""
+def line_table(docs: DataFrame, depth: int, long_words: int) -> DataFrame:
+    """text_hash, leaf, line_hash, long, places: each line of a row once, those without a word left out.
+
+    leaf is the path in the tree: token count, then the leading tokens, variable fields masked. places: hashes of runs of
+    the masked tokens; null for a line of which most tokens are variable: it has no template.
+    """
+
+    def parsed(words: Column, line: Column) -> Column:
+        n, real = F.size(words), F.size(F.filter(words, lambda w: w != WILD))
+        leaf = F.xxhash64(n, F.array_join(F.slice(words, 1, depth), "\x01"))
+        places = F.when(2 * real >= n, _pieces(words, n, PLACES))
+        return F.struct(leaf.alias("leaf"), F.xxhash64(line).alias("line_hash"), (n >= long_words).alias("long"), places.alias("places"))
+
+    def tokens(line: Column) -> Column:
+        w = words_of(line)
+        return F.when(line.rlike(r"[0-9@]|://|www\."), masked(w)).otherwise(w)
+
     lines = F.array_distinct(F.filter(F.split(text_or_empty(), "\n"), has_word))
-    leaf = lambda x: [] if depth is None else [let(words_of(x), lambda w: leaf_key(w, depth)).alias("leaf")]
-    parsed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line_hash"), *leaf(x), x.alias("line")))
-    return docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), F.inline(parsed))
+    rows = F.transform(lines, lambda x: let(tokens(x), lambda w: parsed(w, x)))
+    return docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), F.inline(rows))
 
 
-def recurring_lines(docs: DataFrame, depth: int = 4, min_docs: int = 3, share: float = 0.5, like: float = 0.8) -> DataFrame:
-    """line_hash of every line whose template recurs in at least min_docs different texts.
+def _template_lines(lines: DataFrame, min_docs: int, share: float, like: float) -> DataFrame:
+    """(group, line_hash): lines that fit the template of a group of similar lines of their leaf.
 
-    Leaves seen in fewer texts are dropped first, by counts that are combined before the
-    shuffle. In the others lines are merged with their counts; a position of a leaf keeps
-    its token if that has `share` of the leaf's texts, else any token fits there. A line belongs to
-    the leaf's template if `like` of its tokens fit and `like` of the places hold a token. A template
-    whose lines together are in min_docs texts recurs, as does a line that is by itself.
+    lines: leaf, line_hash, places, texts. A leaf may hold many templates. A line is in a group for each of the KEYS parts of
+    its places, with the lines of its leaf that agree in that part. A place of a group's template holds the value that
+    `share` of its lines (by texts) have, else any value fits; the template counts if `like` of its places hold a
+    value, and a line belongs to it if `like` of its places fit. Groups of one line, or of less than min_docs texts, are left out first.
+    """
+    part = lambda k: F.slice("places", F.floor(k * F.size("places") / KEYS).cast("int") + 1, (F.floor((k + 1) * F.size("places") / KEYS) - F.floor(k * F.size("places") / KEYS)).cast("int"))
+    keys = F.filter(F.transform(F.sequence(F.lit(0), F.lit(KEYS - 1)), lambda k: F.when(F.size(part(k)) > 0, F.xxhash64("leaf", k, part(k)))), lambda x: x.isNotNull())
+    member = lines.filter("places is not null").select("line_hash", "places", "texts", F.explode(keys).alias("group"))
+    groups = member.groupBy("group").agg(F.sum("texts").alias("all"), F.count("*").alias("lines")).filter(f"lines > 1 and `all` >= {min_docs}")
+    groups = materialize(groups.drop("lines"), "linegroups")
+    member = materialize(member.join(groups, "group"), "linemembers")
+    values = member.select("group", "texts", "all", F.posexplode("places").alias("pos", "value"))
+    counts = values.groupBy("group", "pos", "value").agg(F.sum("texts").alias("c"), F.max("all").alias("all"))
+    best = counts.groupBy("group", "pos").agg(F.max(F.struct("c", "value")).alias("top"), F.max("all").alias("all"))
+    best = best.select("group", F.struct("pos", F.when(F.col("top.c") >= F.col("all") * share, F.col("top.value")).alias("value")).alias("place"))
+    templates = best.groupBy("group").agg(F.transform(F.array_sort(F.collect_list("place")), lambda x: x["value"]).alias("template"))  # PLACES values a group
+    firm = F.size(F.filter("template", lambda x: x.isNotNull())) >= F.size("template") * like
+    templates = materialize(templates.filter(firm), "templates")
+    fits = F.size(F.filter(F.zip_with("places", "template", lambda a, b: b.isNull() | (a == b)), lambda x: x))
+    return member.join(templates, "group").filter(fits >= F.size("places") * like).select("group", "line_hash")
+
+
+def recurring_lines(pairs: DataFrame, min_docs: int, min_docs_long: int, share: float, like: float) -> DataFrame:
+    """line_hash of every line that stands in min_docs different texts (a long one in min_docs_long), or whose template does.
+
+    pairs: line_table with each line of a text once. Leaves in too few texts are dropped first, by counts that are combined before the shuffle.
     """
-    raw = line_table(docs, depth)
-    pairs = materialize(raw.groupBy("leaf", "line_hash", "text_hash").agg(F.count("*").alias("rows")).drop("rows"), "linetexts")
-    counts = pairs.groupBy("leaf", "line_hash").agg(F.count("*").alias("texts"))
-    counts = materialize(counts, "linecounts")
-    leaves = materialize(counts.groupBy("leaf").agg(F.sum("texts").alias("leaf_texts")).filter(F.col("leaf_texts") >= min_docs), "leaves")
-    busy = materialize(counts.join(leaves, "leaf"), "busylines")
-    # one text of each line that is in a busy leaf
-    wanted = small(materialize(busy.select(F.col("line_hash").alias("lh")), "busyhashes"))  # 8 bytes a row
-    lines = materialize(line_table(docs, None).select("line_hash", "line").join(wanted, F.col("line_hash") == F.col("lh"), "left_semi").groupBy("line_hash").agg(F.min("line").alias("line")), "busytexts")
-    lines = lines.join(busy, "line_hash").withColumn("tokens", masked(words_of(F.col("line"))))
-    lines = materialize(lines.select("leaf", "line_hash", "texts", "leaf_texts", "tokens"), "busytokens")
-    tokens = lines.select("leaf", "texts", "leaf_texts", F.posexplode("tokens").alias("pos", "token"))
-    freq = tokens.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("c"), F.max("leaf_texts").alias("leaf_texts"))
-    best = freq.groupBy("leaf", "pos").agg(F.max(F.struct("c", "token")).alias("top"), F.max("leaf_texts").alias("leaf_texts"))
-    fixed = best.withColumn("token", F.when(F.col("top.c") >= F.col("leaf_texts") * share, F.col("top.token")).otherwise(ANY))
-    templates = materialize(fixed.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("template")), "templates")
-    met = lines.join(templates, "leaf")
-    fits = F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b) | (b == ANY)), lambda x: x)
-    # a template: lines agree at `like` of its places, and `share` of them are words
-    firm = F.size(F.filter("template", lambda x: x != ANY)) >= F.size("template") * like
-    firm = firm & (F.size(F.filter("template", lambda x: (x != ANY) & (x != WILD))) >= F.size("template") * share)
-    met = materialize(met.select("leaf", "line_hash", "texts", (firm & (F.size(fits) >= F.size("tokens") * like)).alias("fits")), "fits")
-    # texts of a template are counted as different texts, over all of its lines
-    mine = met.filter("fits").select("leaf", "line_hash")
-    spread = pairs.join(mine, ["leaf", "line_hash"], "left_semi").groupBy("leaf", "text_hash").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.count("*").alias("t")).filter(F.col("t") >= min_docs)
-    spread = materialize(spread.select("leaf"), "recurring")
-    own = met.filter(F.col("texts") >= min_docs).select("line_hash")
-    return own.unionByName(mine.join(spread, "leaf", "left_semi").select("line_hash")).distinct()
-
-
-def dedup_lines(docs: DataFrame, depth: int = 4, min_docs: int = 3, share: float = 0.5, like: float = 0.8) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text without the lines whose template recurs.
-
-    Every occurrence of a recurring template goes, the first too; lines without a word
+    counts = materialize(pairs.groupBy("leaf", "line_hash", "long", "places").agg(F.count("*").alias("texts")), "linecounts")
+    least = F.when(F.col("long"), min_docs_long).otherwise(min_docs)
+    own = counts.filter(F.col("texts") >= least).select("line_hash")
+    leaves = counts.groupBy("leaf").agg(F.sum("texts").alias("leaf_texts"), F.count("*").alias("lines")).filter(f"leaf_texts >= {min_docs} and lines > 1")
+    busy = counts.join(materialize(leaves.select("leaf"), "leaves"), "leaf", "left_semi")
+    mine = materialize(_template_lines(busy, min_docs, share, like), "fits")
+    # the texts of a template are counted as different texts, over all of its lines
+    spread = pairs.select("text_hash", "line_hash").join(mine, "line_hash").groupBy("group", "text_hash").agg(F.count("*").alias("k"))
+    spread = spread.groupBy("group").agg(F.count("*").alias("t")).filter(F.col("t") >= min_docs)
+    spread = materialize(spread.select("group"), "recurring")
+    return own.unionByName(mine.join(spread, "group", "left_semi").select("line_hash")).distinct()
+
+
+def dedup_lines(docs: DataFrame, depth: int = 4, min_docs: int = 3, min_docs_long: int = 2, long_words: int = 50, share: float = 0.5, like: float = 0.8) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the text without the lines that recur, by themselves or by their template.
+
+    A line recurs if it stands in min_docs different texts, one of long_words words or more in min_docs_long, a template if its
+    lines stand in min_docs. Every occurrence goes, the first too; lines without a word
     stay. Exact copies of a text count once, so a document is not emptied for having copies.
     Null text gives null text and no lines; null doc_ids are kept apart from others;
     repeated rows are cleaned alike; other columns are ignored; an empty table gives an
-    empty one.
+    empty one. One pass reads lines, to hashes; the second takes out what is on its text's list. Texts move once, to meet the lists.
     """
-    found = materialize(recurring_lines(docs.select("text"), depth, min_docs, share, like), "dropped")
-    hashes = F.array_distinct(F.transform(F.filter(F.split(text_or_empty(), "\n"), has_word), lambda x: F.xxhash64(x)))
-    uses = docs.select(F.xxhash64(text_or_empty()).alias("th"), F.explode(hashes).alias("line_hash"))
+    keys = ["text_hash", "leaf", "line_hash", "long", "places"]
+    pairs = materialize(line_table(docs.select("text"), depth, long_words).groupBy(*keys).agg(F.count("*").alias("rows")).drop("rows"), "linetexts")
+    found = materialize(recurring_lines(pairs, min_docs, min_docs_long, share, like), "dropped")
     # few rows a text: only lines to drop; texts that are equal share one list
-    drop = uses.join(small(found), "line_hash", "left_semi").groupBy("th").agg(F.collect_set("line_hash").alias("drop"))
-    drop = materialize(drop, "droplists")
+    drop = pairs.select("text_hash", "line_hash").join(found, "line_hash", "left_semi")
+    drop = materialize(drop.groupBy(F.col("text_hash").alias("th")).agg(F.collect_set("line_hash").alias("drop")), "droplists")
     rows = docs.select("doc_id", "text", F.xxhash64(text_or_empty()).alias("th"))
     met = rows.join(drop, "th", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
     lines = F.split("text", "\n")
     goes = lambda x: F.array_contains("drop", F.xxhash64(x)) & has_word(x)
     kept = F.filter(lines, lambda x: ~goes(x))
-    return met.select(
+    cleaned = met.select("doc_id", "text", F.size("drop").alias("n_drop"), F.when(F.size("drop") > 0, kept).alias("kept"))
+    n_lines = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    return cleaned.select(
         "doc_id",
-        F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
-        F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        n_lines.cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull() | (F.col("n_drop") == 0), 0).otherwise(n_lines - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("n_drop") == 0, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
     )

@@ -162,6 +162,12 @@ def test_shards_are_exact(spark):
     assert sharding.shuffle_into_shards(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = awkward() + [(7, "same text here", "s")] * 400 + [(1000 + i, f"t{i}", "s") for i in range(500)]
+    a, b = (Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in plain(sharding.shuffle_into_shards(docs(spark, rows, p), rows_per_part=50))) for p in (2, 9))
+    assert a == b
+
+
 def test_communication_matrix_margins():
     rows = [17, 0, 5, 2_000_000_000, 400]
     m = sharding.communication_matrix(rows, 7, 1)
@@ -170,10 +176,30 @@ def test_communication_matrix_margins():
     assert max(cols) - min(cols) <= 1 and min(min(x) for x in m) >= 0
 
 
+def test_hypergeometric_law_beyond_the_library():
+    """By inversion: exact probabilities where few good ones make the law countable, and mean and spread where it is wide."""
+    import numpy as np
+    from math import comb
+
+    rng = np.random.default_rng(5)
+    good, bad, draws = 3, 2 * 10**9, 10**9
+    got = Counter(sharding.hypergeometric(rng, good, bad, draws) for _ in range(4000))
+    p = draws / (good + bad)
+    for k in range(4):  # so wide a population leaves the binomial law
+        want = comb(3, k) * p**k * (1 - p) ** (3 - k)
+        assert abs(got[k] / 4000 - want) < 4 * (want * (1 - want) / 4000) ** 0.5
+    good, bad, draws = 6 * 10**8, 14 * 10**8, 10**6
+    x = np.array([sharding.hypergeometric(rng, good, bad, draws) for _ in range(400)])
+    sd = (draws * 0.3 * 0.7) ** 0.5
+    assert abs(x.mean() - 300_000) < 5 * sd / 20 and 0.85 < x.std() / sd < 1.15
+
+
 def test_write_shards(spark, tmp_path):
-    d = docs(spark, [(i, prose(i, 20), "s") for i in range(100)]).drop("shard")
-    sharding.write_shards(d, sharding.shuffle_into_shards(d, shards=3), f"file://{tmp_path}/s")
-    assert sorted(r["count"] for r in spark.read.parquet(f"file://{tmp_path}/s").groupBy("shard").count().collect()) == [33, 33, 34]
+    d = docs(spark, [(i % 50, prose(i % 50, 20), "s") for i in range(100)])  # repeated ids; a column named shard
+    sharding.write_shards(d, f"file://{tmp_path}/s", shards=3)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert sorted(r["count"] for r in back.groupBy("_shard").count().collect()) == [33, 33, 34]
+    assert set(back.columns) == {*d.columns, "_shard"} and Counter(r.text for r in back.collect()) == Counter(r.text for r in d.collect())
 
 
 def judge(url, rules=urls.DEFAULT_RULES):
@@ -240,3 +266,45 @@ def test_lines_recurring_templates_go(spark):
     assert got[200]["text"] is None and got[200]["n_lines"] == 0 and got[201]["text"] == "" and got[202]["text"] == " \n "
     assert got[None]["text"] == "" and got[300]["n_dropped"] == 0
     assert linetree.dedup_lines(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
+
+
+def brute_lines(rows, min_docs=3, min_docs_long=2, long_words=50, like=0.8, depth=4):
+    """Lines that stand in enough different texts, alone or with lines of their leaf that are alike in most places."""
+    at = defaultdict(set)
+    for _, t, _ in rows:
+        for x in (t or "").split("\n"):
+            if WORD.search(x):
+                at[x].add(t)
+    out = {x for x, ts in at.items() if len(ts) >= (min_docs_long if len(x.split()) >= long_words else min_docs)}
+    mask = lambda w: "<*>" if any(c.isdigit() for c in w) or "@" in w else w
+    toks = {x: [mask(w) for w in x.split()] for x in at}
+    for x, a in toks.items():
+        if 2 * sum(w != "<*>" for w in a) < len(a):
+            continue
+        near = [y for y, b in toks.items() if len(a) == len(b) and a[:depth] == b[:depth] and sum(p == q for p, q in zip(a, b, strict=True)) >= like * len(a)]
+        if len(near) > 1 and len(set().union(*(at[y] for y in near))) >= min_docs:
+            out.add(x)
+    return out
+
+
+def check_lines(spark, rows):
+    drop = brute_lines(rows)
+    got = Counter((r["doc_id"], r["text"]) for r in plain(linetree.dedup_lines(docs(spark, rows))))
+    assert got == Counter((d, t if t is None else "\n".join(x for x in t.split("\n") if x not in drop)) for d, t, _ in rows)
+    return drop
+
+
+def test_several_templates_of_one_leaf(spark):
+    """Templates that share length and leading tokens don't wipe each other out, nor do ordinary lines that begin alike."""
+    head = "see also the page"
+    a = [f"{head} about the town of {prose(i, 1)} and its many old stone bridges" for i in range(10)]
+    b = [f"{head} where people tell {prose(50 + i, 1)} how they came to live there" for i in range(10)]
+    plain_ = [f"{head} {prose(900 + i, 10)}" for i in range(40)]
+    rows = [(i, f"{prose(2000 + i, 30)}\n{x}", "s") for i, x in enumerate(a + b + plain_)]
+    assert check_lines(spark, rows) == {*a, *b}
+
+
+def test_long_passages_count_from_two_texts(spark):
+    long, short = prose(77, 52), prose(78, 20)
+    rows = [(k, f"{prose(3000 + k, 15)}\n{long}\n{short}", "s") for k in range(2)] + [(5, prose(9, 60), "s"), (6, prose(9, 60), "s")]
+    assert check_lines(spark, rows) == {long}
