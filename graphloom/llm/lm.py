@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialize, small
+from .util import materialize
 
 WEIGHT = 8.0
 #: The key of the start sign; words hold no space.
@@ -49,27 +48,34 @@ def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bits(pair: np.ndarray, before: np.ndarray, word: np.ndarray, tokens: np.ndarray, n_words: int) -> np.ndarray:
-    """Bits of tokens under (background, target) by counts (2, n) of pair, word before and word.
+def bits(pair: np.ndarray, before: np.ndarray, word: np.ndarray, size: np.ndarray, scale: float, n_words: int) -> np.ndarray:
+    """Bits of tokens under (background, target) by counts (2, n) of pair, word before, word, and of all tokens.
 
     Interpolated bigrams; the background's counts are scaled to the target's size.
     """
-    scale = np.array([tokens[1] / tokens[0] if tokens[0] and tokens[1] else 1.0, 1.0])[:, None]
-    pair, before, word, size = pair * scale, before * scale, word * scale, tokens[:, None] * scale
+    to = np.array([scale, 1.0])[:, None]
+    pair, before, word, size = pair * to, before * to, word * to, size * to
     alone = (word + 0.5) / (size + 0.5 * (n_words + 2))
     return -np.log2((pair + WEIGHT * alone) / (np.maximum(before, pair) + WEIGHT))
 
 
+def _within(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """For each place, how often its key stands in its document."""
+    _, at, c = np.unique(doc * n + key, return_inverse=True, return_counts=True)
+    return c[at]
+
+
 class Pack:
     """Documents of about PACK tokens together: token places in the pack's sorted word keys, and which are targets."""
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, hits: np.ndarray) -> None:
         self.words, self.tokens, self.lengths = words, tokens.astype(np.int64), lengths
         self.of = np.repeat(np.arange(len(lengths)), lengths)
-        self.target = target
+        self.target = np.zeros(len(lengths), dtype=bool)
+        self.target[hits] = True
         self.before = np.r_[0, self.tokens[:-1]] if len(tokens) else self.tokens
-        starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-        self.before[starts] = np.searchsorted(words, START)
+        self.starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+        self.before[self.starts] = np.searchsorted(words, START)
 
     def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts (2, n); the start sign's is the number of documents with words."""
@@ -87,40 +93,52 @@ class Pack:
         return np.unique(_pairs(self.words[self.before], self.words[self.tokens]), return_inverse=True)
 
 
-_PACKED = "pack long, n long, n_target long, ids binary, known binary, target binary, lengths binary, words binary, tokens binary"
+_PACKED = "pack long, n long, ids array<long>, lengths array<int>, words binary, tokens binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     serial = TaskContext.get().partitionId() << 32
 
-    def out(ids: list, target: list, keys: list[np.ndarray]) -> pa.RecordBatch:
+    def out(ids: list, keys: list[np.ndarray]) -> pa.RecordBatch:
         nonlocal serial
-        lengths = np.array([len(k) for k in keys], dtype=np.int64)
+        lengths = [len(k) for k in keys]
         words, at = np.unique(np.concatenate([np.array([START]), *keys]), return_inverse=True)
-        marks = np.array(target, dtype=bool)
-        data = [np.array([i or 0 for i in ids], dtype=np.int64), np.array([i is not None for i in ids]), marks, lengths, _steps(words), at[1:].astype(np.uint32)]
-        row = [serial, int(lengths.sum()), int(lengths[marks].sum()), *[squeeze(x) for x in data]]
+        row = [[serial], [sum(lengths)], [ids], [lengths], [squeeze(_steps(words))], [squeeze(at[1:].astype(np.uint32))]]
         serial += 1
-        kinds = [pa.int64()] * 3 + [pa.binary()] * 6
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
 
-    ids, target, keys, size = [], [], [], 0
+    ids, keys, size = [], [], 0
     for b in batches:
-        for d, text, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        for d, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             w = words_of(text.as_py())
             ids.append(d)
-            target.append(t)
             keys.append(np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w)))
             size += len(w) + 1
             if size >= PACK:
-                yield out(ids, target, keys)
-                ids, target, keys, size = [], [], [], 0
+                yield out(ids, keys)
+                ids, keys, size = [], [], 0
     if ids:
-        yield out(ids, target, keys)
+        yield out(ids, keys)
 
 
-def _unpack(target: bytes, lengths: bytes, words: bytes, tokens: bytes) -> Pack:
-    return Pack(np.cumsum(spread(words, np.uint64)), spread(tokens, np.uint32), spread(lengths, np.int64), spread(target, np.bool_))
+def _unpack(hits: list[int] | None, lengths: list[int], words: bytes, tokens: bytes) -> Pack:
+    return Pack(np.cumsum(spread(words, np.uint64)), spread(tokens, np.uint32), np.array(lengths, dtype=np.int64), np.array(hits or [], dtype=np.int64))
+
+
+def _with_hits(packs: DataFrame, targets: DataFrame, most: int = 16_000_000) -> tuple[DataFrame, int]:
+    """packs with hits, the places of their target documents, and the number of tokens of all of those.
+
+    Only ids meet ids; their places, four bytes for each target document, go back to the packs by a broadcast up to
+    `most` of them, and beyond that packs (half as large as the texts) are written once more with them.
+    """
+    wanted = targets.select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct()
+    rows = packs.select("pack", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "of"))
+    rows = rows.join(wanted, F.col("of.ids") == F.col("_id"), "left_semi")
+    hits = materialize(rows.groupBy("pack").agg(F.collect_list("place").alias("hits"), F.sum("of.lengths").alias("n_target")), "targetplaces")
+    n, tokens = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    hits = hits.drop("n_target")
+    return (packs.join(F.broadcast(hits), "pack", "left") if n <= most else materialize(packs.join(hits, "pack", "left"), "markedpacks")), tokens
 
 
 def _totals(packs: DataFrame, counts: Callable[[Pack], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
@@ -167,42 +185,43 @@ def _totals(packs: DataFrame, counts: Callable[[Pack], tuple[np.ndarray, np.ndar
             yield total(part, packs, data)
 
     schema = "pack long, part long, data binary, counts binary"
-    sent = packs.select("pack", "target", "lengths", "words", "tokens").mapInArrow(cut, schema)
+    sent = packs.select("pack", "hits", "lengths", "words", "tokens").mapInArrow(cut, schema)
     return sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(add, "pack long, part long, keys long, data binary")
 
 
-def _marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    wanted = materialize(targets.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_t")).filter("_id is not null").distinct(), "targets")
-    met = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id") == F.col("_id"), "left")
-    return met.select(F.col("doc_id").cast("long"), "text", F.coalesce("_t", F.lit(False)).alias("is_target"))
-
-
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and ce_diff (mean bits a token; lower: nearer to the target).
 
     targets: doc_id of the target documents; all rows of docs are counted for the background. Every word and pair
     counts for itself (by 64-bit keys), whatever the size: packs of documents send their different keys to ranges
-    of keys and get the whole corpus's counts back, so no task or driver holds a table of all. The models
+    of keys and get the whole corpus's counts back, so no task or driver holds a table of all. A row is scored by models that
+    have not seen it: its own counts are taken out, of the target too if it is one. The models
     share their words, their order, their smoothing and, by scaling, their size. Null and empty texts have no
     tokens and losses 0; without targets the target model is the smoothing alone; repeated rows count and are
     scored each; other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    packs = materialize(_marked(docs, targets).mapInArrow(_pack, _PACKED), "packs")
-    n, n_target = packs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    tokens, ranges = np.array([n, n_target], dtype=np.float64), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    packs = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack, _PACKED), "packs")
+    n = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    packs, n_target = _with_hits(packs, targets)
+    tokens, ranges = np.array([[n], [n_target]], dtype=np.float64), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    scale = n_target / n if n and n_target else 1.0
     words = materialize(_totals(packs, Pack.word_counts, ranges), "wordtotals")
     n_words = (words.agg(F.sum("keys")).first()[0] or 1) - 1  # the start sign is no word
     pairs = _totals(packs, Pack.pair_counts, ranges)
 
-    def score(ids: bytes, known: bytes, pack: Pack, word: list[bytes], pair: list[bytes]) -> pa.RecordBatch:
+    def score(ids: list[int | None], pack: Pack, word: list[bytes], pair: list[bytes]) -> pa.RecordBatch:
         word, pair = (np.concatenate([spread(x, np.int64).reshape(2, -1) for x in c], axis=1) if c else np.zeros((2, 0)) for c in (word, pair))
-        _, at = pack.pairs()
-        x = bits(pair[:, at], word[:, pack.before], word[:, pack.tokens], tokens, n_words)
+        keys, at = pack.pairs()
+        seen = np.array([np.ones(len(pack.of), dtype=np.int64), pack.target[pack.of]])  # which models hold the document
+        own = _within(pack.of, pack.tokens, len(pack.words))
+        own_before = np.r_[1, own[:-1]] if len(own) else own
+        own_before[pack.starts] = 1
+        left = [c - seen * o for c, o in ((pair[:, at], _within(pack.of, at, len(keys))), (word[:, pack.before], own_before), (word[:, pack.tokens], own))]
+        x = bits(*left, tokens - seen * pack.lengths[pack.of], scale, n_words)
         size = len(pack.lengths)
         mean = np.array([np.bincount(pack.of, weights=w, minlength=size) for w in x]) / np.maximum(pack.lengths, 1)
-        doc = pa.array(spread(ids, np.int64), mask=~spread(known, np.bool_))
-        cols = [doc, pa.array(pack.lengths), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])]
+        cols = [pa.array(ids, pa.int64()), pa.array(pack.lengths), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,39 +233,13 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
                 if kind < 2:
                     got[kind].append(data)
                 else:
-                    yield score(rest[0], rest[1], _unpack(*rest[2:]), *got)
+                    yield score(rest[0], _unpack(*rest[1:]), *got)
                     got = ([], [])
 
-    cols = ["ids", "known", "target", "lengths", "words", "tokens"]
-    none = [F.lit(None).cast("binary").alias(c) for c in cols]
+    cols = ["ids", "hits", "lengths", "words", "tokens"]
+    none = [F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in cols]
     parts = [t.filter("pack >= 0").select("pack", F.lit(k).alias("kind"), "part", "data", *none) for k, t in enumerate((words, pairs))]
     whole = packs.select("pack", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("binary").alias("data"), *cols)
     rows = parts[0].unionByName(parts[1]).unionByName(whole).repartition(ranges, "pack")
     rows = rows.sortWithinPartitions("pack", "kind", "part").select("kind", "data", *cols)
     return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, ce_diff double")
-
-
-class Model:
-    """The models of a small table in one process, by the words themselves: a plain form of what the packs count."""
-
-    def __init__(self, rows: list[tuple[str | None, bool]]) -> None:
-        texts = [(w, t) for text, t in rows if (w := words_of(text))]
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({x for w, _ in texts for x in w}))}
-        self.one, self.two = np.zeros((2, len(self.vocab) + 1)), [Counter(), Counter()]
-        for w, t in texts:
-            for k in range(1 + t):
-                ids = [0, *map(self.vocab.get, w)]
-                np.add.at(self.one[k], ids, 1)
-                self.two[k].update(zip(ids, ids[1:], strict=False))
-        self.tokens = self.one[:, 1:].sum(axis=1)
-
-    def losses(self, text: str | None) -> np.ndarray:
-        """Bits of each token under (background, target); all words of text are known."""
-        ids = [0, *map(self.vocab.get, words_of(text))]
-        pair = np.array([[c[p] for p in zip(ids, ids[1:], strict=False)] for c in self.two], dtype=np.float64)
-        return bits(pair, self.one[:, ids[:-1]], self.one[:, ids[1:]], self.tokens, len(self.vocab))
-
-
-def fit_models(docs: DataFrame, targets: DataFrame) -> Model:
-    """The models as one object, for tables that fit on the driver."""
-    return Model([(r.text, r.is_target) for r in _marked(docs, targets).collect()])

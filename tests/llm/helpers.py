@@ -30,3 +30,37 @@ def awkward():
 
 def plain(df):
     return [r.asDict() for r in df.collect()]
+
+
+def plain_losses(rows, targets):
+    """(background, target) mean bits of each row's text by models without that row, from plain dictionaries."""
+    from collections import Counter
+    from math import log2
+
+    words = [[w.lower() for w in (t or "").encode().split()] for _, t, _ in rows]
+    hit = [d in targets for d, _, _ in rows]
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    own = []
+    for w, h in zip(words, hit, strict=True):
+        c1, c2 = Counter(w), Counter(zip([None, *w], w, strict=False))
+        c1[None] = 1 if w else 0
+        own.append((c1, c2))
+        for k in range(1 + h):
+            one[k].update(c1)
+            two[k].update(c2)
+    size = [sum(c.values()) - c[None] for c in one]
+    scale = [size[1] / size[0] if size[0] and size[1] else 1.0, 1.0]
+    n_words = len([w for w in one[0] if w is not None])
+    out = []
+    for w, h, (c1, c2) in zip(words, hit, own, strict=True):
+        loss = []
+        for k in range(2):
+            less = 1 if k == 0 or h else 0
+            total = 0.0
+            for p, x in zip([None, *w], w, strict=False):
+                pair, before, word = ((c[k][i] - less * o[i]) * scale[k] for c, o, i in ((two, c2, (p, x)), (one, c1, p), (one, c1, x)))
+                alone = (word + 0.5) / ((size[k] - less * len(w)) * scale[k] + 0.5 * (n_words + 2))
+                total -= log2((pair + 8 * alone) / (max(before, pair) + 8))
+            loss.append(total / max(1, len(w)))
+        out.append(tuple(loss))
+    return out

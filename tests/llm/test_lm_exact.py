@@ -2,7 +2,7 @@
 
 import pytest
 from graphloom.llm import lm
-from helpers import docs, plain, prose
+from helpers import docs, plain, plain_losses, prose
 
 
 def test_rare_words_tell_documents_apart(spark, monkeypatch):
@@ -15,9 +15,25 @@ def test_rare_words_tell_documents_apart(spark, monkeypatch):
     got = {r["doc_id"]: r for r in plain(lm.cross_entropy_difference(d, target))}
     assert len(got) == len(rows)
     assert max(got[1005][c] - got[1004][c] for c in ("ce_diff",)) < -1
-    model = lm.fit_models(d, target)
-    for i, t, _ in rows[150:]:
-        x = model.losses(t)
-        want = x.mean(axis=1) if x.shape[1] else (0.0, 0.0)
-        assert got[i]["n_tokens"] == x.shape[1]
-        assert (got[i]["background_loss"], got[i]["target_loss"]) == pytest.approx(tuple(want), abs=1e-9)
+    check(rows, {1001, 1003}, got)
+
+
+def check(rows, targets, got):
+    for (i, t, _), want in zip(rows, plain_losses(rows, targets), strict=True):
+        assert got[i]["n_tokens"] == len((t or "").split())
+        assert (got[i]["background_loss"], got[i]["target_loss"]) == pytest.approx(want, abs=1e-9)
+        assert got[i]["ce_diff"] == pytest.approx(want[1] - want[0], abs=1e-9)
+
+
+def test_a_second_copy_shows(spark, monkeypatch):
+    """A row's own counts are taken out, so only text that stands elsewhere too is well known to the background."""
+    rows = [(k, prose(k, 60), "s") for k in range(40)] + [(100, prose(3, 60), "s")]
+    target = {0, 1, 2, 5}
+    table = spark.createDataFrame([(k,) for k in [*target, 5, None]], "doc_id long")
+    for most in (16_000_000, 0):  # both ways by which places of targets meet the packs
+        with_hits = lm._with_hits
+        monkeypatch.setattr(lm, "_with_hits", lambda p, t, f=with_hits, m=most: f(p, t, m))
+        got = {r["doc_id"]: r for r in plain(lm.cross_entropy_difference(docs(spark, rows), table))}
+        monkeypatch.setattr(lm, "_with_hits", with_hits)
+        check(rows, target, got)
+        assert min(got[3]["ce_diff"], got[100]["ce_diff"]) > max(r["ce_diff"] for k, r in got.items() if k not in (3, 100)) + 0.5
