@@ -19,10 +19,9 @@ def masked(words: Column) -> Column:
 
 
 def _pieces(a: Column, n: Column, parts: int) -> Column:
-    """Hashes of `parts` runs of a (of n values, which they share out), or of each value if there are fewer."""
-    parts = F.least(n, F.lit(parts))
-    cut = lambda k: F.floor(k * n / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.hash(F.slice(a, cut(k) + 1, cut(k + 1) - cut(k))))
+    """Hashes of runs of a (of n values), as many as `parts` at most: each value's own if there are no more."""
+    step = F.ceil(n / parts).cast("int")
+    return let(step, lambda s: F.transform(F.sequence(F.lit(0), F.ceil(n / s).cast("int") - 1), lambda k: F.hash(F.slice(a, k * s + 1, s))))
 
 
 def line_table(docs: DataFrame, depth: int, long_words: int) -> DataFrame:
@@ -32,19 +31,19 @@ def line_table(docs: DataFrame, depth: int, long_words: int) -> DataFrame:
     the masked tokens; null for a line of which most tokens are variable: it has no template.
     """
 
-    def parsed(words: Column, line: Column) -> Column:
-        n, real = F.size(words), F.size(F.filter(words, lambda w: w != WILD))
+    def parsed(words: Column, line: Column, fields: Column) -> Column:
+        n = F.size(words)
         leaf = F.xxhash64(n, F.array_join(F.slice(words, 1, depth), "\x01"))
-        places = F.when(2 * real >= n, _pieces(words, n, PLACES))
-        return F.struct(leaf.alias("leaf"), F.xxhash64(line).alias("line_hash"), (n >= long_words).alias("long"), places.alias("places"))
+        real = ~fields | (2 * F.size(F.filter(words, lambda w: w != WILD)) >= n)
+        return F.struct(leaf.alias("leaf"), F.xxhash64(line).alias("line_hash"), (n >= long_words).alias("long"), F.when(real, _pieces(words, n, PLACES)).alias("places"))
 
-    def tokens(line: Column) -> Column:
-        w = words_of(line)
-        return F.when(line.rlike(r"[0-9@]|://|www\."), masked(w)).otherwise(w)
+    def line(x: Column) -> Column:
+        fields = x.rlike(r"[0-9@]|://|www\.")
+        words = F.when(fields, masked(words_of(x))).otherwise(words_of(x))
+        return let(words, lambda w: parsed(w, x, fields))
 
     lines = F.array_distinct(F.filter(F.split(text_or_empty(), "\n"), has_word))
-    rows = F.transform(lines, lambda x: let(tokens(x), lambda w: parsed(w, x)))
-    return docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), F.inline(rows))
+    return docs.select(F.xxhash64(text_or_empty()).alias("text_hash"), F.inline(F.transform(lines, line)))
 
 
 def _template_lines(lines: DataFrame, min_docs: int, share: float, like: float) -> DataFrame:
