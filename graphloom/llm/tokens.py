@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .util import materialize, scratch_path
+from .util import materialize, scratch_path, tasks_for
 
 #: Ids of one file at most (but for a longer document), held in memory while it is written.
 FILE_IDS = 2_000_000
@@ -154,20 +154,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0)
         if names:
             yield flush()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(n, "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     return materialize(rows.mapInArrow(run, "part int, k int, path string, n_docs long, n_ids long"), "tokenfiles")
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
+def file_starts(files: DataFrame) -> DataFrame:
+    """path, start (ids in all files before it, in the order of part and k): sums over groups of parts, then within a group."""
+    some = files.withColumn("group", F.floor(F.col("part") / 512))
+    groups = some.groupBy("group").agg(F.sum("n_ids").alias("ids"))
+    groups = groups.select("group", (F.sum("ids").over(Window.orderBy("group")) - F.col("ids")).alias("first"))  # a row for 512 parts
+    upto = F.sum("n_ids").over(Window.partitionBy("group").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("within", upto - F.col("n_ids")).join(groups, "group").select("path", (F.col("first") + F.col("within")).alias("start"))
 
-    The list of files (one row for up to FILE_IDS ids or a task) is all the driver sees.
-    """
-    spark = files.sparkSession
-    listed = sorted((r.part, r.k, r.path, r.n_ids) for r in files.collect())
-    starts = np.cumsum([0, *[r[3] for r in listed]])
+
+def read_tokens(files: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone; only the number of files comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,8 +184,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = [(r[2], int(s)) for r, s in zip(listed, starts[:-1], strict=True)]
-    table = spark.createDataFrame(rows, "path string, start long").repartition(max(1, min(len(rows), 4096)))
+    tasks = max(1, min(files.count(), max(4096, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    table = materialize(file_starts(files), "filestarts").repartition(tasks)
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
