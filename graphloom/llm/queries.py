@@ -52,10 +52,8 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     named = (op1_rule_ensemble, op2_token_files, op3_source_mix, op4_url_aliases, op5_lm_difference, op6_benchmark_leaks, op7_simhash, op8_host_rules, op9_line_templates, op10_shards)
-    return {f.__name__: f for f in named} | {"pipeline": run}
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,14 +8,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import materialize
+from .util import materialize, tasks_for
 
 MAX_BITS = 4
-TILE = 256
+TILE = 1024
 #: Reference fingerprints of the pivot tables (fixed, so that tables of any run agree).
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 24, dtype=np.uint64)
 
@@ -107,7 +107,7 @@ def links_in(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.nd
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; what a batch leaves open is held for the next (a group has at most a few hundred rows)."""
+    """Rows come sorted by group; what a batch leaves open is held for the next (a group has about 2 * TILE rows at most)."""
     held = [np.empty(0, dtype=np.int64) for _ in range(3)]
 
     def done(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -124,31 +124,57 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
+#: Neighbours of a pivot cell, each pair of cells once; cells are MAX_BITS + 1 wide, so linked fingerprints are in one cell or in neighbours.
+_STEPS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def _cell(name: str, pivot: int) -> Column:
+    """The cell of a fingerprint by its distance to a reference fingerprint."""
+    return F.floor(F.bit_count(F.col(name).bitwiseXOR(F.lit(int(PIVOTS[pivot : pivot + 1].view(np.int64)[0])))) / (MAX_BITS + 1)).cast("int")
+
+
+def _meets(n: int, step: tuple[int, int], second: bool) -> Column:
+    """(group, side) of a row (t, key, c1, c2, tile, tiles) for the n-th step: as a row of the first cell or of the second."""
+    tile, (x, y) = F.col("tile"), step if second else (0, 0)
+
+    def group(one: Column, two: Column, side: Column) -> Column:
+        return F.struct(F.xxhash64("t", "key", F.col("c1") - x, F.col("c2") - y, F.lit(n), one, two).alias("group"), side.cast("long").alias("side"))
+
+    def make(other: Column) -> Column:
+        if step == (0, 0):  # the cell with itself
+            return group(F.least(tile, other), F.greatest(tile, other), F.when(other == tile, 0).when(tile < other, 1).otherwise(2))
+        return group(other, tile, F.lit(2)) if second else group(tile, other, F.lit(1))
+
+    return F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), make)
+
+
+def _cell_groups() -> Column:
+    return F.concat(*[_meets(n, step, second) for n, step in enumerate(_STEPS) for second in ((False, True) if n else (False,))])
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): links that connect all fingerprints at most MAX_BITS apart, in chains that stay within the components.
 
-    fps: one column of different fingerprints. Buckets of over TILE fingerprints are cut
-    into tiles, and every two tiles of one bucket meet in a group of their own, so no
-    task gets more than 2 * TILE rows of one bucket (in the mean). All pairs are compared
-    where their rows lie; only a spanning forest of the links leaves the task.
+    fps: one column of different fingerprints. Masks bring candidates together. Of a bucket of over TILE fingerprints only those meet whose
+    coordinates differ by MAX_BITS at most: it is cut into cells by the distances to two reference fingerprints, and a
+    cell meets itself and its neighbours; cells of over TILE are cut into tiles, and every two tiles that
+    must meet do so in a group of their own, so no task gets more than 2 * TILE rows of one bucket (in the mean). Within a
+    group the whole pivot table discards pairs where their rows lie, and the bits verify what it leaves; only a
+    spanning forest of the links leaves the task.
     """
-    spark = fps.sparkSession
     name = fps.columns[0]
     ms = masks(fps.count())
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)).alias("key")) for i, m in enumerate(ms)])
     rows = fps.select(F.col(name).alias("fp"), F.inline(keys))
-    rows = rows.select(F.xxhash64("t", "key").alias("bucket"), "t", "key", "fp")
-    big = rows.groupBy("t", "key").agg(F.count("*").alias("c")).filter(F.col("c") > TILE)
-    big = materialize(big.select("t", "key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")), "bigbuckets")
-    met = rows.join(big, ["t", "key"], "left")
-    tile = F.pmod(F.xxhash64(F.lit(7), "fp"), "tiles").cast("int")
-    met = met.withColumn("tile", tile).withColumn("with", F.expr("if(tiles is null, array(-1), sequence(0, tiles - 1))"))
-    met = met.select("t", "key", "fp", "tile", F.explode("with").alias("other"))
-    group = F.when(F.col("other") < 0, F.xxhash64("t", "key")).otherwise(F.xxhash64("t", "key", F.least("tile", "other"), F.greatest("tile", "other")))
-    side = F.when((F.col("other") < 0) | (F.col("other") == F.col("tile")), 0).when(F.col("tile") < F.col("other"), 1).otherwise(2)
-    met = met.select(group.alias("group"), side.cast("long").alias("side"), "fp")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "group").sortWithinPartitions("group", "side").mapInArrow(_links, "a long, b long")
+    big = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("c")).filter(F.col("c") > TILE).select("t", "key"), "bigbuckets")
+    celled = rows.join(big, ["t", "key"]).withColumn("c1", _cell("fp", 0)).withColumn("c2", _cell("fp", 1))
+    tiles = celled.groupBy("t", "key", "c1", "c2").agg(F.count("*").alias("c")).groupBy("t", "key").agg(F.ceil(F.max("c") / TILE).cast("int").alias("tiles"))
+    tiles = materialize(tiles, "buckettiles")
+    met = rows.join(tiles, ["t", "key"], "left").withColumn("c1", _cell("fp", 0)).withColumn("c2", _cell("fp", 1))
+    met = met.withColumn("tile", F.pmod(F.xxhash64(F.lit(7), "fp"), "tiles").cast("int"))
+    alone = F.array(F.struct(F.xxhash64("t", "key").alias("group"), F.lit(0).cast("long").alias("side")))
+    met = met.select("fp", F.inline(F.when(F.col("tiles").isNull(), alone).otherwise(_cell_groups()))).select("group", "side", "fp")
+    return met.repartition(tasks_for(fps, 4_000_000), "group").sortWithinPartitions("group", "side").mapInArrow(_links, "a long, b long")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -167,24 +193,3 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     label = ids.join(best, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     label = materialize(label, "fplabels")
     return base.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: of the least doc_id (nulls last), of rows with that id the first by text.
-
-    Rows are told apart by doc_id and text, so components whose least ids are null or equal keep a row each.
-    Texts move once: rows meet the kept ids by a shuffle on id and text hash at every size.
-    """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    base = materialize(marked.mapInArrow(_fingerprints, "doc_id long, fp long, th long"), "fingerprints")
-    nodes = materialize(connected_components(fingerprint_links(base.select("fp").distinct())), "fpcomponents")
-    met = base.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    keep = met.groupBy("component").agg(F.min(order).alias("first"))
-    key = lambda d, t: F.concat_ws(" ", F.coalesce(F.col(d).cast("string"), F.lit("null")), t).alias("key")
-    keep = materialize(keep.select(key("first.doc_id", F.col("first.th").cast("string"))).distinct(), "keepers")
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key("doc_id", th.cast("string")))
-    kept = row.join(keep.hint("merge"), "key", "left_semi")
-    marked = kept.select("key", "row", F.monotonically_increasing_id().alias("place"))
-    return marked.groupBy("key").agg(F.min_by("row", "place").alias("row")).select("row.*")
