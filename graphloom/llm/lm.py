@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +75,7 @@ class Pack:
         self.target = np.zeros(len(lengths), dtype=bool)
         self.target[hits] = True
         self.before = np.r_[0, self.tokens[:-1]] if len(tokens) else self.tokens
-        self.starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-        self.before[self.starts] = np.searchsorted(words, START)
+        self.before[(np.cumsum(lengths) - lengths)[lengths > 0]] = np.searchsorted(words, START)
 
     def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts (2, n); the start sign's is the number of documents with words."""
@@ -89,6 +89,15 @@ class Pack:
         keys, at = self.pairs()
         return keys, np.array([np.bincount(at, minlength=len(keys)), np.bincount(at[self.target[self.of]], minlength=len(keys))])
 
+    def chunks(self, most: int = 100_000) -> Iterator[tuple[slice, slice]]:
+        """Documents and their tokens, about `most` tokens at a time."""
+        ends = np.cumsum(self.lengths)
+        cuts = np.searchsorted(ends, np.arange(most, len(self.tokens), most)) + 1
+        for a, b in pairwise(np.unique(np.r_[0, cuts, len(ends)]).tolist()):
+            here = slice(int(ends[a - 1]) if a else 0, int(ends[b - 1]))
+            if here.stop > here.start:
+                yield slice(a, b), here
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(_pairs(self.words[self.before], self.words[self.tokens]), return_inverse=True)
 
@@ -213,14 +222,18 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     def score(ids: list[int | None], pack: Pack, word: list[bytes], pair: list[bytes]) -> pa.RecordBatch:
         word, pair = (np.concatenate([spread(x, np.int64).reshape(2, -1) for x in c], axis=1) if c else np.zeros((2, 0)) for c in (word, pair))
         keys, at = pack.pairs()
-        seen = np.array([np.ones(len(pack.of), dtype=np.int64), pack.target[pack.of]])  # which models hold the document
-        own = _within(pack.of, pack.tokens, len(pack.words))
-        own_before = np.r_[1, own[:-1]] if len(own) else own
-        own_before[pack.starts] = 1
-        left = [c - seen * o for c, o in ((pair[:, at], _within(pack.of, at, len(keys))), (word[:, pack.before], own_before), (word[:, pack.tokens], own))]
-        x = bits(*left, tokens - seen * pack.lengths[pack.of], scale, n_words)
-        size = len(pack.lengths)
-        mean = np.array([np.bincount(pack.of, weights=w, minlength=size) for w in x]) / np.maximum(pack.lengths, 1)
+        mean = np.zeros((2, len(pack.lengths)))
+        for docs_, here in pack.chunks():
+            of, known = pack.of[here], pack.target[pack.of[here]]
+            seen = np.array([np.ones(len(of), dtype=np.int64), known])  # which models hold the document
+            own = _within(of, pack.tokens[here], len(pack.words))
+            own_before = np.r_[1, own[:-1]]
+            own_before[np.r_[True, of[1:] != of[:-1]]] = 1
+            counts = ((pair, at[here], _within(of, at[here], len(keys))), (word, pack.before[here], own_before), (word, pack.tokens[here], own))
+            x = bits(*[c[:, i] - seen * o for c, i, o in counts], tokens - seen * pack.lengths[of], scale, n_words)
+            for k in range(2):
+                mean[k, docs_] = np.bincount(of - docs_.start, weights=x[k], minlength=docs_.stop - docs_.start)
+        mean /= np.maximum(pack.lengths, 1)
         cols = [pa.array(ids, pa.int64()), pa.array(pack.lengths), pa.array(mean[1]), pa.array(mean[0]), pa.array(mean[1] - mean[0])]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss", "ce_diff"])
 
