@@ -184,7 +184,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    tasks = max(1, min(files.count(), max(4096, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    n = files.count()  # several files a task: a worker's start costs more than one of them
+    tasks = max(1, min(n, max(-(-n // 8), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     table = materialize(file_starts(files), "filestarts").repartition(tasks)
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
