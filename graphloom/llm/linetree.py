@@ -20,8 +20,9 @@ def masked(words: Column) -> Column:
 
 def _pieces(a: Column, n: Column, parts: int) -> Column:
     """Hashes of runs of a (of n values), as many as `parts` at most: each value's own if there are no more."""
-    step = F.ceil(n / parts).cast("int")
-    return let(step, lambda s: F.transform(F.sequence(F.lit(0), F.ceil(n / s).cast("int") - 1), lambda k: F.hash(F.slice(a, k * s + 1, s))))
+    each = F.transform(a, lambda x: F.hash(x))
+    runs = let(F.ceil(n / parts).cast("int"), lambda s: F.transform(F.sequence(F.lit(0), F.ceil(n / s).cast("int") - 1), lambda k: F.hash(F.slice(a, k * s + 1, s))))
+    return F.when(n <= parts, each).otherwise(runs)
 
 
 def line_table(docs: DataFrame, depth: int, long_words: int) -> DataFrame:
