@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.query import expand_query
-from .index import Index, build_index
-from .operators import retrieve, traverse
+from . import store
+from .index import Index, build_index, corpus_of
+from .operators import ask as asking
+from .operators import traverse
 from .sources import corpus, export
 
 
-def ask(index: Index, task: str, aliases: dict | None = None, limit: int = 12):
-    """path, final, rank, channels, reasons of the files that matter for a task."""
-    e = expand_query(task, aliases)
-    symbols = index.symbols.select("symbol_id", F.col("path").alias("file_path"), "name", F.concat_ws(".", "receiver", "name").alias("qualified_name"), F.lit("").alias("description"), "signature")
-    rows = retrieve.candidates(index.files, symbols, index.routes.select("file_path", "route_path", "symbol_id"), index.objects, index.entries, e, task)
-    return retrieve.rank_files(retrieve.file_scores(rows), e.terms, limit)
-
-
 def flow(index: Index, starts: list[str], **options) -> traverse.Traversal:
     """A walk from each start (32 at most)."""
     if len(starts) > 32:
@@ -32,16 +27,30 @@ def flow(index: Index, starts: list[str], **options) -> traverse.Traversal:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="graphloom")
-    p.add_argument("command", choices=("query", "flow", "export", "graph-html"))
+    p.add_argument("command", choices=("index", "status", "query", "flow", "locate", "export", "graph-html"))
     p.add_argument("repo")
-    p.add_argument("what", nargs="+", help="a task, start nodes, or the target")
+    p.add_argument("what", nargs="*", help="a task, start nodes, a node, or the target")
+    p.add_argument("--index", default=None, help="folder of the stored index (default: .graphloom in the repository)")
+    p.add_argument("--compact", action="store_true")
+    p.add_argument("--limit", type=int, default=12)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
-    index = build_index(corpus.working_tree(spark, a.repo))
+    spark.sparkContext.setLogLevel("ERROR")
+    where = a.index or os.path.join(os.path.realpath(a.repo), ".graphloom")
+    if a.command == "index":
+        print(json.dumps(store.refresh(spark, corpus.working_tree(spark, a.repo), where, meta={"head": corpus.git_head(a.repo) or ""})))
+        return
+    if a.command == "status":
+        print(json.dumps(store.status(spark, corpus.working_tree(spark, a.repo), where), indent=2))
+        return
+    index = store.load(spark, where) if store.exists(spark, where) else build_index(corpus.working_tree(spark, a.repo))
     if a.command == "query":
-        ask(index, " ".join(a.what), corpus.project_aliases(f"{a.repo}/.context-query-aliases.json")).select("rank", "path", "final", "reasons").show(50, False)
+        found = asking.ask(corpus_of(index), " ".join(a.what), corpus.project_aliases(f"{a.repo}/.context-query-aliases.json"), a.limit)
+        print(asking.to_json(found, short=a.compact))
     elif a.command == "flow":
         flow(index, a.what).steps.orderBy("flow_id", "visit").show(200, False)
+    elif a.command == "locate":
+        export.locate(export.public_nodes(index), a.what[0]).show(50, False)
     elif a.command == "export":
         print(export.export_public(index, a.what[0]))
     else:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from .lexer import Lines, blank, close_of, split_list
+from .lexer import Lines, blank, close_of, comment_before, described, digest, split_list
 
 _FUNC = re.compile(r"^func\s*(?:\(\s*([A-Za-z_]\w*)?\s*([^)]*)\)\s*)?([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\(", re.M)
 _TYPE = re.compile(r"^(?:type\s+|\t)([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s+(struct|interface)\s*\{", re.M)
@@ -65,12 +66,14 @@ def facts(path: str, text: str) -> list[dict]:
         stop = close_of(code, brace) if brace >= 0 else after
         sid = f"go:{path}::{receiver + '.' if receiver else ''}{name}"
         row = {"fact": "symbol", "name": name, "ref": sid, "owner": receiver, "line_start": lines.of(m.start()), "line_end": lines.of(stop), "extra": f"({','.join(params)})({','.join(results)})"}
-        seen[sid] = row  # of two with one id the last stays
         names = {}
         for c in _CALL.finditer(code, brace, stop):
             if c.group(1) not in BUILTIN:
                 names.setdefault(c.group(1), c.start())
-        for c in sorted(names)[:100]:
+        doc, called = comment_before(text, m.start()), sorted(names)[:100]
+        row |= {"doc": doc or described(name, params, path, called), "doc_source": "comment" if doc else "derived", "hash": digest(text[m.start() : stop + 1]), "meaning": digest(json.dumps([receiver, name, params, results, called]))}
+        seen[sid] = row  # of two with one id the last stays
+        for c in called:
             root, _, rest = c.partition(".")
             how = "receiver_method" if var and root == var and "." not in rest and rest else "receiver_field_method" if var and root == var and rest.count(".") == 1 else ""
             out.append({"fact": "call", "name": c.split(".")[-1], "ref": c, "owner": sid, "line_start": lines.of(names[c]), "extra": f"{how}|{receiver}"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 
@@ -31,6 +32,30 @@ def close_of(text: str, at: int) -> int:
     return len(text) - 1
 
 
+_BLOCK = re.compile(r"/\*\*?([\s\S]*?)\*/\s*\Z")
+
+
+def comment_before(text: str, at: int, reach: int = 800) -> str:
+    """The comment that ends right in front of a place: a block, or lines of // that follow on each other; '' if there is none."""
+    head = text[max(0, at - reach) : at]
+    if m := _BLOCK.search(head[head.rfind("/*") :] if "/*" in head else ""):
+        return " ".join(x.strip().lstrip("*").strip() for x in m.group(1).splitlines()).strip()
+    lines = text[:at].rstrip(" \t").removesuffix("\n").split("\n") if at else []
+    found = []
+    while lines and (x := lines.pop().strip()).startswith("//"):
+        found.append(x[2:].strip())
+    return " ".join(reversed(found)).strip()
+
+
+def described(name: str, params: list[str], path: str, calls: list[str]) -> str:
+    """What is said of a symbol without a comment."""
+    return f"{name}({', '.join(params)}) in {path}" + (f"; calls {', '.join(calls[:8])}." if calls else ".")
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 class Lines:
     def __init__(self, text: str) -> None:
         self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from .lexer import Lines, blank, close_of, depth_zero, split_list
+from .lexer import Lines, blank, close_of, comment_before, depth_zero, described, digest, split_list
 
 # Words before a bracket that are no calls, and compiler macros of Vue.
 KEYWORDS = frozenset(("if", "for", "while", "switch", "catch", "function", "return", "typeof", "new"))
 VUE_MACROS = frozenset(("defineProps", "defineEmits", "defineExpose", "defineOptions", "defineSlots", "defineModel", "withDefaults"))
-MAX_CALLS = 80
+MAX_CALLS = 80  # fixed value
 
 _DECLARED = re.compile(r"\b(?:(export)\s+)?(default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\(")
 _ASSIGNED = re.compile(r"\b(?:(export)\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b[^(]*\(|(?:<[^>(]*>\s*)?\(|([A-Za-z_$][\w$]*)\s*=>)")
@@ -77,10 +78,14 @@ def facts(path: str, text: str, language: str = "typescript", first_line: int =
             continue
         seen.add(sid)
         spans.append((m.start(), stop, sid))
-        out.append({"fact": "symbol", "name": name, "ref": sid, "line_start": line(m.start()), "line_end": line(max(stop, m.start())), "extra": ",".join(split_list(params or ""))[:400]})
+        called = calls(code[end:stop], skip)
+        names = split_list(params or "")
+        doc = comment_before(text, m.start())
+        semantic = json.dumps([name, names, [c for c, _ in called]])
+        out.append({"fact": "symbol", "name": name, "ref": sid, "line_start": line(m.start()), "line_end": line(max(stop, m.start())), "extra": ",".join(names)[:400], "doc": doc or described(name, names, path, [c for c, _ in called]), "doc_source": "comment" if doc else "derived", "hash": digest(text[m.start() : stop + 1]), "meaning": digest(semantic)})
         if m.group(1):
             out.append({"fact": "export", "name": "default" if declared and m.group(2) else name, "ref": name})
-        for c, _ in calls(code[end:stop], skip):
+        for c, _ in called:
             out.append({"fact": "call", "name": c.split(".")[-1], "ref": c, "owner": sid, "line_start": line(m.start())})
     if kind == "vue":
         rest = list(code)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,15 @@ MANIFESTS = {
 DB_INTENT = ("migration", "migrations", "schema", "database", "sql", "table", "数据库", "迁移", "表结构")
 
 
+# Patterns of test paths, of tools' settings, of migrations, of pages, of API modules and of compilers' settings.
+TEST_PATHS = (r"(^|/)(test|tests|__tests__|acceptance)(/|$)", r"(?:^|[._-])(test|spec)(?:[._-]|$)", r"_test\.go$")
+TOOL_CONFIG = r"^(vite|webpack|rollup|eslint|prettier|babel|jest|vitest)\.config\.[^.]+$"
+MIGRATIONS, DOWN = r"(^|/)migrations?/", r"\.down\.sql$"
+PAGES = (r"(^|/)(views?|pages?)(/|$)", r"(view|page)\.vue$")
+API_MODULES = r"(^|/)api(/|$)"
+CONFIGS = r"^(?:tsconfig|jsconfig)(?:\.[^/]*)?\.json$"
+
+
 def slashes(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
@@ -68,7 +79,7 @@ def detect_language(path: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     p = F.lower(slashes(path))
-    return p.rlike(r"(^|/)(test|tests|__tests__|acceptance)(/|$)") | p.rlike(r"(^|[._-])(test|spec)([._-]|$)") | p.rlike(r"_test\.go$")
+    return reduce(Column.__or__, [p.rlike(x) for x in TEST_PATHS])
 
 
 def is_blocked(path: Column) -> Column:
@@ -88,8 +99,7 @@ def is_likely_source(path: Column) -> Column:
 
 def manifest_score(path: Column) -> Column:
     base = F.lower(basename(path))
-    tool = base.rlike(r"^(vite|webpack|rollup|eslint|prettier|babel|jest|vitest)\.config\.[^.]+$")
-    return F.coalesce(_lookup(MANIFESTS, base), F.when(tool, 14), F.lit(0))
+    return F.coalesce(_lookup(MANIFESTS, base), F.when(base.rlike(TOOL_CONFIG), 14), F.lit(0))
 
 
 def path_multiplier(path: Column, terms: list[str]) -> Column:
@@ -97,17 +107,17 @@ def path_multiplier(path: Column, terms: list[str]) -> Column:
     if any(t in DB_INTENT for t in terms):
         return F.lit(1.0)
     p = F.lower(slashes(path))
-    return F.when(p.rlike(r"(^|/)migrations?/"), F.when(p.rlike(r"\.down\.sql$"), F.lit(0.12)).otherwise(0.25)).otherwise(F.lit(1.0))
+    return F.when(p.rlike(MIGRATIONS), F.when(p.rlike(DOWN), F.lit(0.12)).otherwise(0.25)).otherwise(F.lit(1.0))
 
 
 def is_page_like(path: Column) -> Column:
     p = F.lower(slashes(path))
-    return p.rlike(r"(^|/)(views?|pages?)(/|$)") | p.rlike(r"(view|page)\.vue$")
+    return reduce(Column.__or__, [p.rlike(x) for x in PAGES])
 
 
 def is_api_module(path: Column) -> Column:
-    return F.lower(slashes(path)).rlike(r"(^|/)api(/|$)")
+    return F.lower(slashes(path)).rlike(API_MODULES)
 
 
 def is_config(path: Column) -> Column:
-    return F.lower(basename(path)).rlike(r"^[jt]sconfig(\..+)?\.json$")
+    return F.lower(basename(path)).rlike(CONFIGS)

@@ -94,7 +94,7 @@ def symbol_hint(symbol_id: Column) -> Column:
     return F.regexp_extract(symbol_id, r"(?s)^(?:.*::)?(.*)$", 1)
 
 
-#: Patterns of secrets; the first group of each stays.
+# Patterns of secrets; the first group of each stays.
 SECRETS = (
     (r"(?i)(authorization\s*:\s*bearer\s+)[^\s\"']+", "$1"),
     (r"\bsk-[A-Za-z0-9_-]{16,}\b", ""),

@@ -15,10 +15,14 @@ from .functions import paths, text
 from .operators import edges as build
 from .operators import resolve
 from .operators.cut import cut
+from .operators.retrieve import Corpus
 
 PARSED = ("go", "typescript", "javascript", "vue")
-_FIELDS = ("fact", "name", "ref", "owner", "line_start", "line_end", "extra")
-_SCHEMA = "path string, language string, fact string, name string, ref string, owner string, line_start int, line_end int, extra string"
+_FIELDS = ("fact", "name", "ref", "owner", "line_start", "line_end", "extra", "doc", "doc_source", "hash", "meaning")
+_SCHEMA = "path string, language string, fact string, name string, ref string, owner string, line_start int, line_end int, extra string, doc string, doc_source string, hash string, meaning string"
+#: What each analyzer writes; a file whose facts another version wrote is analyzed again.
+PARSER_VERSIONS = {"go": "go-2", "typescript": "script-2", "javascript": "script-2", "vue": "vue-2"}
+TEXT_VERSION = "text-1"
 
 
 def _parse(path: str, language: str, body: str) -> list[dict]:
@@ -57,9 +61,17 @@ class Index:
 
 def read_files(files: DataFrame) -> DataFrame:
     """files (path, text) that are sources of at most 4 MiB without NUL, with their attributes; of a path that stands twice one."""
-    some = files.filter(paths.is_likely_source(F.col("path")) & F.col("text").isNotNull() & (F.octet_length("text") <= 4_194_304) & (F.instr("text", "\0") == 0))
-    some = some.groupBy("path").agg(F.min("text").alias("text"))
-    return some.select("path", paths.detect_language(F.col("path")).alias("language"), "text", text.content_hash(F.col("text")).alias("content_hash"), text.line_count(F.col("text")).alias("line_count"), paths.is_test_path(F.col("path")).alias("is_test"))
+    some = files.filter(paths.is_likely_source(F.col("path")) & F.col("text").isNotNull() & (F.octet_length("text") <= 4_194_304) & (F.instr("text", "\0") == 0)).select("path", "text")
+    # only the texts of paths that stand twice are shuffled
+    twice = some.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path")
+    once = some.join(twice, "path", "left_semi").groupBy("path").agg(F.min("text").alias("text"))
+    some = some.join(twice, "path", "left_anti").unionByName(once)
+    return some.select("path", paths.detect_language(F.col("path")).alias("language"), "text", text.content_hash(F.col("text")).alias("content_hash"), text.line_count(F.col("text")).alias("line_count"), paths.is_test_path(F.col("path")).alias("is_test")).withColumn("parser_version", parser_version(F.col("language")))
+
+
+def parser_version(language: Column) -> Column:
+    pairs = [F.lit(x) for kv in PARSER_VERSIONS.items() for x in kv]
+    return F.coalesce(F.create_map(*pairs)[language], F.lit(TEXT_VERSION))
 
 
 def resolve_modules(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,8 +93,10 @@ def resolve_modules(wanted: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(best, ["path", "ref"], "left")
 
 
-def exports(facts: DataFrame, symbols: DataFrame, modules: DataFrame, rounds: int = 16) -> DataFrame:
-    """(path, name, symbol_id): what each module exports, own or passed on; names with several targets are left out by users."""
+def exports(facts: DataFrame, symbols: DataFrame, modules: DataFrame, rounds: int = 64) -> DataFrame:
+    """(path, name, symbol_id): what each module exports, own or passed on; names with several targets are left out by users.
+
+    Rounds are as many as modules that pass a name on in a row; a longer chain is an error, not a part of the result."""
     own = facts.filter("fact = 'export'").join(symbols.select("path", F.col("name").alias("ref"), "symbol_id"), ["path", "ref"]).select("path", "name", "symbol_id")
     via = modules.filter("to_file is not null and fact in ('reexport', 'reexport_all')").select(F.col("path").alias("user"), F.col("to_file").alias("path"), F.col("name").alias("as_name"), F.col("extra").alias("of_name"))
     seen, level = cut(own.distinct()), own.distinct()
@@ -91,9 +105,9 @@ def exports(facts: DataFrame, symbols: DataFrame, modules: DataFrame, rounds: in
         step = met.select(F.col("user").alias("path"), F.coalesce("as_name", "name").alias("name"), "symbol_id").distinct()
         level = cut(step.join(seen, ["path", "name", "symbol_id"], "left_anti"))
         if level.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(level))
-    return seen
+    raise RuntimeError(f"exports did not end in {rounds} rounds")
 
 
 def _in_scope(rows: DataFrame, packages: DataFrame, path: str = "path") -> DataFrame:
@@ -106,12 +120,37 @@ def _base(c: Column) -> Column:
     return text.go_base_type(c)
 
 
+@dataclass
+class Facts:
+    """What the text of each file says by itself, in tables with a column path: all that is read again when a file changes."""
+
+    parsed: DataFrame
+    objects: DataFrame
+    server: DataFrame
+    client: DataFrame
+    entries: DataFrame
+
+
+def extract(files: DataFrame) -> Facts:
+    """Facts of files (as read_files gives them), without any shuffle of texts."""
+    source = files.select("path", "text")
+    code = files.filter(F.col("language").isin(*PARSED)).select("path", "text")
+    entries = ex.entries(code, [], "path")
+    return Facts(parse(files), ex.db_objects(source, ["path"]), ex.server_routes(code, ["path"]), ex.client_requests(code, ["path"]), entries)
+
+
 def build_index(files: DataFrame) -> Index:
     """All relations of the index over files (path, text). A reference with several targets stays unresolved."""
     files = cut(read_files(files))
-    facts = cut(parse(files))
+    found = extract(files)
+    return relate(files, Facts(*[cut(getattr(found, f)) for f in found.__dataclass_fields__]))
+
+
+def relate(files: DataFrame, found: Facts) -> Index:
+    """The relations between facts: everything that depends on more than one file."""
+    facts = found.parsed
     packages = facts.filter("fact = 'package'").select("path", "name")
-    symbols = facts.filter("fact = 'symbol'").select("path", "language", F.col("ref").alias("symbol_id"), "name", F.col("owner").alias("receiver"), "line_start", "line_end", F.col("extra").alias("signature"))
+    symbols = facts.filter("fact = 'symbol'").select("path", "language", F.col("ref").alias("symbol_id"), "name", F.col("owner").alias("receiver"), "line_start", "line_end", F.col("extra").alias("signature"), F.col("doc").alias("description"), F.col("doc_source").alias("description_source"), F.col("hash").alias("implementation_hash"), F.col("meaning").alias("semantic_hash"))
     symbols = cut(_in_scope(symbols, packages).withColumn("base", _base(F.coalesce("receiver", F.lit("")))))
     modules = cut(resolve_modules(facts.filter("fact in ('import', 'reexport', 'reexport_all', 'binding', 'dynamic_import')"), files))
     exported = exports(facts, symbols, modules)
@@ -159,38 +198,49 @@ def build_index(files: DataFrame) -> Index:
 
     keyed = symbols.select(F.col("path").alias("file_path"), "line_start", "line_end", "symbol_id")
     near = lambda rows, keys: resolve.nearest_symbol(rows.withColumnRenamed("path", "file_path"), keyed, keys)
-    source = files.select("path", "text")
-    code = files.filter(F.col("language").isin(*PARSED)).select("path", "text")
-    server = near(ex.server_routes(code, ["path"]), ["method", "route_path", "handler_ref"])
+    server = near(found.server, ["method", "route_path", "handler_ref"])
     receivers = symbols.select("symbol_id", F.col("base").alias("owner_type"), "scope")
     server = cut(server.join(receivers, "symbol_id", "left").withColumn("node_id", F.concat_ws(":", F.lit("route:server"), "method", "route_path")))
-    client = cut(near(ex.client_requests(code, ["path"]), ["method", "route_path"]).withColumn("id", F.xxhash64("file_path", "line", "method", "route_path")))
+    client = cut(near(found.client, ["method", "route_path"]).withColumn("id", F.xxhash64("file_path", "line", "method", "route_path")))
     routes = server.select("file_path", "symbol_id", "method", "route_path", F.lit("server").alias("direction"), "line", "handler_ref").unionByName(client.select("file_path", "symbol_id", "method", "route_path", F.lit("client").alias("direction"), "line", F.lit(None).cast("string").alias("handler_ref")))
-    entries = near(ex.entries(code, [], "path"), ["entry_kind", "entry_name", "handler_ref", "node_id"])
+    entries = near(found.entries, ["entry_kind", "entry_name", "handler_ref", "node_id"])
     mains = symbols.join(packages.filter("name = 'main'").select("path"), "path", "left_semi").filter("name = 'main' and base = ''")
     mains = mains.select(F.lit("cli").alias("entry_kind"), F.lit("main").alias("entry_name"), F.lit("main").alias("handler_ref"), F.concat_ws(":", F.lit("entry:cli"), "path", F.lit("main"), F.col("line_start").cast("string")).alias("node_id"), F.col("path").alias("file_path"), F.col("line_start").alias("line"), "symbol_id")
-    entries = cut(entries.unionByName(mains))
-    objects = cut(near(ex.db_objects(source, ["path"]), ["operation", "object_name"]).withColumn("object_type", F.lit("table")))
+    entries = entries.unionByName(mains)
+    objects = cut(near(found.objects, ["operation", "object_name"]).withColumn("object_type", F.lit("table")))
 
     # a handler: the method of the owner's receiver, else a unique simple name among functions and methods of Go
     tail, dotted = F.substring_index("handler_ref", ".", -1), F.col("handler_ref").contains(".")
     every = one(symbols.filter("language = 'go'"), ["name"], "a")
     handled = server.withColumn("name", tail).withColumn("base", F.when(dotted, F.col("owner_type"))).join(by_method, ["scope", "base", "name"], "left").join(every, "name", "left")
     handler = F.when(F.col("n_m") == 1, F.col("t_m")).when(F.col("n_a") == 1, F.col("t_a"))
-    handled = handled.filter("handler_ref is not null").select("node_id", "handler_ref", handler.alias("handler_symbol_id"))
+    handled = handled.filter("handler_ref is not null").select("node_id", "file_path", "line", "handler_ref", handler.alias("handler_symbol_id"))
     scoped = _in_scope(entries.withColumnRenamed("file_path", "path"), packages)
-    started = scoped.withColumn("name", F.when(~dotted, F.col("handler_ref"))).join(by_name, ["scope", "name"], "left").select("node_id", "handler_ref", F.when(F.col("n_s") == 1, F.col("t_s")).alias("handler_symbol_id"))
+    started = scoped.withColumn("name", F.when(~dotted, F.col("handler_ref"))).join(by_name, ["scope", "name"], "left").select("node_id", F.col("path").alias("file_path"), "line", "entry_kind", "entry_name", "symbol_id", "handler_ref", F.when(F.col("n_s") == 1, F.col("t_s")).alias("handler_symbol_id"))
+    started = cut(started)
 
     matched = resolve.match_routes(client.select("id", "method", "route_path"), server.select(F.col("node_id").alias("route_id"), "method", "route_path").distinct())
     nodes = server.select(F.col("node_id").alias("route_id"), "method", "route_path").distinct()
     api = calls.filter(paths.is_page_like(F.col("path")) & paths.is_api_module(F.col("to_file")) & F.col("wanted").isNotNull()).join(by_export, ["to_file", "wanted"], "left")
-    page_api = api.select(F.concat(F.lit("file:"), "path").alias("from_node_id"), F.when(F.col("n_x") == 1, F.concat(F.lit("symbol:"), "t_x")).otherwise(F.concat(F.lit("ref:page_api:"), "ref")).alias("to_node_id"), F.lit("page_api").alias("type"), F.when(F.col("n_x") == 1, "static").otherwise("unresolved").alias("confidence"))
+    page_api = api.select(F.concat(F.lit("file:"), "path").alias("from_node_id"), F.when(F.col("n_x") == 1, F.concat(F.lit("symbol:"), "t_x")).otherwise(F.concat(F.lit("ref:page_api:"), "ref")).alias("to_node_id"), F.lit("page_api").alias("type"), F.when(F.col("n_x") == 1, "static").otherwise("unresolved").alias("confidence"), build.evidence(api, resolution=F.lit("import_binding_symbol"), file_path=F.col("path"), line=F.col("line_start"), reference=F.col("ref")))
     tests = test_targets(files, symbols, deps)
     parts_ = [build.dependency_edges(deps), build.db_edges(objects), build.test_edges(tests), page_api, build.handler_edges("route_handler", handled), build.request_edges(client, matched, nodes), build.handler_edges("entry_handler", started)]
     edges = parts_[0]
     for p in parts_[1:]:
         edges = edges.unionByName(p)
-    return Index(files, symbols, deps, routes, entries, objects, tests, cut(build.with_id(edges)), facts.filter("fact = 'failed'").select("path", "language", F.col("extra").alias("message")))
+    return Index(files, symbols, deps, routes, started, objects, tests, cut(build.with_id(edges)), facts.filter("fact = 'failed'").select("path", "language", F.col("extra").alias("message")))
+
+
+FEATURES = "feature_id string, name string, description string, status string, needs_review boolean, invariants array<string>, steps array<struct<action:string,symbol_id:string,file_path:string>>"
+
+
+def corpus_of(index: Index, features: DataFrame | None = None) -> Corpus:
+    """The index as what a question is asked of."""
+    spark = index.files.sparkSession
+    symbols = index.symbols.select("symbol_id", F.col("path").alias("file_path"), "name", F.concat_ws(".", F.nullif("receiver", F.lit("")), "name").alias("qualified_name"), "description", "signature", "line_start", "line_end")
+    edges = index.edges.select("edge_id", F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst"), "type", "confidence")
+    features = spark.createDataFrame([], FEATURES) if features is None else features
+    return Corpus(index.files, symbols, index.routes, index.objects, index.entries, index.dependencies, index.tests, features, edges, index.diagnostics.count())
 
 
 def test_targets(files: DataFrame, symbols: DataFrame, deps: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..functions.query import Expansion, surface_intents
+from ..functions.query import TEST_KEYS, Expansion, surface_intents
 
 
 def file_scores(candidates: DataFrame) -> DataFrame:
@@ -27,87 +30,202 @@ def rank_files(scores: DataFrame, terms: list[str], limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), F.collate("path", "UNICODE"), "path")))  # `limit` rows
 
 
-def symbol_scores(symbols: DataFrame, project: list[str], generic: list[str]) -> DataFrame:
-    """symbols (symbol_id, file_path, name, qualified_name, description, signature) with their score; a project term must hit, if there are any."""
-    c = F.col
-    p = sum((text.text_score(c(n), project, w) for n, w in (("name", 36), ("qualified_name", 30), ("file_path", 20), ("description", 12))), F.lit(0.0))
-    g = sum((text.text_score(c(n), generic, w) for n, w in (("name", 14), ("qualified_name", 12), ("description", 7), ("signature", 5), ("file_path", 6))), F.lit(0.0))
-    out = symbols.withColumn("score", p + g)
-    return out.filter(p > 0) if project else out.filter("score > 0")
+# Weights of a term's hits by field, for a project's own terms and for all terms.
+SYMBOL_WEIGHTS = {"name": (36, 14), "qualified_name": (30, 12), "file_path": (20, 6), "description": (12, 7), "signature": (0, 5)}
+FEATURE_WEIGHTS = {"name": 12, "description": 8, "invariants": 5, "steps": 5}
+#: (text of a fact, weight of all terms, weight of a project's own)
+ENTRY_WEIGHTS, ROUTE_WEIGHTS, OBJECT_WEIGHTS = (11, 24), (10, 24), (8, 18)
+TOP_SYMBOLS, TOP_FEATURES, STRONG = 20, 3, 20
+TEST_PREVIEW = 24_576
 
 
-def candidates(files: DataFrame, symbols: DataFrame, routes: DataFrame, objects: DataFrame, entries: DataFrame, expansion: Expansion, task: str) -> DataFrame:
-    """Rows (path, channel, score, reason, symbol, seq) of all lexical channels.
+@dataclass
+class Corpus:
+    """What a question is asked of. Edges: edge_id, src, dst, type, confidence; other tables as their columns say.
 
-    files: path, is_test, text; symbols: as symbol_scores; routes: file_path, route_path, symbol_id; objects:
-    file_path, object_name, symbol_id; entries: file_path, entry_name, handler_ref, symbol_id.
+    files: path, is_test, text. symbols: symbol_id, file_path, name, qualified_name, description, signature, line_start, line_end.
+    routes: file_path, direction, method, route_path, symbol_id. objects: file_path, object_type, object_name, operation, symbol_id.
+    entries: node_id, file_path, entry_kind, entry_name, handler_ref, handler_symbol_id, symbol_id. deps: from_symbol_id, from_file,
+    resolved_symbol_id. tests: test_file, target_file, target_symbol_id. features: feature_id, name, description, status, needs_review,
+    invariants (array), steps (array of action, symbol_id, file_path).
     """
-    project = expansion.of("project")
-    own = set(project) | set(expansion.of("builtin"))
-    generic = [t for t in expansion.terms if t not in set(project)]
-    manifest, tests = surface_intents(task, expansion)
-    none = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, path: str, channel: str, score: Column, reason: str, seq: int, symbol: Column = none) -> DataFrame:
-        return df.select(F.col(path).alias("path"), F.lit(channel).alias("channel"), score.cast("double").alias("score"), F.lit(reason).alias("reason"), symbol.alias("symbol"), F.lit(seq).alias("seq")).filter("score > 0")
-
-    def both(value: Column, g: float, p: float) -> Column:
-        mine = text.text_score(value, project, p)
-        return F.when(mine > 0, mine + text.text_score(value, generic, g)).otherwise(0.0) if project else text.text_score(value, generic, g)
-
-    top = symbol_scores(symbols, project, generic).orderBy(F.desc("score"), "file_path", "symbol_id").limit(20)
-    out = rows(top, "file_path", "symbol", F.col("score"), "symbol_match", 2, F.col("symbol_id"))
-    out = out.unionByName(rows(entries, "file_path", "entry", both(F.concat_ws(" ", "entry_name", "handler_ref"), 11, 24), "entry_match", 3, F.col("symbol_id")))
-    out = out.unionByName(rows(routes, "file_path", "route", both(F.col("route_path"), 10, 24), "route_match", 4, F.col("symbol_id")))
-    out = out.unionByName(rows(objects, "file_path", "db", both(F.col("object_name"), 8, 18), "db_match", 5, F.col("symbol_id")))
-    by_path = text.text_score(F.col("path"), project, 18) if project else text.text_score(F.col("path"), generic, 2)
-    out = out.unionByName(rows(files.filter(~F.col("is_test")), "path", "path", by_path, "path_match", 6))
-    developer = [a for s, _, aliases in expansion.applied if s == "developer" for a in aliases]
-    if developer:
-        out = out.unionByName(rows(files, "path", "developer_intent", text.path_surface_score(F.col("path"), developer), "developer_intent", 7))
-    if manifest:
-        base = paths.manifest_score(F.col("path"))
-        out = out.unionByName(rows(files, "path", "manifest", F.when(base > 0, base + F.least(F.lit(6.0), 2 * text.text_score(F.col("path"), generic))).otherwise(0), "manifest_surface", 8))
-    if tests:
-        shown = F.concat_ws("\n", "path", F.substring("text", 1, 24_576))
-        score = F.least(F.lit(48.0), text.exact_token_score(shown, developer, 12) + F.least(F.lit(18.0), text.exact_token_score(shown, generic, 3)))
-        out = out.unionByName(rows(files.filter("is_test"), "path", "direct_test", score, "direct_test", 9))
-    boost = F.least(F.lit(16.0), text.text_score(F.col("path"), expansion.of("builtin"), 8))
-    if own:
-        out = out.unionByName(rows(out.select("path").distinct(), "path", "intent", boost, "intent_path_match", 11))
-    return out
-
 
-def neighbours(deps: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(symbol_id, score): callees of the seed symbols count 5, callers 4 (two joins instead of one with OR)."""
-    s = seeds.select(F.col("symbol_id").alias("_s")).distinct()
-    callee = deps.join(s, F.col("from_symbol_id") == F.col("_s"), "left_semi").select(F.col("resolved_symbol_id").alias("symbol_id"), F.lit(5.0).alias("score"))
-    caller = deps.join(s, F.col("resolved_symbol_id") == F.col("_s"), "left_semi").select(F.col("from_symbol_id").alias("symbol_id"), F.lit(4.0).alias("score"))
-    return callee.unionByName(caller).filter("symbol_id is not null").groupBy("symbol_id").agg(F.max("score").alias("score"))
+    files: DataFrame
+    symbols: DataFrame
+    routes: DataFrame
+    objects: DataFrame
+    entries: DataFrame
+    deps: DataFrame
+    tests: DataFrame
+    features: DataFrame
+    edges: DataFrame
+    failed: int = 0
+
+
+def hits(df: DataFrame, path: Column, channel: str, score: Column, reason: Column, seq: int, symbol: Column | None = None) -> DataFrame:
+    """Rows (path, channel, score, reason, symbol, seq) of what scores above 0."""
+    symbol = F.lit(None).cast("string") if symbol is None else symbol
+    out = df.select(path.alias("path"), F.lit(channel).alias("channel"), score.cast("double").alias("score"), reason.alias("reason"), symbol.alias("symbol"), F.lit(seq).alias("seq"))
+    return out.filter("score > 0 and path is not null")
+
+
+def fact_score(value: Column, e: Expansion, weights: tuple[int, int]) -> Column:
+    """Score of a fact's text; where a project has terms of its own, one of them must hit."""
+    own, every = text.text_score(value, e.of("project"), weights[1]), text.text_score(value, e.terms, weights[0])
+    return F.when(own > 0, own + every).otherwise(0.0) if e.of("project") else every
+
+
+def symbol_scores(symbols: DataFrame, e: Expansion) -> DataFrame:
+    """symbols that score, with score; a project's term must hit, if there are any."""
+    own = reduce(Column.__add__, [text.text_score(F.col(c), e.of("project"), w) for c, (w, _) in SYMBOL_WEIGHTS.items() if w])
+    every = reduce(Column.__add__, [text.text_score(F.col(c), e.terms, w) for c, (_, w) in SYMBOL_WEIGHTS.items()])
+    out = symbols.withColumn("score", own + every)
+    return out.filter(own > 0) if e.of("project") else out.filter("score > 0")
+
+
+def feature_scores(features: DataFrame, e: Expansion) -> DataFrame:
+    """The best TOP_FEATURES features, with score."""
+    sum_of = lambda values, w: F.aggregate(values, F.lit(0.0), lambda a, v: a + text.text_score(v, e.terms, w))
+    w = FEATURE_WEIGHTS
+    score = text.text_score(F.col("name"), e.terms, w["name"]) + text.text_score(F.col("description"), e.terms, w["description"])
+    score = score + sum_of(F.col("invariants"), w["invariants"]) + sum_of(F.transform("steps", lambda s: s["action"]), w["steps"])
+    return features.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "feature_id").limit(TOP_FEATURES)
+
+
+def feature_hits(top: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Files of the steps of the best features: a step's symbol counts more than its file."""
+    steps = top.select("feature_id", "score", F.explode("steps").alias("step"))
+    reason = F.concat(F.lit("feature:"), "feature_id")
+    by_symbol = steps.join(symbols.select("symbol_id", F.col("file_path").alias("_file")), F.col("step.symbol_id") == F.col("symbol_id"))
+    by_file = steps.filter("step.symbol_id is null")
+    found = hits(by_symbol, F.col("_file"), "feature", 24 + F.col("score") * 0.15, reason, 1, F.col("symbol_id"))
+    return found.unionByName(hits(by_file, F.col("step.file_path"), "feature", F.lit(16.0), reason, 1))
+
+
+def fact_hits(c: Corpus, e: Expansion) -> DataFrame:
+    """Files of entries, routes and data objects that the terms name, with the fact's node."""
+    col, ws = F.col, lambda *x: F.concat_ws(" ", *x)
+    entry = c.entries.withColumn("_v", ws("entry_kind", "entry_name", F.coalesce("handler_ref", F.lit(""))))
+    route = c.routes.withColumn("_v", ws("method", "route_path"))
+    item = c.objects.withColumn("_v", ws("object_name", "operation"))
+    named = (
+        (entry, "entry", ENTRY_WEIGHTS, F.concat(F.lit("entry:"), ws("entry_kind", "entry_name")), 3, F.coalesce("handler_symbol_id", "symbol_id"), col("node_id")),
+        (route, "route", ROUTE_WEIGHTS, F.concat(F.lit("route:"), "_v"), 4, col("symbol_id"), F.concat_ws(":", F.lit("route"), "direction", "method", "route_path")),
+        (item, "db", OBJECT_WEIGHTS, F.concat(F.lit("db:"), "object_name"), 5, col("symbol_id"), F.concat_ws(":", F.lit("db"), "object_type", "object_name")),
+    )
+    parts = []
+    for df, channel, weights, reason, seq, symbol, node in named:
+        scored = df.select(col("file_path").alias("path"), F.lit(channel).alias("channel"), fact_score(col("_v"), e, weights).cast("double").alias("score"), reason.alias("reason"), symbol.alias("symbol"), F.lit(seq).alias("seq"), node.alias("node_id"))
+        parts.append(scored.filter("score > 0"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def path_hits(files: DataFrame, e: Expansion, task: str) -> DataFrame:
+    """Files by their paths: terms, developers' words, manifests, and tests that show what they test."""
+    path, code, tests = F.col("path"), files.filter(~F.col("is_test")), files.filter("is_test")
+    about_manifests, about_tests = surface_intents(task, e)
+    by_path = text.text_score(path, e.of("project"), 18) if e.of("project") else text.text_score(path, e.terms, 2)
+    found = [hits(code, path, "path", by_path, F.lit("path_match"), 6)]
+    for a in e.applied:
+        if a.source == "developer" and a.key.lower() not in TEST_KEYS:
+            found.append(hits(code, path, "developer_intent", text.path_surface_score(path, a.terms()), F.lit(f"developer_intent:{a.key}"), 7))
+    if about_manifests:
+        base = paths.manifest_score(path)
+        found.append(hits(code, path, "manifest", F.when(base > 0, base + F.least(F.lit(6.0), text.text_score(path, e.focus(), 2))), F.lit("manifest_surface"), 8))
+    if about_tests and (e.focus() or e.subjects()):
+        shown = F.substring("text", 1, TEST_PREVIEW)
+        subject = text.path_surface_score(path, e.subjects()) + text.exact_token_score(shown, e.subjects(), 6)
+        generic = text.text_score(path, e.focus(), 3) + text.text_score(shown, e.focus(), 1)
+        found.append(hits(tests, path, "direct_test", F.least(F.lit(48.0), subject + F.least(F.lit(18.0), generic)), F.lit("direct_test_match"), 9))
+    return reduce(DataFrame.unionByName, found)
+
+
+def neighbour_hits(deps: DataFrame, symbols: DataFrame, seeds: list[str]) -> DataFrame:
+    """Files of what the seed symbols (30 at most) call, 5, and of what calls them, 4."""
+    mine = lambda c: F.col(c).isin(*seeds) if seeds else F.lit(False)
+    at = symbols.select(F.col("symbol_id").alias("resolved_symbol_id"), F.col("file_path").alias("_file"))
+    callee = deps.filter(mine("from_symbol_id")).join(at, "resolved_symbol_id")
+    caller = deps.filter(mine("resolved_symbol_id") & ~F.col("resolved_symbol_id").eqNullSafe(F.col("from_symbol_id")))
+    found = hits(callee, F.col("_file"), "graph", F.lit(5.0), F.concat(F.lit("callee_of:"), "from_symbol_id"), 12, F.col("resolved_symbol_id"))
+    return found.unionByName(hits(caller, F.col("from_file"), "graph", F.lit(4.0), F.concat(F.lit("caller_of:"), "resolved_symbol_id"), 12, F.col("from_symbol_id")))
+
+
+def test_hits(tests: DataFrame, symbols: DataFrame, top: list[str]) -> DataFrame:
+    """Tests of the best files (10 at most), 7, by their file or by a symbol in it: two joins, no OR."""
+    among = lambda c: F.col(c).isin(*top) if top else F.lit(False)
+    by_file = tests.filter(among("target_file")).select("test_file", F.col("target_file").alias("_of"))
+    at = symbols.filter(among("file_path")).select(F.col("symbol_id").alias("target_symbol_id"), F.col("file_path").alias("_of"))
+    pairs = by_file.unionByName(tests.join(at, "target_symbol_id").select("test_file", "_of")).distinct()
+    return hits(pairs, F.col("test_file"), "test", F.lit(7.0), F.concat(F.lit("test_for:"), "_of"), 13)
+
+
+@dataclass
+class Group:
+    """Files for which places are held: by a reason, ranked by `order`, `most` of them."""
+
+    kind: str
+    reason: str
+    most: int
+    order: Column
+    fits: Column
+    fixed: bool  # the first `most` count even if another group holds them already
+
+
+def intent_groups(e: Expansion) -> list[Group]:
+    """Places for developers' words first, then for business words, manifests and direct tests."""
+    aliases = sorted((a for a in e.applied if a.source in ("developer", "builtin") and a.terms()), key=lambda a: a.source != "developer")
+    out = []
+    for a in aliases:
+        surface = text.path_surface_score(F.col("path"), a.terms())
+        if a.source == "developer":
+            out.append(Group("developer", f"developer_intent:{a.key}", 1, surface, surface > 0, True))
+        else:
+            out.append(Group("builtin", "intent_path_match", 2, F.lit(0.0), F.lit(True), True))
+    out.append(Group("manifest", "manifest_surface", 1, F.coalesce(F.col("channels")["manifest"], F.lit(0.0)), F.lit(True), False))
+    out.append(Group("test", "direct_test_match", 2, F.coalesce(F.col("channels")["direct_test"], F.lit(0.0)), F.lit(True), False))
+    return out
 
 
-def reserve(ranked: list[dict], limit: int, groups: list[tuple[str, int]]) -> list[str]:
-    """Paths of the selected files in rank order: the best `limit`, of which up to min(6, limit // 2) places are held for groups.
+def pool(ranked: DataFrame, groups: list[Group], limit: int) -> DataFrame:
+    """The rows that a selection can hold: the best `limit`, and of each group those that its places may go to; in rank order.
 
-    ranked: path and `groups` (names it belongs to) in rank order; it is cut to what the pool allows (a few
-    hundred rows) before. Each group (name, places) takes its best files; one that isn't selected replaces
-    the last selected file that is not reserved.
+    ranked: path, final, channels, reasons, and more. `places` gives each row its place in the groups it is in.
     """
-    chosen = [r["path"] for r in ranked[:limit]]
-    held: set[str] = set()
+    order = [F.desc("final"), F.collate("path", "UNICODE"), "path"]
     room = min(6, limit // 2)
-    for name, places in groups:
-        for r in [r for r in ranked if name in r["groups"]][:places]:
-            if len(held) >= room:
+    top = ranked.orderBy(*order).limit(limit).select("path")
+    found = [top.withColumn("group", F.lit(-1)).withColumn("place", F.lit(0))]
+    for n, g in enumerate(groups):
+        mine = ranked.filter(F.array_contains("reasons", g.reason) & g.fits).withColumn("_o", g.order)
+        keep = g.most if g.fixed else g.most + room
+        best = mine.orderBy(F.desc("_o"), *order).limit(keep)
+        best = best.select("path", F.lit(n).alias("group"), F.row_number().over(Window.orderBy(F.desc("_o"), *order)).alias("place"))  # `keep` rows
+        found.append(best)
+    held = reduce(DataFrame.unionByName, found).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("group", "place"))).alias("places"))
+    return ranked.join(F.broadcast(held), "path").orderBy(*order)  # limit + (most + 6) a group
+
+
+def reserve(rows: list[dict], groups: list[Group], limit: int) -> tuple[list[int], dict[int, str]]:
+    """Places of the selected among rows (in rank order, with `places`), and for which kind of group a place is held.
+
+    The best `limit` are selected, min(6, limit // 2) places are held for groups in turn. One that isn't among
+    the best takes the place of the last selected one that no group holds.
+    """
+    room, held = min(6, limit // 2), {}
+    for n, g in enumerate(groups):
+        mine = sorted((r["places"][n], i) for i, r in enumerate(rows) if n in r["places"])
+        mine = mine[: g.most] if g.fixed else [m for m in mine if m[1] not in held][: g.most]
+        for _, i in mine:
+            if len(held) < room:
+                held.setdefault(i, g.kind)
+    chosen = [i for i, r in enumerate(rows) if -1 in r["places"]]
+    for i in held:
+        if i not in chosen:
+            free = [c for c in chosen if c not in held]
+            if not free:
                 break
-            if r["path"] not in chosen:
-                free = [i for i, p in enumerate(chosen) if p not in held]
-                if not free:
-                    break
-                chosen[free[-1]] = r["path"]
-            held.add(r["path"])
-    order = {r["path"]: i for i, r in enumerate(ranked)}
-    return sorted(chosen, key=order.__getitem__)
+            chosen[chosen.index(free[-1])] = i
+    return sorted(chosen), {i: k for i, k in held.items() if i in chosen}
 
 
 def coverage(ranked: Column, strong: Column, failed: Column, limit: int) -> Column:

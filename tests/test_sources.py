@@ -4,7 +4,8 @@ import subprocess
 
 from graphloom import cli
 from graphloom.functions.query import expand_query
-from graphloom.index import build_index
+from graphloom.index import build_index, corpus_of
+from graphloom.operators.ask import ask
 from graphloom.sources import corpus, export
 from graphloom.streaming import telemetry_stream as st
 
@@ -23,8 +24,8 @@ def test_tree_to_export(spark, tmp_path):
     assert [r.path for r in corpus.unreadable(tree).collect()] == ["big.txt"]
     index = build_index(tree)
     assert ("call", "symbol:typescript:src/main.ts::main", "symbol:typescript:src/api/user data.ts::loadUser") in {(e.type, e.from_node_id, e.to_node_id) for e in index.edges.collect()}
-    first = cli.ask(index, "user loading in the api").orderBy("rank").first()
-    assert first.path == "src/api/user data.ts" and "symbol" in first.channels
+    first = ask(corpus_of(index), "user loading in the api").selected[0]
+    assert first["path"] == "src/api/user data.ts" and "symbol_match" in first["reasons"]
     manifest = export.export_public(index, f"file://{tmp_path}/out")
     nodes, edges = corpus.public_index(spark, f"file://{tmp_path}/out")
     assert manifest["edges"] == edges.count() == index.edges.count() and manifest["nodes"] == nodes.count()
@@ -36,7 +37,7 @@ def test_tree_to_export(spark, tmp_path):
 def test_expansion():
     e = expand_query("更新人工任务 for the CLI")
     assert "manual_task" in e.terms and "manualtask" in e.terms and "command" in e.terms and "the" not in e.terms
-    assert [k for _, k, _ in e.applied] == ["人工任务", "cli", "更新"]
+    assert [a.key for a in e.applied] == ["人工任务", "cli", "更新"]
 
 
 def test_streams(spark, tmp_path):
