@@ -1,18 +1,37 @@
-"""Cutting lineage of iterative plans in the folder all executors share."""
+"""Cutting lineage of iterative plans through tables in the folder all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept as a reliable checkpoint (spark.checkpoint.dir; where that is unset a folder of its own, on a local master only)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a folder of its own, on a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/graphloom-cut-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, written to the shared folder and read from there: what follows neither repeats it nor loses it with an executor."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove all tables that cut wrote in this application; results that were not stored elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -62,11 +62,46 @@ def symbol_events(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("symbol_id", kind.alias("kind"), "old_hash", "new_hash")
 
 
-def feature_status(steps: DataFrame) -> DataFrame:
-    """feature_id, status, steps of steps (feature_id, observed_hash, current_hash): a missing symbol makes it stale, a changed one needs review."""
-    gone = F.bool_or(F.col("current_hash").isNull())
-    changed = F.bool_or(~F.col("observed_hash").eqNullSafe(F.col("current_hash")))
-    return steps.groupBy("feature_id").agg(F.when(gone, "stale").when(changed, "needs_review").otherwise("valid").alias("status"), F.count("*").alias("steps"))
+def feature_status(features: DataFrame, steps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """features with status, needs_review, stale_reason and generated_hash as their steps' symbols stand now.
+
+    features: feature_id, definition_hash, needs_review, stale_reason. steps: feature_id, step_order, symbol_id, file_path, observed_hash.
+    symbols: symbol_id, implementation_hash. A step whose symbol is gone makes its feature stale, one whose symbol differs from what was
+    observed needs review; what needs review does so until it is reviewed. One row of a step's state is gathered a feature.
+    """
+    met = steps.join(symbols.select("symbol_id", "implementation_hash"), "symbol_id", "left")
+    named, known = F.col("symbol_id").isNotNull(), F.col("implementation_hash").isNotNull()
+    gone = F.coalesce(F.bool_or(named & ~known), F.lit(False))
+    changed = F.coalesce(F.bool_or(named & known & F.col("observed_hash").isNotNull() & (F.col("observed_hash") != F.col("implementation_hash"))), F.lit(False))
+    row = F.struct("step_order", "symbol_id", "file_path", "implementation_hash")
+    per = met.groupBy("feature_id").agg(gone.alias("_gone"), changed.alias("_changed"), F.sort_array(F.collect_list(row)).alias("_rows"), F.count("*").alias("steps"))
+    out = features.join(per, "feature_id", "left")
+    gone, changed = F.coalesce("_gone", F.lit(False)), F.coalesce("_changed", F.lit(False))
+    review = gone | changed | F.col("needs_review")
+    return out.select(
+        "feature_id",
+        F.when(gone, "stale").when(review, "needs_review").otherwise("valid").alias("status"),
+        review.alias("needs_review"),
+        F.when(gone, "unresolved_feature_symbol").when(changed, "referenced_symbol_changed").otherwise(F.col("stale_reason")).alias("stale_reason"),
+        F.sha2(F.to_json(F.struct("definition_hash", F.col("_rows").alias("steps")), {"ignoreNullFields": "false"}), 256).alias("generated_hash"),
+        F.coalesce("steps", F.lit(0)).cast("long").alias("steps"),
+    )
+
+
+def observe(steps: DataFrame, symbols: DataFrame) -> DataFrame:
+    """steps with what their symbols are now, for the next comparison; a symbol that is gone leaves what was observed."""
+    now = symbols.select("symbol_id", F.col("implementation_hash").alias("_h"), F.col("file_path").alias("_f"))
+    met = steps.join(now, "symbol_id", "left")
+    return met.withColumn("observed_hash", F.coalesce("_h", "observed_hash")).withColumn("file_path", F.coalesce("_f", "file_path")).drop("_h", "_f")
+
+
+def mark_features(features: DataFrame, steps: DataFrame, symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """features of which a step names one of the symbols (symbol_id), or without a symbol one of the files (path), set to be reviewed."""
+    by_symbol = steps.join(symbols.select("symbol_id"), "symbol_id", "left_semi").select("feature_id", F.lit("referenced_symbol_changed").alias("why"))
+    by_file = steps.filter("symbol_id is null").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("feature_id", F.lit("referenced_file_changed").alias("why"))
+    why = by_symbol.unionByName(by_file).groupBy("feature_id").agg(F.max("why").alias("why"))
+    met, hit = features.join(why, "feature_id", "left"), F.col("why").isNotNull()
+    return met.withColumn("status", F.when(hit, "needs_review").otherwise(F.col("status"))).withColumn("needs_review", hit | F.col("needs_review")).withColumn("stale_reason", F.coalesce("why", "stale_reason")).drop("why")
 
 
 def sync_features(stored: DataFrame, defined: DataFrame) -> DataFrame:
@@ -76,9 +111,16 @@ def sync_features(stored: DataFrame, defined: DataFrame) -> DataFrame:
     return met.select("feature_id", "definition_hash", F.when(same, F.col("_s")).otherwise("needs_review").alias("status"))
 
 
-def review(features: DataFrame, feature_id: str) -> DataFrame:
-    """features with one of them reviewed; a stale one can't be."""
-    row = features.filter(F.col("feature_id") == feature_id).select("status").first()
+def review(features: DataFrame, reviews: DataFrame, feature_id: str, at: str, note: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """features with one of them reviewed, and reviews with a row of it; one that is stale or unknown can't be."""
+    row = features.filter(F.col("feature_id") == feature_id).select("status", "generated_hash").first()
     if row is None or row.status == "stale":
         raise ValueError(f"{feature_id} is stale or unknown")
-    return features.withColumn("status", F.when(F.col("feature_id") == feature_id, "valid").otherwise(F.col("status")))
+    mine = F.col("feature_id") == feature_id
+    out = features.withColumn("status", F.when(mine, "valid").otherwise(F.col("status"))).withColumn("needs_review", ~mine & F.col("needs_review")).withColumn("stale_reason", F.when(~mine, F.col("stale_reason")))
+    one = features.sparkSession.createDataFrame([(feature_id, at, row.generated_hash or "", note)], "feature_id string, reviewed_at string, generated_hash string, note string")
+    return out, reviews.unionByName(one)
+
+
+def status_counts(features: DataFrame) -> DataFrame:
+    return features.groupBy("status").agg(F.count("*").alias("n"))

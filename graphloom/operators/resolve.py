@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import route_shape
 
 
+def with_files(rows: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
+    """rows with the language of their file and whether it is a test; null where the file is not known."""
+    return rows.join(files.select(F.col("path").alias(path), F.col("language").alias("file_language"), "is_test"), path, "left")
+
+
 def unique_match(refs: DataFrame, ref_key: str, candidates: DataFrame, on: list[str], target: str) -> DataFrame:
     """ref_key, resolved, candidates: the only candidate of each reference, null if there are none or several.
 
@@ -32,17 +37,31 @@ def first_unique(refs: DataFrame, ref_key: str, steps: list[tuple[str, DataFrame
     return out.select(ref_key, hit.alias("resolved"), label.alias("resolution"))
 
 
+BLOCK = 64  # lines
+
+
 def nearest_symbol(facts: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """facts (keys, file_path, line) with the symbol whose lines hold the line, else the last that starts before it.
+    """facts (keys, file_path, line) with the first symbol whose lines hold the line, else the last that starts at it or before.
 
-    The join is by file; a file's symbols are gathered as one array first, so a fact meets one row.
+    The join is by file and block of BLOCK lines. Of symbols that look alike from within a block (by their lines cut to it) one stays, so a
+    block's row is bounded, however many symbols a file has; what starts before a block is carried on over blocks.
     """
-    per = symbols.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line_start", "line_end", "symbol_id"))).alias("syms"))
-    met = facts.join(per, "file_path", "left")
-    upto = F.filter("syms", lambda s: s["line_start"] <= F.col("line"))
-    holds = F.filter(upto, lambda s: s["line_end"] >= F.col("line"))
-    best = F.coalesce(F.get(holds, F.lit(0))["symbol_id"], F.array_max(F.transform(upto, lambda s: F.struct(s["line_start"].alias("a"), s["symbol_id"].alias("b"))))["b"])
-    return met.select(*keys, "file_path", "line", best.alias("symbol_id"))
+    block, lines = lambda c: F.floor(F.col(c) / BLOCK).cast("int"), ["file_path", "line_start", "line_end"]
+    once = symbols.groupBy(*lines).agg(F.min("symbol_id").alias("lo"), F.max("symbol_id").alias("hi"))
+    over = once.filter("line_end >= line_start").withColumn("block", F.explode(F.sequence(block("line_start"), block("line_end"))))
+    over = over.withColumn("a", F.greatest("line_start", F.col("block") * BLOCK)).withColumn("b", F.least("line_end", F.col("block") * BLOCK + BLOCK - 1))
+    over = over.groupBy("file_path", "block", "a", "b").agg(F.min(F.struct("line_start", "lo")).alias("first"))
+    over = over.groupBy("file_path", "block").agg(F.collect_list(F.struct("a", "b", "first")).alias("over"))
+    starts = once.groupBy("file_path", "line_start").agg(F.max("hi").alias("hi")).withColumn("block", block("line_start"))
+    starts = starts.groupBy("file_path", "block").agg(F.collect_list(F.struct("line_start", "hi")).alias("starts"), F.max(F.struct("line_start", "hi")).alias("last"))
+    placed = facts.withColumn("block", block("line"))
+    blocks = placed.select("file_path", "block").distinct().join(starts, ["file_path", "block"], "full")
+    earlier = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for BLOCK lines
+    blocks = blocks.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).drop("last")
+    met = placed.join(blocks, ["file_path", "block"], "left").join(over, ["file_path", "block"], "left")
+    holds = F.array_min(F.transform(F.filter("over", lambda s: (s["a"] <= F.col("line")) & (s["b"] >= F.col("line"))), lambda s: s["first"]))["lo"]
+    before = F.array_max(F.filter("starts", lambda s: s["line_start"] <= F.col("line")))["hi"]
+    return met.select(*keys, "file_path", "line", F.coalesce(holds, before, F.col("carried.hi")).alias("symbol_id"))
 
 
 def longest_prefix(paths: DataFrame, folders: DataFrame, path: str = "path", folder: str = "folder") -> DataFrame:
@@ -80,19 +99,18 @@ def match_routes(client: DataFrame, server: DataFrame) -> DataFrame:
 def implementers(needs: DataFrame, has: DataFrame) -> DataFrame:
     """Relational division: needs (iface, shape) to has (owner, shape): owners that have every shape of an interface.
 
-    Resolved only if there is one owner; counts meet, not pairs of owners.
+    Resolved only if there is one owner. Interfaces that need the same shapes are one, and so are owners that have the same: what meets are
+    different sets of shapes, by the shape of the interface that the fewest sets of owners have; the others are looked up in the set.
     """
-    wanted = needs.groupBy("iface").agg(F.countDistinct("shape").alias("wanted"))
-    got = needs.distinct().join(has.distinct(), "shape").groupBy("iface", "owner").agg(F.count("*").alias("got"))
-    full = got.join(wanted, "iface").filter("got = wanted").groupBy("iface").agg(F.count("*").alias("owners"), F.min("owner").alias("_o"))
-    out = wanted.join(full, "iface", "left")
-    return out.select("iface", F.coalesce("owners", F.lit(0)).cast("long").alias("owners"), F.when(F.col("owners") == 1, F.col("_o")).alias("owner"))
-
-
-def node_of(kind: str, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(kind), *parts)
-
-
-def newest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(order.desc()))).filter("_rn = 1").drop("_rn")
+    sets = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_set("shape")).alias("set"))
+    wanted = sets(needs, "iface")
+    owned = sets(has, "owner").groupBy("set").agg(F.count("*").alias("owners"), F.min("owner").alias("owner"))
+    have = owned.select(F.explode("set").alias("shape"), F.col("set").alias("have"), "owners", "owner")
+    common = have.groupBy("shape").agg(F.count("*").alias("n"))
+    kinds = wanted.select("set").distinct()
+    rarest = kinds.select("set", F.explode("set").alias("shape")).join(common, "shape", "left")
+    rarest = rarest.groupBy("set").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shape")).alias("r")).select("set", "r.shape")
+    full = rarest.join(have, "shape").filter(F.size(F.array_except("set", "have")) == 0)
+    full = full.groupBy("set").agg(F.sum("owners").alias("owners"), F.min("owner").alias("owner"))
+    out = wanted.join(full, "set", "left")
+    return out.select("iface", F.coalesce("owners", F.lit(0)).cast("long").alias("owners"), F.when(F.col("owners") == 1, F.col("owner")).alias("owner"))

@@ -261,6 +261,24 @@ def rerank(ranked: DataFrame, scores: DataFrame, weight: float = 0.25, limit: in
     return best.select("path", F.col("new").alias("rank"), "fused").unionByName(rest)
 
 
+def ranking_quality(ranked: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """queries, hit_k for each cutoff, mrr and the median rank of the first hit, of ranked (query, rank, relevant)."""
+    first = ranked.groupBy("query").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
+    hit = [F.coalesce(F.sum((F.col("first") <= k).cast("int")), F.lit(0)).alias(f"hit_{k}") for k in cutoffs]
+    return first.agg(F.count("*").alias("queries"), *hit, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.median("first").alias("median_first"))
+
+
+def precision_recall(counts: DataFrame) -> DataFrame:
+    """What confusion() gives, with precision and recall; null where nothing was found or wanted."""
+    ratio = lambda a, b: F.when(F.col("tp") + F.col(b) > 0, F.col(a) / (F.col("tp") + F.col(b)))
+    return counts.withColumn("precision", ratio("tp", "fp")).withColumn("recall", ratio("tp", "fn"))
+
+
+def shown_symbols(symbols: Column, most: int) -> Column:
+    """The first names behind '::' of symbol ids, each once: six of what must be read, three of the rest."""
+    return F.slice(F.array_distinct(F.filter(F.transform(symbols, text.symbol_hint), lambda x: x != "")), 1, most)
+
+
 def confusion(edges: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """tp, fp, fn, tn of labelled edges (on, present) against found ones."""
     met = wanted.join(edges.select(*on).distinct().withColumn("found", F.lit(True)), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -94,9 +94,9 @@ def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward",
         rows.append(late.select("flow_id", "node_id", F.lit("node_limit").alias("reason"), "edge_id", F.lit(1).cast("long").alias("omitted"), F.lit(hop).alias("hop")))
         rows.append(chosen.groupBy("flow_id").agg(F.count("*").alias("omitted")).select("flow_id", F.lit("").alias("node_id"), F.lit("followed").alias("reason"), F.lit(None).cast("string").alias("edge_id"), "omitted", F.lit(hop).alias("hop")))
         level = first.select("flow_id", F.col("target").alias("node_id"), "visit", F.lit(hop + 1).alias("hop"))
-        seen = cut(seen.unionByName(level))
         if level.isEmpty():
             break
+        seen = seen.unionByName(level)  # each level is a table of its own
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     all_rows, step_rows, links = union(rows), union(steps), union(loose)
     count = lambda d, name: d.groupBy("flow_id").agg(F.count("*").alias(name))
@@ -137,8 +137,40 @@ def bridge_degree(edges: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return sure.groupBy(F.col("dst").alias("node_id")).agg(F.countDistinct("src").alias("bridge_degree"))
 
 
+def flow_rows(t: Traversal, edges: DataFrame, described: DataFrame) -> DataFrame:
+    """One row for each flow: status, nodes, steps with their evidence, files, frontier, unresolved links and stats.
+
+    described: t.visited with kind, name, file_path, symbol_id, line. A flow has 1000 nodes at most, so its arrays are bounded; it is complete
+    if nothing was left out and nothing is unresolved.
+    """
+    proof = edges.select("edge_id", "evidence") if "evidence" in edges.columns else edges.select("edge_id", F.lit(None).cast("struct<file_path:string,line:int>").alias("evidence"))
+    gather = lambda d, order, row, name: d.groupBy("flow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*row).alias("x")))), lambda r: r["x"]).alias(name))
+    steps = t.steps.join(proof, "edge_id", "left")
+    nodes = gather(described, ["visit"], ["node_id", "hop", "kind", "name", "file_path", "symbol_id", "line"], "nodes")
+    walked = gather(steps, ["visit"], ["edge_id", "type", "confidence", F.col("node_id").alias("from_node_id"), F.col("target").alias("to_node_id"), "hop", "evidence"], "steps")
+    files = described.select("flow_id", "file_path").unionByName(steps.select("flow_id", F.col("evidence.file_path").alias("file_path"))).filter("file_path is not null")
+    files = files.groupBy("flow_id").agg(F.sort_array(F.collect_set("file_path")).alias("files"))
+    front = gather(t.frontier, ["hop", "node_id", "reason", "edge_id"], ["node_id", "reason", "edge_id", "omitted", "hop"], "frontier_items")
+    loose = gather(t.unresolved, ["hop", "node_id", "edge_id"], ["node_id", "edge_id", "target", "type", "hop"], "unresolved_links")
+    whole = F.when((F.col("frontier") == 0) & (F.col("unresolved") == 0), "complete").otherwise("partial")
+    stats = t.stats.select("flow_id", whole.alias("status"), F.struct(F.col("nodes").alias("visited_nodes"), F.col("steps"), F.col("unresolved").alias("unresolved_links"), "frontier", "cycle_skips").alias("stats"))
+    out = stats
+    for part in (nodes, walked, files, front, loose):
+        out = out.join(part, "flow_id", "left")
+    return out
+
+
+def ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with `place`, 0 on by `order` within `group`: ranks within ranges, behind what stands in the ranges before, so no task gets a whole group."""
+    parted = cut(rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()))
+    counts = parted.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = counts.select(group, "_p", (F.sum("_n").over(Window.partitionBy(group).orderBy("_p")) - F.col("_n")).alias("_before"))  # one row a range
+    local = parted.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)) - 1)
+    return local.join(before, [group, "_p"]).withColumn("place", F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")
+
+
 def layout(nodes: DataFrame, wide: int = 240, high: int = 84) -> DataFrame:
     """nodes (node_id, kind) with a column of the picture for each kind and a row for each node of it."""
     kinds = nodes.select("kind").distinct().withColumn("col", F.row_number().over(Window.orderBy("kind")) - 1)
-    placed = nodes.withColumn("row", F.row_number().over(Window.partitionBy("kind").orderBy("node_id")) - 1)
-    return placed.join(F.broadcast(kinds), "kind").select("node_id", "kind", (F.col("col") * wide).alias("x"), (F.col("row") * high).alias("y"))  # one row a kind
+    placed = ranked(nodes.select("node_id", "kind"), "kind", "node_id")
+    return placed.join(kinds, "kind").select("node_id", "kind", (F.col("col") * wide).alias("x"), (F.col("place") * high).alias("y"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cut import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +47,11 @@ _pairs = [f"select distinct '{t}' as type, {_NODE.format(k=s, c=a)} as src, {_NO
 EDGES_SQL = f"pairs as ({' union all '.join(_pairs)}), edges as (select concat(type, '/', src, '/', dst) as edge_id, src, dst, type, {CONF} as confidence from pairs)"
 
 
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as a table, for what reads them more than once."""
+    return cut(edges(spark, sf_dir))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edge_id, src, dst, type, confidence from the foreign keys."""
     out = None

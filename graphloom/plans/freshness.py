@@ -40,15 +40,49 @@ def symbol_diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.symbol_events(old, new)
 
 
-@query("with s as (select o_custkey as feature_id, case when o_orderstatus = 'F' then null else o_orderpriority end as observed, case when o_orderkey % 10 = 0 then null else o_orderpriority end as now from orders) select feature_id, case when bool_or(now is null) then 'stale' when bool_or(observed is distinct from now) then 'needs_review' else 'valid' end as status, count(*) as steps from s group by 1")
+_FEATURES = "features as (select c_custkey as feature_id, c_custkey % 7 = 0 as needs_review, case when c_custkey % 7 = 0 then 'waits' end as stale_reason from customer), steps as (select o_custkey as feature_id, case when o_orderkey % 3 > 0 then concat('k', o_orderkey % 400) end as symbol_id, case when o_orderstatus <> 'F' then concat('h', o_orderkey % 400) when o_orderkey % 50 = 0 then 'other' end as observed from orders), state as (select f.feature_id, coalesce(bool_or(symbol_id in ('k11', 'k222')), false) as gone, coalesce(bool_or(symbol_id is not null and symbol_id not in ('k11', 'k222') and observed is not null and observed <> concat('h', substr(symbol_id, 2))), false) as changed, count(s.feature_id) as steps from features f left join steps s using (feature_id) group by 1), done as (select feature_id, case when gone then 'stale' when changed or needs_review then 'needs_review' else 'valid' end as status, gone or changed or needs_review as needs_review, case when gone then 'unresolved_feature_symbol' when changed then 'referenced_symbol_changed' else stale_reason end as stale_reason, steps from state join features using (feature_id))"
+
+
+def _feature_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    held = F.col("c_custkey") % 7 == 0
+    features = c.select(F.col("c_custkey").alias("feature_id"), F.lit("d").alias("definition_hash"), held.alias("needs_review"), F.when(held, "waits").alias("stale_reason"))
+    name = (k % 400).cast("string")
+    observed = F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("h"), name)).when(k % 50 == 0, "other")
+    steps = o.select(F.col("o_custkey").alias("feature_id"), k.alias("step_order"), F.when(k % 3 > 0, F.concat(F.lit("k"), name)).alias("symbol_id"), F.lit("x").alias("file_path"), observed.alias("observed_hash"))
+    symbols = spark.range(400).filter("id not in (11, 222)").select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("symbol_id"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("implementation_hash"))
+    return fr.feature_status(features, steps, symbols)
+
+
+@query(f"with {_FEATURES} select feature_id, status, needs_review, stale_reason, steps from done")
 def feature_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    steps = o.select(F.col("o_custkey").alias("feature_id"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("observed_hash"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("current_hash"))
-    return fr.feature_status(steps)
+    return _feature_state(spark, sf_dir).drop("generated_hash")
 
 
-@query("select status, count(*) as n from (select o_custkey, case when max(o_totalprice) > 300000 then 'stale' when max(o_totalprice) > 150000 then 'needs_review' else 'valid' end as status from orders group by 1) group by 1")
+@query(f"with {_FEATURES} select status, count(*) as n from done group by 1")
 def feature_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.max("o_totalprice")
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.when(m > 300000, "stale").when(m > 150000, "needs_review").otherwise("valid").alias("status"))
-    return per.groupBy("status").agg(F.count("*").alias("n"))
+    return fr.status_counts(_feature_state(spark, sf_dir))
+
+
+@query("select c_custkey as feature_id, case when c_custkey % 4 = 0 then 'h2' else 'h1' end as definition_hash, case when c_custkey % 5 = 0 or c_custkey % 4 = 0 then 'needs_review' else 'valid' end as status from customer where c_custkey % 3 <> 0")
+def sync_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("feature_id"))
+    stored = c.filter("feature_id % 5 <> 0").select("feature_id", F.lit("h1").alias("definition_hash"), F.lit("valid").alias("status"))
+    defined = c.filter("feature_id % 3 <> 0").select("feature_id", F.when(F.col("feature_id") % 4 == 0, "h2").otherwise("h1").alias("definition_hash"))
+    return fr.sync_features(stored, defined)
+
+
+_LANG = "lang as (select path, case when ends_with(path, '.ts') then 'typescript' when ends_with(path, '.go') then 'go' else 'text' end as language from files)"
+
+
+@query(
+    f"with recursive {FILES_SQL}, {_LANG}, st as (select path, case when doc_id % 31 = 3 then 'changed' else 'fresh' end as state from files), imp as (select b.path as from_file, a.path as to_file from files a join files b on b.doc_id = a.doc_id + 7), up(path) as (select st.path from st join lang using (path) where state = 'changed' and language = 'typescript' union select from_file from up join imp on to_file = up.path) select path from st where state = 'changed' union select path from up"
+)
+def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).select("doc_id", "path")
+    states = f.select("path", F.when(F.col("doc_id") % 31 == 3, "changed").otherwise("fresh").alias("state"))
+    language = F.when(F.col("path").endswith(".ts"), "typescript").when(F.col("path").endswith(".go"), "go").otherwise("text")
+    imports = f.select((F.col("doc_id") + 7).alias("doc_id"), F.col("path").alias("to_file")).join(f.withColumnRenamed("path", "from_file"), "doc_id").select("from_file", "to_file")
+    return fr.pending(states, f.select("path", language.alias("language")), imports)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import traverse as tr
-from .adapter import EDGES_SQL, edges, table
+from .adapter import EDGES_SQL, edges, stored_edges, table
 from .registry import query
 
 _TYPE = "case type when 'entry_handler' then 0 when 'api_request' then 1 when 'route_handler' then 2 when 'call' then 3 when 'db_read' then 4 when 'db_write' then 5 when 'page_api' then 6 when 'test_of' then 7 when 'import' then 8 else 9 end"
@@ -29,7 +32,7 @@ def _starts(spark: SparkSession, nodes: tuple[str, ...]) -> DataFrame:
 
 
 def _walk(spark: SparkSession, sf_dir: str, nodes: tuple[str, ...], **options) -> tr.Traversal:
-    return tr.traverse(edges(spark, sf_dir), _starts(spark, nodes), **options)
+    return tr.traverse(stored_edges(spark, sf_dir), _starts(spark, nodes), **options)
 
 
 @query(_bfs_sql(FORWARD, "src", "dst", 3, 6, 2))
@@ -58,14 +61,56 @@ def bfs_node_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir, FORWARD, max_hops=4, branch_limit=10, node_limit=40).visited
 
 
-@query()
+_VISITED = _bfs_sql(FORWARD, "src", "dst", 2, 4, 2).removeprefix("with recursive ")
+_FLOW_SQL = f"""with recursive {_VISITED.replace("select flow_id, node_id, min(hop)::int as hop from r group by 1, 2", "select flow_id, node_id, hop from v").replace("r(flow_id, node_id, hop) as", "r(flow_id, node_id, hop) as").rsplit("select flow_id, node_id, hop from v", 1)[0].rstrip()},
+v as (select flow_id, node_id, min(hop) as hop from r group by 1, 2),
+n as (select src as node_id, sum((confidence = 'unresolved')::int) as u, sum((confidence = 'inferred')::int) as below, sum((confidence in ('static', 'exact'))::int) as ok from edges group by 1),
+f as (select v.flow_id, count(*) as nodes, sum(least(coalesce(u, 0), 4)) as unresolved, sum(coalesce(below, 0) + (coalesce(ok, 0) > 4)::int + case when hop = 2 then least(coalesce(ok, 0), 4) else 0 end) as frontier from v left join n using (node_id) group by 1)
+select count(*) as flows, sum((frontier = 0 and unresolved = 0)::int)::bigint as complete, sum((frontier > 0 or unresolved > 0)::int)::bigint as partial, sum(nodes)::bigint as nodes, sum(nodes - 1)::bigint as steps, sum(unresolved)::bigint as unresolved from f"""
+
+
+@query(_FLOW_SQL)
 def flow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.flow_summary(_walk(spark, sf_dir, FORWARD, max_hops=4, branch_limit=10, node_limit=40))
+    return tr.flow_summary(_walk(spark, sf_dir, FORWARD, max_hops=2, branch_limit=4, node_limit=1000))
+
 
+_BUILT = """built as (
+select distinct concat('file:', p_brand) as f, case when n = 1 then concat('symbol:part:', t) else concat('ref:call:', p_name) end as t, 'call' as type, case when n = 1 then 'static' else 'unresolved' end as confidence from part join (select p_name, count(*) n, min(p_partkey) t from part group by 1) using (p_name)
+union select concat('customer:', c_custkey), concat('db:table:', lower(c_mktsegment)), case when c_custkey % 2 = 0 then 'db_read' else 'db_write' end, 'static' from customer
+union select concat('file:', s_nationkey), case when s_suppkey % 3 = 0 then concat('symbol:', s_suppkey) else concat('file:', s_nationkey + 1) end, 'test_of', case when s_suppkey % 3 = 0 then 'static' else 'inferred' end from supplier
+union select concat('route:server:GET:/', n_name), case when n_nationkey % 2 = 0 then concat('symbol:', n_nationkey) else concat('ref:route_handler:', n_name) end, 'route_handler', case when n_nationkey % 2 = 0 then 'static' else 'unresolved' end from nation
+union select concat('entry:job:', n_regionkey), concat('symbol:', n_regionkey), 'entry_handler', 'static' from nation
+union select concat('symbol:c', n_nationkey), case when n_nationkey % 5 > 0 then concat('route:server:GET:/', n_name) else concat('ref:api_request:GET /', n_name, 'x') end, 'api_request', case when n_nationkey % 5 > 0 then 'static' else 'unresolved' end from nation)"""
 
-@query(f"with {EDGES_SQL} select type, confidence, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from edges group by 1, 2")
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by the builders, each over facts of its kind, in one table with ids."""
+    from ..operators import edges as build
+    from ..operators.resolve import match_routes
+
+    n = table(spark, sf_dir, "nation")
+    key = lambda c: F.col(c).cast("string")
+    server = n.select(F.lit("GET").alias("method"), F.concat(F.lit("/"), "n_name").alias("route_path"), "n_nationkey").withColumn("route_id", F.concat_ws(" ", "method", "route_path"))
+    routes = server.select(F.concat(F.lit("route:server:GET:"), "route_path").alias("node_id"), F.substring("route_path", 2, 99).alias("handler_ref"), F.when(F.col("n_nationkey") % 2 == 0, key("n_nationkey")).alias("handler_symbol_id"))
+    jobs = n.select(F.concat(F.lit("entry:job:"), key("n_regionkey")).alias("node_id"), F.lit("run").alias("handler_ref"), key("n_regionkey").alias("handler_symbol_id"))
+    client = n.select(F.concat(F.lit("c"), key("n_nationkey")).alias("symbol_id"), F.lit("f").alias("file_path"), F.lit("GET").alias("method"), F.concat(F.lit("/"), "n_name", F.when(F.col("n_nationkey") % 5 == 0, "x").otherwise("")).alias("route_path"), key("n_nationkey").alias("id"))
+    parts = [
+        _dependencies(spark, sf_dir),
+        _object_edges(spark, sf_dir),
+        _test_edges(spark, sf_dir),
+        build.handler_edges("route_handler", routes),
+        build.handler_edges("entry_handler", jobs),
+        build.request_edges(client, match_routes(client.select("id", "method", "route_path"), server.drop("n_nationkey")), server),
+    ]
+    return build.with_id(reduce(DataFrame.unionByName, parts))
+
+
+@query(f"with {_BUILT} select type, confidence, count(*) as n, count(distinct f) as sources, count(distinct t) as targets from built group by 1, 2")
 def union_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).groupBy("type", "confidence").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    e = _built(spark, sf_dir)
+    # two plain aggregates an end: no row is copied for the second distinct count
+    ends = [e.groupBy("type", "confidence", c).agg(F.count("*").alias("k")).groupBy("type", "confidence").agg(F.count("*").alias(name), F.sum("k").alias("n")) for c, name in (("from_node_id", "sources"), ("to_node_id", "targets"))]
+    return ends[0].join(ends[1].drop("n"), ["type", "confidence"])
 
 
 @query(f"with {EDGES_SQL} select node_id, count(*) as degree from (select src as node_id from edges union all select dst from edges) group by 1")
@@ -114,17 +159,19 @@ def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("x", F.col("x").cast("long")).withColumn("y", F.col("y").cast("long"))
 
 
-@query("select distinct concat('db:table:', lower(c_mktsegment)) as to_node_id, concat('customer:', c_custkey) as from_node_id, case when c_custkey % 2 = 0 then 'db_read' else 'db_write' end as type, 'static' as confidence from customer")
-def db_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.edges import db_edges as build
 
     c = table(spark, sf_dir, "customer")
-    facts = c.select(F.lit(None).cast("string").alias("symbol_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("table").alias("object_type"), F.lower("c_mktsegment").alias("object_name"), F.when(F.col("c_custkey") % 2 == 0, "select").otherwise("update").alias("operation"))
-    return build(facts).select("to_node_id", "from_node_id", "type", "confidence")
+    return build(c.select(F.lit(None).cast("string").alias("symbol_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("table").alias("object_type"), F.lower("c_mktsegment").alias("object_name"), F.when(F.col("c_custkey") % 2 == 0, "select").otherwise("update").alias("operation")))
 
 
-@query("with o as (select p_name, count(*) n, min(p_partkey) t from part group by 1) select concat('file:', p_brand) as from_node_id, case when o.n = 1 then concat('symbol:part:', o.t) else concat('ref:call:', p.p_name) end as to_node_id, case when o.n = 1 then 'static' else 'unresolved' end as confidence, count(*) as n from part p join o using (p_name) group by all")
-def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("select distinct concat('db:table:', lower(c_mktsegment)) as to_node_id, concat('customer:', c_custkey) as from_node_id, case when c_custkey % 2 = 0 then 'db_read' else 'db_write' end as type, 'static' as confidence from customer")
+def db_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _object_edges(spark, sf_dir).select("to_node_id", "from_node_id", "type", "confidence")
+
+
+def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import edges as build
     from ..operators.resolve import unique_match
     from .adapter import symbols
@@ -132,31 +179,74 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = symbols(spark, sf_dir)
     found = unique_match(s.select("p_partkey", "name"), "p_partkey", s, ["name"], "symbol_id")
     deps = s.join(found, "p_partkey").select(F.lit("calls").alias("relation"), F.lit(None).cast("string").alias("from_symbol_id"), F.col("file_path").alias("from_file"), F.col("name").alias("to_ref"), F.lit(None).cast("string").alias("to_file"), F.col("resolved").alias("resolved_symbol_id"))
-    return build.dependency_edges(deps).groupBy("from_node_id", "to_node_id", "confidence").agg(F.count("*").alias("n"))
+    return build.dependency_edges(deps)
 
 
-@query("select distinct concat('file:', s_nationkey) as from_node_id, case when s_suppkey % 3 = 0 then concat('symbol:', s_suppkey) else concat('file:', s_nationkey + 1) end as to_node_id, case when s_suppkey % 3 = 0 then 'static' else 'inferred' end as confidence from supplier")
-def test_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("with o as (select p_name, count(*) n, min(p_partkey) t from part group by 1) select concat('file:', p_brand) as from_node_id, case when o.n = 1 then concat('symbol:part:', o.t) else concat('ref:call:', p.p_name) end as to_node_id, case when o.n = 1 then 'static' else 'unresolved' end as confidence, count(*) as n from part p join o using (p_name) group by all")
+def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dependencies(spark, sf_dir).groupBy("from_node_id", "to_node_id", "confidence").agg(F.count("*").alias("n"))
+
+
+def _test_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.edges import test_edges as build
 
     s = table(spark, sf_dir, "supplier")
     hit = F.col("s_suppkey") % 3 == 0
-    tests = s.select(F.col("s_nationkey").cast("string").alias("test_file"), (F.col("s_nationkey") + 1).cast("string").alias("target_file"), F.when(hit, F.col("s_suppkey").cast("string")).alias("target_symbol_id"), F.when(hit, "test_calls_symbol").otherwise("filename_pair").alias("reason"))
-    return build(tests).select("from_node_id", "to_node_id", "confidence").distinct()
+    return build(s.select(F.col("s_nationkey").cast("string").alias("test_file"), (F.col("s_nationkey") + 1).cast("string").alias("target_file"), F.when(hit, F.col("s_suppkey").cast("string")).alias("target_symbol_id"), F.when(hit, "test_calls_symbol").otherwise("filename_pair").alias("reason")))
 
 
-@query(f"with {EDGES_SQL}, n as (select distinct src as node_id from edges union select dst from edges) select split_part(node_id, ':', 1) as kind, count(*) as n from n group by 1")
-def public_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("select distinct concat('file:', s_nationkey) as from_node_id, case when s_suppkey % 3 = 0 then concat('symbol:', s_suppkey) else concat('file:', s_nationkey + 1) end as to_node_id, case when s_suppkey % 3 = 0 then 'static' else 'inferred' end as confidence from supplier")
+def test_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _test_edges(spark, sf_dir).select("from_node_id", "to_node_id", "confidence").distinct()
+
+
+def _index(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    """An index's tables for what is made public, over the driver's."""
+    d, p, c, n, r = (table(spark, sf_dir, t) for t in ("documents", "part", "customer", "nation", "region"))
     e = edges(spark, sf_dir)
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    return nodes.groupBy(F.substring_index("node_id", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+    text = lambda x: F.col(x).cast("string")
+    return SimpleNamespace(
+        files=d.select(F.concat(F.lit("d"), text("doc_id")).alias("path"), F.col("lang").alias("language"), F.lit("h").alias("content_hash")),
+        symbols=p.select(text("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"), F.col("p_size").alias("line_start"), F.col("p_size").alias("line_end")),
+        routes=n.select(F.when(F.col("n_nationkey") % 3 == 0, "client").otherwise("server").alias("direction"), F.lit("GET").alias("method"), F.concat(F.lit("/"), text("n_regionkey")).alias("route_path"), F.col("n_name").alias("file_path"), F.lit(1).alias("line")),
+        entries=r.select(F.concat(F.lit("entry:cli:"), "r_name").alias("node_id"), F.lit("cli").alias("entry_kind"), F.col("r_name").alias("entry_name"), F.col("r_name").alias("file_path"), F.lit(2).alias("line")),
+        objects=c.select(F.lit("table").alias("object_type"), F.lower("c_mktsegment").alias("object_name"), F.col("c_name").alias("file_path"), F.lit(3).alias("line"), F.lit("select").alias("operation")),
+        edges=e.select("edge_id", F.col("src").alias("from_node_id"), F.col("dst").alias("to_node_id"), "type", "confidence"),
+    )
+
+
+@query(
+    f"with {EDGES_SQL}, k as (select distinct concat('file:d', doc_id) as id, 'document' as kind from documents union all select distinct concat('symbol:', p_partkey), 'symbol' from part union all select distinct concat('route:server:GET:/', n_regionkey), 'route' from nation where n_nationkey % 3 > 0 union all select concat('entry:cli:', r_name), 'entry' from region union all select distinct concat('db:table:', lower(c_mktsegment)), 'data_object' from customer), n as (select distinct src as id from edges union select dst from edges), a as (select * from k union all select id, 'reference' from n where id not in (select id from k)) select kind, count(*) as n, count(distinct id) as ids from a group by 1"
+)
+def public_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.export import public_nodes as build
+
+    return build(_index(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@query("select substr(sha256(concat('call|', l_partkey, '|', l_suppkey)), 1, 24) as id, count(*) as repeats from lineitem group by 1")
+@query("select id, count(*) as n from (select distinct substr(sha256(concat('{\"confidence\":\"static\",\"from_node_id\":\"symbol:', l_partkey, '\",\"to_node_id\":\"symbol:', l_suppkey, '\",\"type\":\"call\"}')), 1, 24) as id, l_partkey, l_suppkey from lineitem) group by 1")
 def public_edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("|", F.lit("call"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return li.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("repeats")).select(F.substring(F.sha2(key.cast("string"), 256), 1, 24).alias("id"), "repeats")
+    from ..operators.edges import with_id
+
+    node = lambda c: F.concat(F.lit("symbol:"), F.col(c).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(node("l_partkey").alias("from_node_id"), node("l_suppkey").alias("to_node_id"), F.lit("call").alias("type"), F.lit("static").alias("confidence"))
+    return with_id(rows).groupBy(F.col("edge_id").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "with i as (select distinct concat('symbol:', l_partkey * 3) as node_id from lineitem union select concat('route:server:GET:/', n_regionkey) from nation union select concat('entry:cli:', r_name) from region union select concat('db:table:', lower(c_mktsegment)) from customer union select concat('file:', n_name) from nation union select concat('ref:call:', n_name) from nation), rt as (select concat('route:server:GET:/', n_regionkey) as node_id, min(n_name) as file_path from nation where n_nationkey % 3 > 0 group by 1) select node_id, split_part(node_id, ':', 1) as kind, case when starts_with(node_id, 'symbol:') then p_brand when starts_with(node_id, 'file:') then substr(node_id, 6) when starts_with(node_id, 'entry:') then r_name else rt.file_path end as file_path, case when starts_with(node_id, 'symbol:') then p_size when starts_with(node_id, 'entry:') then 2 when rt.node_id is not null then 1 end::int as line from i left join part on node_id = concat('symbol:', p_partkey) left join region on node_id = concat('entry:cli:', r_name) left join rt using (node_id)"
+)
+def describe_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.nodes import describe
+
+    ix = _index(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    symbols = ix.symbols.select("symbol_id", F.col("name").alias("qualified_name"), F.col("path").alias("file_path"), "line_start")
+    c = SimpleNamespace(symbols=symbols, entries=ix.entries, routes=ix.routes.withColumn("symbol_id", none))
+    li, n = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "nation")
+    one = lambda df, kind, v: df.select(F.concat(F.lit(kind), v).alias("node_id"))
+    ids = [one(li, "symbol:", (F.col("l_partkey") * 3).cast("string")), one(n, "route:server:GET:/", F.col("n_regionkey").cast("string")), one(table(spark, sf_dir, "region"), "entry:cli:", F.col("r_name")), one(table(spark, sf_dir, "customer"), "db:table:", F.lower("c_mktsegment")), one(n, "file:", F.col("n_name")), one(n, "ref:call:", F.col("n_name"))]
+    return describe(reduce(DataFrame.unionByName, ids).distinct(), c).select("node_id", "kind", "file_path", "line")
 
 
 @query(f"with {EDGES_SQL} select src as node_id, edge_id, rn::int as rn from (select *, row_number() over (partition by src order by {_TYPE}, {_CONF} desc, edge_id) rn from edges) where rn <= 3")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..operators import freshness as fr
+from ..operators import resolve, retrieve
 from .adapter import FILES_SQL, SYMBOLS_SQL, files, symbols, table
 from .registry import query
 
@@ -68,29 +69,49 @@ def prefix_config_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.longest_prefix(files(spark, sf_dir).select("doc_id", "path"), known).select("doc_id", "folder")
 
 
-@query(f"with {SYMBOLS_SQL}, f as (select p_brand as path, count(*) as n_lines from part where p_size > 25 group by 1) select symbol_id, n_lines from symbols left join f on path = file_path")
+@query(f"with {SYMBOLS_SQL}, f as (select distinct p_brand as path, case when p_partkey % 2 = 0 then 'go' else 'sql' end as language from part where p_size > 25 and p_partkey % 50 = 0) select symbol_id, language as file_language from symbols left join (select path, min(language) as language from f group by 1) on path = file_path")
 def left_join_symbols_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = symbols(spark, sf_dir)
-    f = s.filter("line_start > 25").groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n_lines"))
-    return s.join(f, F.col("path") == F.col("file_path"), "left").select("symbol_id", "n_lines")
+    p = table(spark, sf_dir, "part").filter("p_size > 25 and p_partkey % 50 = 0")
+    f = p.groupBy(F.col("p_brand").alias("path")).agg(F.min(F.when(F.col("p_partkey") % 2 == 0, "go").otherwise("sql")).alias("language")).withColumn("is_test", F.lit(False))
+    return resolve.with_files(symbols(spark, sf_dir), f).select("symbol_id", "file_language")
+
 
+_STEPS = "steps as (select o_custkey as feature_id, case when o_orderkey % 2 = 0 then concat('s', cast(o_orderkey % 1000 as string)) end as symbol_id, concat('f', cast(o_orderkey % 500 as string)) as file_path from orders)"
 
-@query("select o_orderkey, o_custkey from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R' and l_quantity > 45)")
+
+@query(f"with {_STEPS.replace('as string', 'as varchar')}, hit as (select feature_id, max(case when symbol_id in ('s2', 's90', 's400') then 'referenced_symbol_changed' when symbol_id is null and file_path in ('f1', 'f77') then 'referenced_file_changed' end) as why from steps group by 1) select c_custkey as feature_id, case when why is null then 'valid' else 'needs_review' end as status, why is not null as needs_review, why as stale_reason from customer left join hit on feature_id = c_custkey")
 def semi_changed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(changed, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+    features = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feature_id"), F.lit("valid").alias("status"), F.lit(False).alias("needs_review"), F.lit(None).cast("string").alias("stale_reason"))
+    one = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
+    return fr.mark_features(features, _feature_steps(spark, sf_dir), one("symbol_id", "s2", "s90", "s400"), one("path", "f1", "f77"))
+
 
+def _feature_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature_id"), k.alias("step_order"), F.when(k % 2 == 0, F.concat(F.lit("s"), (k % 1000).cast("string"))).alias("symbol_id"), F.concat(F.lit("f"), (k % 500).cast("string")).alias("file_path"))
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+
+@query("with old as (select p_partkey, p_brand as file_path, 'old' as version from part), gone as (select distinct p_brand as path from part where p_partkey % 100 = 1), fresh as (select p_partkey, p_brand as file_path, 'new' as version from part where p_partkey % 100 = 1) select * from old where file_path not in (select path from gone) union all select * from fresh")
 def anti_removed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
+    old = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file_path"), F.lit("old").alias("version"))
+    new = old.filter("p_partkey % 100 = 1").withColumn("version", F.lit("new"))
+    return fr.replace_facts(old, new, new.select(F.col("file_path").alias("path")))
+
+
+_DEPS = "deps as (select concat('p', l_partkey) as from_symbol_id, concat('o', l_orderkey) as from_file, concat('s', l_suppkey) as resolved_symbol_id from lineitem)"
 
 
-@query("select l_orderkey, l_partkey, l_suppkey from lineitem where l_partkey in (select p_partkey from part where p_size = 1) or l_suppkey in (select s_suppkey from supplier where s_acctbal > 9000)")
+@query(f"with {_DEPS}, syms as (select concat('s', s_suppkey) as symbol_id, concat('n', s_nationkey) as file_path from supplier) select file_path as path, 'graph' as channel, 5.0::double as score, concat('callee_of:', from_symbol_id) as reason, symbol_id as symbol, 12 as seq from deps join syms on symbol_id = resolved_symbol_id where from_symbol_id in ('p1', 'p7', 'p30') union all select from_file, 'graph', 4.0, concat('caller_of:', resolved_symbol_id), from_symbol_id, 12 from deps where resolved_symbol_id in ('s3')")
 def neighbors_or_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    parts = table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("by_part"))
-    supp = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("by_supp"))
-    met = li.join(parts, "l_partkey", "left").join(supp, "l_suppkey", "left").filter("by_part or by_supp")
-    return met.select("l_orderkey", "l_partkey", "l_suppkey")
+    key = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    deps = table(spark, sf_dir, "lineitem").select(key("p", "l_partkey").alias("from_symbol_id"), key("o", "l_orderkey").alias("from_file"), key("s", "l_suppkey").alias("resolved_symbol_id"))
+    syms = table(spark, sf_dir, "supplier").select(key("s", "s_suppkey").alias("symbol_id"), key("n", "s_nationkey").alias("file_path"))
+    return retrieve.neighbour_hits(deps, syms, ["p1", "p7", "p30", "s3"])
+
+
+@query("with t as (select concat('test', o_orderkey) as test_file, case when o_orderkey % 3 = 0 then concat('f', o_custkey) end as target_file, case when o_orderkey % 3 <> 0 then concat('s', o_custkey % 50) end as target_symbol_id from orders), p as (select test_file, target_file as f from t where target_file in ('f1', 'f2', 'f4') union select test_file, concat('f', k.k) from t join (select unnest([1, 2, 4]) as k) k on target_symbol_id in (concat('s', k.k), concat('s', k.k + 10))) select test_file as path, 'test' as channel, 7.0::double as score, concat('test_for:', f) as reason, null::varchar as symbol, 13 as seq from p")
+def tests_of_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    tests = table(spark, sf_dir, "orders").select(F.concat(F.lit("test"), k.cast("string")).alias("test_file"), F.when(k % 3 == 0, F.concat(F.lit("f"), c.cast("string"))).alias("target_file"), F.when(k % 3 != 0, F.concat(F.lit("s"), (c % 50).cast("string"))).alias("target_symbol_id"))
+    syms = spark.createDataFrame([(f"s{n + d}", f"f{n}") for n in (1, 2, 4) for d in (0, 10)], "symbol_id string, file_path string")
+    return retrieve.test_hits(tests, syms, ["f1", "f2", "f4"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..functions.query import expand_query
 from ..operators import retrieve
 from .adapter import FILES_SQL, files, table
 from .registry import query
@@ -73,19 +74,18 @@ def rank_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REL = "with r as (select o_custkey as q, o_orderstatus = 'F' as relevant, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders), q as (select q, min(rank) filter (where relevant) as first from r group by 1)"
 
 
-@query(f"{_REL} select count(*) as queries, sum((first <= 1)::int) as hit_1, sum((first <= 3)::int) as hit_3, sum((first <= 5)::int) as hit_5, cast(round(1000000 * avg(coalesce(1.0::double / first, 0))) as bigint) as mrr_ppm from q")
+@query(f"{_REL} select count(*) as queries, sum((first <= 1)::int) as hit_1, sum((first <= 3)::int) as hit_3, sum((first <= 5)::int) as hit_5, cast(round(1000000 * avg(coalesce(1.0::double / first, 0))) as bigint) as mrr_ppm, median(first)::double as median_first from q")
 def hit_at_k_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
-    q = r.groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderstatus") == "F", F.col("rank"))).alias("first"))
-    hits = [F.sum((F.col("first") <= k).cast("int")).alias(f"hit_{k}") for k in (1, 3, 5)]
-    return q.agg(F.count("*").alias("queries"), *hits, F.round(1_000_000 * F.avg(F.coalesce(1 / F.col("first"), F.lit(0)))).cast("long").alias("mrr_ppm"))
+    q = retrieve.ranking_quality(r.select(F.col("o_custkey").alias("query"), "rank", (F.col("o_orderstatus") == "F").alias("relevant")))
+    return q.withColumn("mrr_ppm", F.round(1_000_000 * F.col("mrr")).cast("long")).drop("mrr")
 
 
-@query("select sum((quality = 1 and toxic = 1)::int) as tp, sum((quality = 0 and toxic = 1)::int) as fp, sum((quality = 1 and toxic = 0)::int) as fn, sum((quality = 0 and toxic = 0)::int) as tn from labels")
+@query("select *, tp::double / (tp + fp) as precision, tp::double / (tp + fn) as recall from (select sum((quality = 1 and toxic = 1)::int) as tp, sum((quality = 0 and toxic = 1)::int) as fp, sum((quality = 1 and toxic = 0)::int) as fn, sum((quality = 0 and toxic = 0)::int) as tn from labels)")
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     wanted = lab.select("doc_id", (F.col("quality") == 1).alias("present"))
-    return retrieve.confusion(lab.filter("toxic = 1").select("doc_id"), wanted, ["doc_id"])
+    return retrieve.precision_recall(retrieve.confusion(lab.filter("toxic = 1").select("doc_id"), wanted, ["doc_id"]))
 
 
 @query("select c_custkey, case when n = 0 then 'insufficient' when failed > 0 then 'review_required' when n > 60 or strong > 250 then 'broad' else 'sufficient' end as status from (select c_custkey, count(o_orderkey) as n, sum((o_totalprice > 250000)::int) as strong, sum((o_orderstatus = 'P')::int) as failed from customer left join orders on o_custkey = c_custkey group by 1)")
@@ -99,5 +99,49 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select p_brand as path, array_to_string(list_slice(list_sort(list_distinct(list(p_name))), 1, 6), ',') as hints from part group by 1")
 def compact_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.concat(F.lit("symbol:x::"), F.col("p_name"))
-    per = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_set(text.symbol_hint(ids))).alias("hints"))
-    return per.select("path", F.array_join(F.slice("hints", 1, 6), ",").alias("hints"))
+    per = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("path")).agg(F.sort_array(F.collect_list(ids)).alias("symbols"))
+    return per.select("path", F.array_join(retrieve.shown_symbols(F.col("symbols"), 6), ",").alias("hints"))
+
+
+_TASK = "refund the order list"
+_EXP = expand_query(_TASK)
+
+
+@query(
+    f"with f as (select s_suppkey as feature_id, concat(s_name, case when s_suppkey % 4 = 0 then ' Order' else '' end) as name, case when s_suppkey % 3 = 0 then 'the list of refunds' else 'none' end as description, case when s_suppkey % 5 = 0 then ['orders stay', 'x'] else [] end as invariants, case when s_suppkey % 2 = 0 then 'order' else 'see' end as action from supplier), s as (select feature_id, {_score('name', _EXP.terms, 12.0)} + {_score('description', _EXP.terms, 8.0)} + list_sum(list_concat([0.0], list_transform(invariants, lambda v: {_score('v', _EXP.terms, 5.0)}))) + {_score('action', _EXP.terms, 5.0)} as score from f) select feature_id, score::double as score from s where score > 0 order by score desc, feature_id limit 3"
+)
+def feature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    step = F.array(F.struct(F.when(k % 2 == 0, "order").otherwise("see").alias("action"), F.lit(None).cast("string").alias("symbol_id"), F.lit(None).cast("string").alias("file_path")))
+    invariants = F.when(k % 5 == 0, F.array(F.lit("orders stay"), F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    f = table(spark, sf_dir, "supplier").select(k.alias("feature_id"), F.concat("s_name", F.when(k % 4 == 0, " Order").otherwise("")).alias("name"), F.when(k % 3 == 0, "the list of refunds").otherwise("none").alias("description"), invariants.alias("invariants"), step.alias("steps"))
+    return retrieve.feature_scores(f, _EXP).select("feature_id", "score")
+
+
+_FACT = expand_query("blush lace red", {"lace": ["lace"]})
+
+
+@query(f"select * from (select p_partkey, case when ({_score('v', ['lace'], 24.0)}) > 0 then {_score('v', ['lace'], 24.0)} + {_score('v', _FACT.terms, 10.0)} else 0.0 end::double as score from (select p_partkey, concat('GET /', p_name) as v from part)) where score > 0")
+def fact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("GET /"), "p_name").alias("v"))
+    return v.select("p_partkey", retrieve.fact_score(F.col("v"), _FACT, retrieve.ROUTE_WEIGHTS).alias("score")).filter("score > 0")
+
+
+_SYM = expand_query("steel small")
+
+
+@query(f"with s as (select p_partkey as symbol_id, {_score('p_name', _SYM.terms, 14.0)} + {_score('p_type', _SYM.terms, 12.0)} + {_score('p_brand', _SYM.terms, 6.0)} as score from part) select symbol_id, score::double as score from s where score > 0")
+def symbol_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    s = p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.col("p_type").alias("qualified_name"), F.col("p_brand").alias("file_path"), none.alias("description"), none.alias("signature"))
+    return retrieve.symbol_scores(s, _SYM).select("symbol_id", "score")
+
+
+@query("with r as (select concat('f', lpad(o_custkey::varchar, 9, '0')) as path, sum(o_totalprice)::double as final, bool_or(o_orderpriority = '1-URGENT') as urgent, max(o_orderkey) as k from orders group by 1), top as (select path, 0 as place, -1 as grp from r order by final desc, path limit 10), g as (select path, row_number() over (order by k desc, final desc, path) as place, 0 as grp from r where urgent order by place limit 6) select path, list_sort(list(grp))::varchar as groups from (select * from top union all select * from g) group by 1")
+def reserved_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("f"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("path"))
+    r = o.agg(F.sum("o_totalprice").alias("final"), F.when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), F.array(F.lit("urgent"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.max("o_orderkey").alias("k"))
+    group = retrieve.Group("manifest", "urgent", 1, F.col("k"), F.lit(True), False)
+    found = retrieve.pool(r, [group], 10)  # one place and five that others may hold
+    return found.select("path", F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(F.map_keys("places"), lambda x: x.cast("string"))), ", "), F.lit("]")).alias("groups"))

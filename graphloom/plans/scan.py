@@ -73,14 +73,75 @@ def extract_sql_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.db_objects(t, ["c_custkey"]).select("c_custkey", "operation", "object_name", "line")
 
 
-_HREFS = "select page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href=\"(/[^\"]*)\"', 1)) as route_path from pages"
+_ROUTE_TEXT = (
+    "concat('r.Handle(http.MethodPost, \"/pay/', c_custkey, '\", wrap(http.HandlerFunc(api.Pay', c_nationkey, ')));', {nl}, 'r.get(\"/show/', c_nationkey, '\", api.Show)', {nl}, 'DELETE(\"/x/', c_custkey, '\")', {nl}, 'r.PUT(\"no\", f)')"
+)
 
 
-@query(f"with h as ({_HREFS}), s as (select page_id, regexp_replace(route_path, '[?#].*$', '') as p from h) select page_id, p as shape, count(*) as n from s group by 1, 2")
+@query("select c_custkey, 'POST' as method, concat('/pay/', c_custkey) as route_path, 1 as line, concat('api.Pay', c_nationkey) as handler_ref from customer union all select c_custkey, 'GET', concat('/show/', c_nationkey), 2, 'api.Show' from customer union all select c_custkey, 'DELETE', concat('/x/', c_custkey), 3, null from customer")
 def extract_links_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="(/[^"]*)"'), F.lit(1))
-    t = table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("route_path"))
-    return t.groupBy("page_id", text.route_shape(F.col("route_path")).alias("shape")).agg(F.count("*").alias("n"))
+    t = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ROUTE_TEXT.format(nl="char(10)")).alias("text"))
+    return facts.server_routes(t, ["c_custkey"])
+
+
+_CLIENT_TEXT = "concat('fetch(\"/a/', c_custkey, '?q=1\")', {nl}, 'axios.post(`/b/$', '{{id}}/', c_nationkey, '`)', {nl}, 'await sendRequest(\"https://h.io//c//d\", {{ method: \"put\" }})', {nl}, 'other(\"/e\")')"
+
+
+@query("select c_custkey, 'GET' as method, concat('/a/', c_custkey) as route_path, 1 as line from customer union all select c_custkey, 'POST', concat('/b/{param}/', c_nationkey), 2 from customer union all select c_custkey, 'PUT', '/c/d', 3 from customer")
+def client_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CLIENT_TEXT.format(nl="char(10)")).alias("text"))
+    return facts.client_requests(t, ["c_custkey"])
+
+
+_ENTRY_TEXT = "concat('// cron.schedule(\"@never\", a)', {nl}, 'cron.schedule(\"0 ', c_nationkey, ' * *\", run.Night)', {nl}, 'queue.Subscribe(\"t', c_custkey, '\", on)')"
+
+
+@query("select c_custkey, 'job' as entry_kind, concat('0 ', c_nationkey, ' * *') as entry_name, 'run.Night' as handler_ref, 2 as line from customer union all select c_custkey, 'consumer', concat('t', c_custkey), 'on', 3 from customer")
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("path"), F.expr(_ENTRY_TEXT.format(nl="char(10)")).alias("text"))
+    return facts.entries(t, ["c_custkey"], "path").select("c_custkey", "entry_kind", "entry_name", "handler_ref", "line")
+
+
+#: Sources of one service each, by the supplier's key {k} and nation {n}.
+_SOURCES = {
+    "svc/s{k}.go": 'package s{k}\n\nimport "net/http"\n\nfunc Mount(r *Router) {\n\tr.Handle(http.MethodGet, "/api/s{k}/{id}", http.HandlerFunc(Show{k}))\n}\n\nfunc Show{k}() {\n\tload{k}()\n}\n\nfunc load{k}() {\n\texec("SELECT a FROM t{n}")\n}\n',
+    "web/api/c{k}.ts": 'export function get{k}(id: string) {\n  return fetch("/api/s{k}/{id}");\n}\n',
+    "web/pages/P{k}.vue": '<script setup lang="ts">\nimport { get{k} } from "../api/c{k}";\nfunction go() { get{k}("1"); }\n</script>\n',
+    "web/api/c{k}.test.ts": "import { get{k} } from './c{k}';\nexport function check() { return get{k}('1'); }\n",
+    "jobs/j{k}.ts": 'export function nightly{k}() {}\ncron.schedule("@daily", nightly{k});\n',
+}
+_EXPECTED = (
+    ("call", "symbol:go:svc/s{k}.go::Show{k}", "symbol:go:svc/s{k}.go::load{k}", "static"),
+    ("call", "symbol:go:svc/s{k}.go::load{k}", "ref:call:exec", "unresolved"),
+    ("call", "symbol:go:svc/s{k}.go::Mount", "ref:call:http.HandlerFunc", "unresolved"),
+    ("call", "symbol:go:svc/s{k}.go::Mount", "ref:call:r.Handle", "unresolved"),
+    ("call", "symbol:typescript:web/api/c{k}.ts::get{k}", "ref:call:fetch", "unresolved"),
+    ("call", "symbol:vue:web/pages/P{k}.vue::go", "symbol:typescript:web/api/c{k}.ts::get{k}", "static"),
+    ("call", "symbol:typescript:web/api/c{k}.test.ts::check", "symbol:typescript:web/api/c{k}.ts::get{k}", "static"),
+    ("import", "file:svc/s{k}.go", "ref:import:net/http", "unresolved"),
+    ("import", "file:web/pages/P{k}.vue", "file:web/api/c{k}.ts", "static"),
+    ("import", "file:web/api/c{k}.test.ts", "file:web/api/c{k}.ts", "static"),
+    ("db_read", "symbol:go:svc/s{k}.go::load{k}", "db:table:t{n}", "static"),
+    ("route_handler", "route:server:GET:/api/s{k}/{id}", "symbol:go:svc/s{k}.go::Show{k}", "static"),
+    ("api_request", "symbol:typescript:web/api/c{k}.ts::get{k}", "route:server:GET:/api/s{k}/{id}", "static"),
+    ("page_api", "file:web/pages/P{k}.vue", "symbol:typescript:web/api/c{k}.ts::get{k}", "static"),
+    ("test_of", "file:web/api/c{k}.test.ts", "file:web/api/c{k}.ts", "inferred"),
+    ("test_of", "file:web/api/c{k}.test.ts", "symbol:typescript:web/api/c{k}.ts::get{k}", "static"),
+    ("entry_handler", "entry:job:jobs/j{k}.ts:%40daily:2", "symbol:typescript:jobs/j{k}.ts::nightly{k}", "static"),
+)
+_fill = lambda x: f"replace(replace('{x}', '{{k}}', s_suppkey::varchar), '{{n}}', s_nationkey::varchar)"
+
+
+@query(" union all ".join(f"select '{t}' as type, {_fill(a)} as from_node_id, {_fill(b)} as to_node_id, '{c}' as confidence from supplier" for t, a, b, c in _EXPECTED))
+def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from sources to edges: parsers, scopes, bindings, routes, requests, entries, tests."""
+    from ..index import build_index
+
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("{k}"), k), F.lit("{n}"), n)
+    rows = F.array(*[F.struct(fill(p).alias("path"), fill(t).alias("text")) for p, t in _SOURCES.items()])
+    tree = table(spark, sf_dir, "supplier").select(F.inline(rows))
+    return build_index(tree).edges.select("type", "from_node_id", "to_node_id", "confidence")
 
 
 @query("with d as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, unnest(string_split(t, chr(10))) as s, generate_subscripts(string_split(t, chr(10)), 1) as line from d) select doc_id, line::int as line, count(*) as n from (select doc_id, line, unnest(regexp_extract_all(s, '[0-9]{3,}')) as m from l) group by 1, 2")
