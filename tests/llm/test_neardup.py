@@ -43,6 +43,21 @@ def test_edited_copies_go_by_similarity(spark):
     assert stage(spark, spark.createDataFrame([], DOC_SCHEMA), "").count() == 0
 
 
+def test_large_groups_go_in_rounds(spark, monkeypatch):
+    """A group beyond one task's size gives what the greedy order gives: leaders first, the others dealt to several tasks."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 10)
+    monkeypatch.setattr(neardup, "LEADERS", 4)
+    rng, rows = random.Random(7), awkward()
+    base = prose(50, 100).split()
+    for k in range(90):  # around one text: some alike, some chained to it by bands but unlike
+        w = list(base)
+        for i in rng.sample(range(100), rng.choice((0, 1, 2, 4, 6, 9))):
+            w[i] = f"y{k}z{i}"
+        rows.append((2000 + (k * 37) % 90, " ".join(w), "s"))
+    got = neardup.near_dedup(docs(spark, rows))
+    assert sorted(r.text or "" for r in got.collect()) == brute(rows)
+
+
 def test_bands_miss_no_similar_pair():
     rng = random.Random(5)
     for k in range(200):
