@@ -220,26 +220,40 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, over
     rows that repeat are reported each; other columns are ignored; empty tables give an
     empty one. The index goes out in parts of bounded size, one pass over docs for each.
     """
-    spark, out = docs.sparkSession, None
-    schema = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _found(rows, ["doc_id"], items, threshold, overlap, bytes_a_part, null_ids)
+
+
+_FOUND = {"item_id": pa.int64(), "bm25": pa.float64(), "question_overlap": pa.float64(), "answer_overlap": pa.float64()}
+
+
+def _found(rows: DataFrame, keys: list[str], items: DataFrame, threshold: float, overlap: float, bytes_a_part: int, null_ids: bool) -> DataFrame:
+    """keys (longs of rows, which has them and text behind) and what contaminated() says of each item that the text holds."""
+    spark, out = rows.sparkSession, None
+    schema = ", ".join([f"{k} long" for k in keys] + ["item_id long", "bm25 double", "question_overlap double", "answer_overlap double"])
     for part in _item_parts(items, bytes_a_part, null_ids):
         shared = spark.sparkContext.broadcast(Matcher(part, threshold, overlap))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(d.as_py(), *m) for d, t in zip(b.column(0), b.column(1), strict=True) for m in shared.value.matches(t.as_py())]
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"])
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+                at, got = [], []
+                for n, t in enumerate(b.column(len(keys))):
+                    mine = shared.value.matches(t.as_py())
+                    at += [n] * len(mine)
+                    got += mine
+                own = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+                cols = list(zip(*got, strict=True)) or [[]] * len(_FOUND)
+                yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, kind) for c, kind in zip(cols, _FOUND.values(), strict=True)]], [*keys, *_FOUND])
+
+        found = rows.select(*keys, "text").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns (decided by text, so null ids are no matter, of items neither)."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    marked = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    bad = materialize(contaminated(marked, items, null_ids=True, **options).select("doc_id").distinct(), "contaminated")
-    kept = row.join(bad, F.xxhash64("text") == F.col("doc_id"), "left_anti")
-    return kept.select("row.*")
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, bytes_a_part: int = 4_000_000) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns. Rows are told apart by 128 bits of their text, so null ids are no matter, of items neither."""
+    keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(2), "text")}
+    marked = docs.select(*[v.alias(k) for k, v in keys.items()], "text")
+    bad = materialize(_found(marked, list(keys), items, threshold, overlap, bytes_a_part, True).select(*keys).distinct(), "contaminated")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+    return row.join(bad, list(keys), "left_anti").select("row.*")
