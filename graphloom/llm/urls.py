@@ -94,5 +94,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = DEFAU
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     mine = pages.select("page_id", host.alias("host"), path.alias("path"), url_node(F.col("url")).alias("node"))
     mine = mine.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
+    # urls without a host have no aliases: each meets the join under a name of its own, not all under null
+    mine = mine.withColumn("node", F.coalesce("node", F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))))
     met = mine.join(decided, "node", "left")
     return met.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "of_aliases", F.lit("allow")).alias("verdict"), F.col("component").alias("alias_component"))

@@ -250,6 +250,41 @@ def test_urls_rules_and_aliases(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_alias_verdicts_equal_union_find(spark):
+    """Random links among pages: each page's verdict is its own rule's, else its component's, an allow before a block."""
+    import random
+
+    rng = random.Random(6)
+    site = lambda k: ["https://a.net/p", "https://x.com/fr/p", "https://x.com/de/p", "https://e.example.org/es/p"][0 if k % 7 else 1 + k % 3] + str(k)
+    pages, links = [], []
+    for k in range(160):
+        html = ""
+        if rng.random() < 0.55:
+            to = rng.randrange(200)  # some lead to urls that are no pages
+            links.append((site(k), site(to)))
+            html = f'<link rel="canonical" href="{site(to)}">'
+        pages.append((k, site(k), html))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    said = defaultdict(set)
+    for u in {u for pair in links for u in pair}:
+        said[find(u)].add(judge(u)[3])
+    want = {}
+    for k, u, _ in pages:
+        group = said.get(find(u), set())
+        want[k] = judge(u)[3] or ("allow" if "allow" in group else "block" if "block" in group else "allow")
+    df = spark.createDataFrame([*pages, (900, None, None), (901, None, None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in plain(urls.judge_urls(df))}
+    assert got == want | {900: "allow", 901: "allow"} and len(set(want.values())) == 2
+
+
 def test_lines_recurring_templates_go(spark):
     passage = prose(9, 60)
     rows = []
