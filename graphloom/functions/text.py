@@ -54,12 +54,6 @@ def raw_terms(value: Column) -> Column:
     return F.regexp_extract_all(cut, F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
 
 
-def han_bigrams(terms: Column) -> Column:
-    """Neighbouring characters of every term that holds a Han character."""
-    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
-    return F.array_distinct(F.flatten(F.transform(F.filter(terms, lambda t: t.rlike(r"\p{IsHan}") & (F.length(t) > 1)), pairs)))
-
-
 def line_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, "\r?\n", -1)))
 
@@ -136,3 +130,45 @@ def cursor_decode(cursor: Column) -> Column:
 def stable_hash(*fields: tuple[str, Column]) -> Column:
     """sha256 of the JSON of the named fields in alphabetical order, nulls kept."""
     return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields, key=lambda x: x[0])]), {"ignoreNullFields": "false"}), 256)
+
+
+def safe_text(text: Column, most: int = 512_000) -> Column:
+    """The head of a text without its secrets."""
+    return redact_secrets(F.substring(text, 1, most))
+
+
+def keyword_preview(text: Column, terms: Iterable[str], chars: int = 2400, wide: int = 400) -> Column:
+    """Windows around the first place of each of twelve terms at most, a third of each in front of it, joined and cut to `chars`; the head if none hits."""
+    low = F.lower(text)
+    windows = []
+    for t in list(dict.fromkeys(x.lower() for x in terms))[:12]:
+        at = F.instr(low, t)
+        start = F.greatest(F.lit(1), at - int(wide * 0.35))
+        windows.append(F.when(at > 0, F.substr(text, start, F.lit(wide))))
+    if not windows:
+        return redact_secrets(F.substring(text, 1, chars))
+    found = F.array_distinct(F.filter(F.array(*windows), lambda w: w.isNotNull()))
+    shown = F.when(F.size(found) > 0, F.array_join(found, "\n...\n")).otherwise(text)
+    return redact_secrets(F.substring(shown, 1, chars))
+
+
+def lexical_score(path: Column, preview: Column, terms: Iterable[str], changed: Column | None = None) -> Column:
+    """8 for a term in the path, 2 in the preview, 1 more if it is there twice; 6 for a changed file, 3 for a test if the task is about tests."""
+    p, body, terms = F.lower(path), F.lower(F.coalesce(preview, F.lit(""))), list(terms)
+    total = F.when(changed, 6.0).otherwise(0.0) if changed is not None else F.lit(0.0)
+    for t in terms:
+        first = F.instr(body, t)
+        twice = F.instr(F.substr(body, first + F.length(F.lit(t)), F.length(body)), t) > 0
+        total = total + F.when(p.contains(t), 8.0).otherwise(0.0) + F.when(first > 0, F.lit(2.0) + F.when(twice, 1.0).otherwise(0.0)).otherwise(0.0)
+    about_tests = any(x in t for t in terms for x in ("test", "accept", "验收", "测试"))
+    base = F.regexp_extract(F.translate(p, "\\", "/"), "[^/]*$", 0)
+    return total + (F.when(base.rlike("test|spec|acceptance"), 3.0).otherwise(0.0) if about_tests else F.lit(0.0))
+
+
+def classify_score(probability: Column, must: float, maybe: float) -> Column:
+    return F.when(probability >= must, "must_read").when(probability >= maybe, "maybe_read").otherwise("skip")
+
+
+def json_or(text: Column, schema: str, otherwise: Column) -> Column:
+    """JSON of a schema, or something else where the text is none."""
+    return F.coalesce(F.from_json(text, schema), otherwise)

@@ -13,6 +13,7 @@ from .extract import facts as ex
 from .extract import golang, script
 from .functions import paths, text
 from .operators import edges as build
+from .operators import modules as mod
 from .operators import resolve
 from .operators.cut import cut
 from .operators.retrieve import Corpus
@@ -74,25 +75,6 @@ def parser_version(language: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[language], F.lit(TEXT_VERSION))
 
 
-def resolve_modules(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """wanted (path, ref) with to_file: relative and @/ modules, the first of ten attempts that is a file."""
-    folder = paths.dirname(F.col("path"))
-    joined = F.when(F.col("ref").startswith("."), F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), "ref"))
-    src = F.regexp_extract("path", r"^(.*/src/|src/)", 1)
-    joined = F.when(F.col("ref").startswith("@/") & (src != ""), F.concat(src, F.substr("ref", F.lit(3)))).otherwise(joined)
-    walk = F.aggregate(
-        F.filter(F.split(joined, "/"), lambda x: (x != ".") & (x != "")),
-        F.array().cast("array<string>"),
-        lambda a, x: F.when((x == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
-    )
-    tails = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.tsx", "/index.js", "/index.vue")
-    tries = wanted.select("path", "ref").distinct().withColumn("base", F.array_join(walk, "/")).filter("base is not null and base <> ''")
-    tries = tries.select("path", "ref", F.posexplode(F.array(*[F.concat("base", F.lit(t)) for t in tails])).alias("attempt", "to_file"))
-    hit = tries.join(files.select(F.col("path").alias("to_file")), "to_file", "left_semi")
-    best = hit.groupBy("path", "ref").agg(F.min_by("to_file", "attempt").alias("to_file"))
-    return wanted.join(best, ["path", "ref"], "left")
-
-
 def exports(facts: DataFrame, symbols: DataFrame, modules: DataFrame, rounds: int = 64) -> DataFrame:
     """(path, name, symbol_id): what each module exports, own or passed on; names with several targets are left out by users.
 
@@ -152,13 +134,16 @@ def relate(files: DataFrame, found: Facts) -> Index:
     packages = facts.filter("fact = 'package'").select("path", "name")
     symbols = facts.filter("fact = 'symbol'").select("path", "language", F.col("ref").alias("symbol_id"), "name", F.col("owner").alias("receiver"), "line_start", "line_end", F.col("extra").alias("signature"), F.col("doc").alias("description"), F.col("doc_source").alias("description_source"), F.col("hash").alias("implementation_hash"), F.col("meaning").alias("semantic_hash"))
     symbols = cut(_in_scope(symbols, packages).withColumn("base", _base(F.coalesce("receiver", F.lit("")))))
-    modules = cut(resolve_modules(facts.filter("fact in ('import', 'reexport', 'reexport_all', 'binding', 'dynamic_import')"), files))
+    modules = cut(mod.resolve_modules(facts.filter("fact in ('import', 'reexport', 'reexport_all', 'binding', 'dynamic_import')"), files))
     exported = exports(facts, symbols, modules)
     calls = facts.filter("fact = 'call'").select("path", "language", "name", "ref", "owner", "line_start", "extra").distinct()
     calls = _in_scope(calls, packages).withColumn("id", F.xxhash64("path", "ref", F.coalesce("owner", F.lit("")), "line_start"))
+    # a package's name in a call leads to its import path, and that to the folder of its files
+    go_dirs = cut(mod.go_packages(files, packages))
     root, how, base = F.substring_index("ref", ".", 1), F.substring_index(F.coalesce("extra", F.lit("")), "|", 1), _base(F.substring_index(F.coalesce("extra", F.lit("")), "|", -1))
     parts = F.size(F.split("ref", r"\."))
-    bound = modules.filter("fact = 'binding'").select("path", F.col("name").alias("root"), F.col("extra").alias("imported"), "to_file", F.lit(True).alias("is_bound"))
+    bound = modules.filter("fact = 'binding'").select("path", F.col("name").alias("root"), F.col("extra").alias("imported"), "to_file", F.col("ref").alias("import_path"), F.lit(True).alias("is_bound"))
+    bound = bound.join(go_dirs.withColumnRenamed("folder", "go_dir"), "import_path", "left").drop("import_path")
     calls = cut(calls.withColumn("root", root).withColumn("how", how).withColumn("base", base).withColumn("parts", parts).join(bound.dropDuplicates(["path", "root"]), ["path", "root"], "left"))
     one = lambda df, keys, tag: df.groupBy(*keys).agg(F.count("*").alias(f"n_{tag}"), F.min("symbol_id").alias(f"t_{tag}"))
     wanted = F.when((F.col("imported") == "*") & (F.col("parts") == 2), F.col("name")).when((F.col("imported") != "*") & (F.col("parts") == 1), F.col("imported"))
@@ -166,6 +151,8 @@ def relate(files: DataFrame, found: Facts) -> Index:
     by_export = one(exported.select(F.col("path").alias("to_file"), F.col("name").alias("wanted"), "symbol_id").distinct(), ["to_file", "wanted"], "x")
     by_method = one(symbols.filter("base <> ''"), ["scope", "base", "name"], "m")
     by_name = one(symbols, ["scope", "name"], "s")
+    in_dir = symbols.filter("language = 'go' and base = '' and not endswith(path, '_test.go')").withColumn("go_dir", paths.dirname(F.col("path")))
+    by_package = one(in_dir, ["go_dir", "name"], "p")
     fields = _in_scope(facts.filter("fact = 'field'").select("path", F.col("owner").alias("base"), F.col("name").alias("field"), F.col("ref").alias("kind")), packages).drop("path").dropDuplicates(["scope", "base", "field"])
     ifaces = _in_scope(facts.filter("fact = 'iface_method'").select("path", "owner", "name", "extra"), packages)
     methods = symbols.filter("base <> ''")
@@ -173,7 +160,7 @@ def relate(files: DataFrame, found: Facts) -> Index:
     needs = ifaces.select(F.concat_ws("|", "scope", "owner").alias("iface"), shape("owner", "extra").alias("shape"))
     has = methods.select(F.concat_ws("|", "scope", "base").alias("owner"), shape("base", "signature").alias("shape"))
     impl = resolve.implementers(needs, has).select(F.col("iface").alias("_iface"), F.col("owner").alias("_impl"))
-    met = calls.join(by_export, ["to_file", "wanted"], "left").join(by_method, ["scope", "base", "name"], "left").join(by_name, ["scope", "name"], "left")
+    met = calls.join(by_export, ["to_file", "wanted"], "left").join(by_method, ["scope", "base", "name"], "left").join(by_name, ["scope", "name"], "left").join(by_package, ["go_dir", "name"], "left")
     met = met.withColumn("field", F.get(F.split("ref", r"\."), 1)).join(fields, ["scope", "base", "field"], "left")
     plain_kind = F.when(~F.col("kind").rlike(r"[.\[\]]"), F.regexp_replace("kind", r"^\*", ""))
     met = met.withColumn("fbase", plain_kind).withColumn("_iface", F.concat_ws("|", "scope", "fbase")).join(impl, "_iface", "left")
@@ -181,6 +168,7 @@ def relate(files: DataFrame, found: Facts) -> Index:
     by_field = by_method.select("scope", F.col("base").alias("fbase"), "name", F.col("n_m").alias("n_f"), F.col("t_m").alias("t_f"))
     met = met.join(by_field, ["scope", "fbase", "name"], "left")
     steps = [
+        ((F.col("language") == "go") & F.col("go_dir").isNotNull() & (F.col("parts") == 2), "n_p", "t_p", "go_types_object", "go_types_call_ambiguous", "go_types_target_unindexed"),
         (F.col("is_bound") & (F.col("language") != "go"), "n_x", "t_x", "import_binding_symbol", "import_binding_ambiguous", "import_target_missing"),
         (F.col("how") == "receiver_method", "n_m", "t_m", "receiver_type", "receiver_method_ambiguous", "receiver_method_not_found"),
         (F.col("how") == "receiver_field_method", "n_f", "t_f", "receiver_field_type", "receiver_field_ambiguous", "receiver_field_type_unresolved"),
@@ -193,7 +181,7 @@ def relate(files: DataFrame, found: Facts) -> Index:
     call_deps = met.select(F.lit("calls").alias("relation"), F.col("owner").alias("from_symbol_id"), F.col("path").alias("from_file"), F.col("ref").alias("to_ref"), F.lit(None).cast("string").alias("to_file"), target.alias("resolved_symbol_id"), label.alias("resolution"))
     import_deps = modules.filter("fact in ('import', 'reexport', 'reexport_all', 'dynamic_import')")
     to_file = F.when(F.col("fact") != "dynamic_import", F.col("to_file"))
-    import_deps = import_deps.select(F.lit("imports").alias("relation"), F.lit(None).cast("string").alias("from_symbol_id"), F.col("path").alias("from_file"), F.col("ref").alias("to_ref"), to_file.alias("to_file"), F.lit(None).cast("string").alias("resolved_symbol_id"), F.when(F.col("fact") == "dynamic_import", "dynamic_import_unresolved").when(F.col("to_file").isNotNull(), "tracked_fallback").otherwise("external_or_untracked_module").alias("resolution")).distinct()
+    import_deps = import_deps.select(F.lit("imports").alias("relation"), F.lit(None).cast("string").alias("from_symbol_id"), F.col("path").alias("from_file"), F.col("ref").alias("to_ref"), to_file.alias("to_file"), F.lit(None).cast("string").alias("resolved_symbol_id"), F.when(F.col("fact") == "dynamic_import", "dynamic_import_unresolved").when(F.col("to_file").isNotNull(), F.col("resolution")).when(F.col("ref").startswith("."), "module_unresolved").otherwise("external_or_untracked_module").alias("resolution")).distinct()
     deps = cut(call_deps.unionByName(import_deps))
 
     keyed = symbols.select(F.col("path").alias("file_path"), "line_start", "line_end", "symbol_id")

@@ -68,7 +68,36 @@ def project_aliases(path: str) -> dict:
 
 
 def public_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a written public index."""
+    """Nodes and edges of a written public index; an error if its check finds problems."""
+    from .export import check_public
+
+    if problems := [f"{r.part}: {r.problem} ({r.n})" for r in check_public(spark, folder).collect()]:
+        raise ValueError("; ".join(problems))
     nodes = spark.read.schema("id string, kind string, attributes map<string,string>").json(f"{folder}/nodes")
     edges = spark.read.schema("id string, type string, from string, to string, confidence string").json(f"{folder}/edges")
     return nodes, edges
+
+
+def changed_files(repo: str) -> list[str]:
+    """Paths that differ from the last commit, new ones too; of a move the new path."""
+    out = subprocess.run(["git", "-C", repo, "status", "--porcelain", "-z", "--untracked-files=all"], capture_output=True, check=True, timeout=60).stdout
+    fields, found = iter(out.decode("utf-8", "replace").split("\0")), set()
+    for f in fields:
+        if len(f) > 3:
+            found.add(f[3:].replace("\\", "/"))
+            if f[0] in "RC":
+                next(fields, None)  # where it came from
+    return sorted(found)
+
+
+def git_root(repo: str) -> str | None:
+    done = subprocess.run(["git", "-C", repo, "rev-parse", "--show-toplevel"], capture_output=True, timeout=60, check=False)
+    return done.stdout.decode().strip() or None if done.returncode == 0 else None
+
+
+def allowed_path(path: str, roots: list[str]) -> str:
+    """The real path, if it lies in one of the roots."""
+    real = os.path.realpath(path)
+    if not any(real == r or real.startswith(r.rstrip(os.sep) + os.sep) for r in map(os.path.realpath, roots)):
+        raise ValueError(f"{path} lies outside of {', '.join(roots)}")
+    return real

@@ -104,3 +104,40 @@ def test_ambiguity_stays_open(spark):
     assert ("call", "symbol:go:a/x.go::*T.Go", "ref:call:t.s.Run", "unresolved") in got
     assert ("api_request", "symbol:typescript:src/c.ts::f", "ref:api_request:ANY /x", "unresolved") in got
     assert ("page_api", "file:src/views/V.vue", "ref:page_api:dup", "unresolved") in got
+
+
+def test_path_aliases_of_the_nearest_settings(spark):
+    files = {
+        "web/tsconfig.base.json": '{\n  // shared\n  "compilerOptions": { "baseUrl": ".", "paths": { "@lib/*": ["missing/*", "lib/*"], "@lib/exact": ["lib/other.ts"], },\n  }, }\n',
+        "web/tsconfig.json": '{ "extends": "./tsconfig.base" }\n',
+        "web/lib/tools.ts": "export function tool() { return 1; }\n",
+        "web/lib/other.ts": "export function odd() { return 2; }\n",
+        "web/app/use.ts": "import { tool } from '@lib/tools';\nimport { odd } from '@lib/exact';\nimport { deep } from 'shared/deep';\nexport function run() { tool(); odd(); deep(); }\n",
+        "web/shared/deep.ts": "export function deep() { return 3; }\n",
+        "web/inner/tsconfig.json": '{ "compilerOptions": {} }\n',
+        "web/inner/lost.ts": "import { tool } from '@lib/tools';\nexport function lost() { tool(); }\n",
+        "svc/go.mod": "module example.com/svc\n\ngo 1.22\n",
+        "svc/store/store.go": "package store\n\nfunc Fetch() {}\n\nfunc hidden() {}\n",
+        "svc/store/store_test.go": "package store\n\nfunc Fetch2() {}\n",
+        "svc/api/api.go": 'package api\n\nimport (\n\t"fmt"\n\tst "example.com/svc/store"\n)\n\nfunc Serve() {\n\tst.Fetch()\n\tst.Gone()\n\tfmt.Println()\n}\n',
+    }
+    got, ix = edges_of(spark, files)
+    run, serve = "symbol:typescript:web/app/use.ts::run", "symbol:go:svc/api/api.go::Serve"
+    for edge in (
+        ("import", "file:web/app/use.ts", "file:web/lib/tools.ts", "static"),
+        ("import", "file:web/app/use.ts", "file:web/lib/other.ts", "static"),
+        ("import", "file:web/app/use.ts", "file:web/shared/deep.ts", "static"),
+        ("call", run, "symbol:typescript:web/lib/tools.ts::tool", "static"),
+        ("call", run, "symbol:typescript:web/lib/other.ts::odd", "static"),
+        ("call", run, "symbol:typescript:web/shared/deep.ts::deep", "static"),
+        ("import", "file:web/inner/lost.ts", "ref:import:@lib/tools", "unresolved"),
+        ("call", serve, "symbol:go:svc/store/store.go::Fetch", "static"),
+        ("call", serve, "ref:call:st.Gone", "unresolved"),
+        ("call", serve, "ref:call:fmt.Println", "unresolved"),
+    ):
+        assert edge in got, (edge, sorted(e for e in got if e[0] == edge[0]))
+    said = {(r.from_file, r.to_ref): r.resolution for r in ix.dependencies.collect()}
+    assert said["web/app/use.ts", "@lib/tools"] == "ts_module_resolution" and said["svc/api/api.go", "st.Fetch"] == "go_types_object"
+    assert said["svc/api/api.go", "st.Gone"] == "go_types_target_unindexed" and said["web/inner/lost.ts", "@lib/tools"] == "external_or_untracked_module"
+    proof = {(r.type, r.to_node_id): r.evidence for r in ix.edges.collect()}
+    assert proof["call", "symbol:go:svc/store/store.go::Fetch"].resolution == "go_types_object"
