@@ -66,7 +66,7 @@ def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward",
     seen = starts.distinct().withColumn("visit", F.row_number().over(by_flow.orderBy("node_id"))).withColumn("hop", F.lit(0))
     seen = cut(seen.filter(F.col("visit") <= node_limit))
     level, steps, rows, loose = seen, [], [], []
-    flows = seen.select("flow_id").distinct().count()
+    flows = seen.agg(F.countDistinct("flow_id")).first()[0]
     near = F.broadcast if flows * node_limit <= 1_000_000 else lambda d: d
     rank = confidence_rank(F.col("confidence"))
     kind = F.when(F.col("confidence") == "unresolved", "unresolved").when(rank < CONFIDENCE[min_confidence], "below").otherwise("eligible")
@@ -74,7 +74,8 @@ def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward",
         met = usable.join(near(level.select("flow_id", "node_id", "visit")), "node_id").withColumn("kind", kind)
         place = Window.partitionBy("flow_id", "node_id", "kind")
         ranked = met.withColumn("rn", F.row_number().over(place.orderBy(*edge_order())))
-        some = cut(ranked.filter((F.col("rn") <= branch_limit)))
+        some = ranked.filter(F.col("rn") <= branch_limit)
+        some = cut(some) if hop < max_hops else some  # of the last level only reports are made, if they are asked for
         loose.append(some.filter("kind = 'unresolved'").select("flow_id", "node_id", "edge_id", "target", "type", F.lit(hop).alias("hop")))
         below = met.filter("kind = 'below'")
         rows.append(below.select("flow_id", "node_id", F.lit("confidence_threshold").alias("reason"), "edge_id", F.lit(1).cast("long").alias("omitted"), F.lit(hop).alias("hop")))
