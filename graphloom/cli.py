@@ -27,9 +27,9 @@ def flow(index: Index, starts: list[str], **options) -> traverse.Traversal:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="graphloom")
-    p.add_argument("command", choices=("index", "status", "query", "flow", "locate", "export", "graph-html"))
+    p.add_argument("command", choices=("index", "status", "query", "flow", "locate", "export", "graph-html", "review-feature"))
     p.add_argument("repo")
-    p.add_argument("what", nargs="*", help="a task, start nodes, a node, or the target")
+    p.add_argument("what", nargs="*", help="a task, start nodes, a node, the target, or a feature and a note")
     p.add_argument("--index", default=None, help="folder of the stored index (default: .graphloom in the repository)")
     p.add_argument("--compact", action="store_true")
     p.add_argument("--limit", type=int, default=12)
@@ -38,14 +38,18 @@ def main(argv: list[str] | None = None) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     where = a.index or os.path.join(os.path.realpath(a.repo), ".graphloom")
     if a.command == "index":
-        print(json.dumps(store.refresh(spark, corpus.working_tree(spark, a.repo), where, meta={"head": corpus.git_head(a.repo) or ""})))
+        print(json.dumps(store.refresh(spark, corpus.working_tree(spark, a.repo), where, meta={"head": corpus.git_head(a.repo) or ""}, features=corpus.feature_definitions(spark, f"{a.repo}/.context-features"))))
         return
     if a.command == "status":
         print(json.dumps(store.status(spark, corpus.working_tree(spark, a.repo), where), indent=2))
         return
+    if a.command == "review-feature":
+        print(json.dumps(store.review_feature(spark, where, a.what[0], " ".join(a.what[1:]) or None)))
+        return
     index = store.load(spark, where) if store.exists(spark, where) else build_index(corpus.working_tree(spark, a.repo))
     if a.command == "query":
-        found = asking.ask(corpus_of(index), " ".join(a.what), corpus.project_aliases(f"{a.repo}/.context-query-aliases.json"), a.limit)
+        features = store.features_of(spark, where) if store.exists(spark, where) else None
+        found = asking.ask(corpus_of(index, features), " ".join(a.what), corpus.project_aliases(f"{a.repo}/.context-query-aliases.json"), a.limit)
         print(asking.to_json(found, short=a.compact))
     elif a.command == "flow":
         flow(index, a.what).steps.orderBy("flow_id", "visit").show(200, False)

@@ -117,9 +117,9 @@ def go_base_type(name: Column) -> Column:
 
 
 def cursor_encode(ts: Column, key: Column) -> Column:
-    """A page cursor: base64url of 'timestamp|key' without padding."""
+    """A page cursor: base64url of 'timestamp|key' in one line, without padding."""
     raw = F.base64(F.encode(F.concat_ws("|", ts.cast("string"), key.cast("string")), "UTF-8"))
-    return F.regexp_replace(F.translate(raw, "+/", "-_"), "=+$", "")
+    return F.regexp_replace(F.translate(raw, "+/", "-_"), r"[=\r\n]+", "")  # base64 is broken into lines
 
 
 def cursor_decode(cursor: Column) -> Column:
@@ -172,3 +172,29 @@ def classify_score(probability: Column, must: float, maybe: float) -> Column:
 def json_or(text: Column, schema: str, otherwise: Column) -> Column:
     """JSON of a schema, or something else where the text is none."""
     return F.coalesce(F.from_json(text, schema), otherwise)
+
+
+def parse_params(signature: Column) -> Column:
+    """name and type of each parameter of `a: T = x, ...b?: U`: cut at commas outside of brackets, without defaults, marks and dots."""
+    chars = F.split(signature, "")
+    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
+
+    def step(a: Column, c: Column) -> Column:
+        depth = a["depth"] + F.when(c.isin("(", "[", "{", "<"), 1).when(c.isin(")", "]", "}", ">"), -1).otherwise(0)
+        last, head = F.element_at(a["parts"], -1), F.slice(a["parts"], F.lit(1), F.size(a["parts"]) - 1)
+        grown = F.concat(head, F.array(F.concat(last, c)))
+        return F.struct(depth.alias("depth"), F.when((c == ",") & (a["depth"] <= 0), F.concat(a["parts"], F.array(F.lit("")))).otherwise(grown).alias("parts"))
+
+    parts = F.filter(F.transform(F.aggregate(chars, start, step, lambda a: a["parts"]), F.trim), lambda x: x != "")
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s*=(?!>)[\s\S]*$", ""))
+    name = lambda x: F.regexp_extract(plain(x), r"^(?:\.\.\.)?\s*([^:?]*[^:?\s])", 1)
+    kind = lambda x: F.nullif(F.trim(F.regexp_extract(plain(x), r"^[^:]*:([\s\S]*)$", 1)), F.lit(""))
+    return F.transform(parts, lambda x: F.struct(name(x).alias("name"), kind(x).alias("type")))
+
+
+def unique_span(line: Column, name: Column) -> Column:
+    """first and last (not included) byte of an identifier on a line, null unless it stands there once."""
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_$])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}_$])"))
+    head = F.get(F.split(line, whole, -1), F.lit(0))
+    first = F.octet_length(head)
+    return F.when(F.size(F.split(line, whole, -1)) == 2, F.struct(first.alias("first"), (first + F.octet_length(name)).alias("last")))

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .extract import facts as ex
-from .extract import golang, script
+from .extract import registry
 from .functions import paths, text
 from .operators import edges as build
 from .operators import modules as mod
@@ -18,33 +18,29 @@ from .operators import resolve
 from .operators.cut import cut
 from .operators.retrieve import Corpus
 
-PARSED = ("go", "typescript", "javascript", "vue")
-_FIELDS = ("fact", "name", "ref", "owner", "line_start", "line_end", "extra", "doc", "doc_source", "hash", "meaning")
 _SCHEMA = "path string, language string, fact string, name string, ref string, owner string, line_start int, line_end int, extra string, doc string, doc_source string, hash string, meaning string"
-#: What each analyzer writes; a file whose facts another version wrote is analyzed again.
-PARSER_VERSIONS = {"go": "go-2", "typescript": "script-2", "javascript": "script-2", "vue": "vue-2"}
+#: What a file without an analyzer of its own has been read by.
 TEXT_VERSION = "text-1"
 
 
-def _parse(path: str, language: str, body: str) -> list[dict]:
-    try:
-        if language == "go":
-            return golang.facts(path, body)
-        return script.vue_facts(path, body) if language == "vue" else script.facts(path, body, language)
-    except Exception as e:  # one bad file is a diagnostic, its former facts stay
-        return [{"fact": "failed", "extra": f"{type(e).__name__}: {e}"[:400]}]
+def parse(files: DataFrame, analyzers: dict[str, registry.Analyzer] | None = None) -> DataFrame:
+    """Facts of files (path, language, text) in languages that have an analyzer; Arrow batches, no shuffle. A file that can't be analyzed is one row, `failed`."""
+    known = registry.registry(analyzers)
 
+    def one(path: str, language: str, body: str) -> list[dict]:
+        a = known[language]
+        try:
+            return registry.checked(a.run(path, body))
+        except Exception as e:  # one bad file is a diagnostic, its former facts stay
+            return [{"fact": "failed", "name": a.parser_version, "extra": f"{type(e).__name__}: {e}"[:400]}]
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("path", pa.string()), ("language", pa.string()), *[(n, pa.int32() if n.startswith("line") else pa.string()) for n in _FIELDS]])
-    for b in batches:
-        rows = [{"path": p, "language": lang} | {k: f.get(k) for k in _FIELDS} for p, lang, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for f in _parse(p, lang, t)]
-        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), ("language", pa.string()), *[(n, pa.int32() if n.startswith("line") else pa.string()) for n in registry.FIELDS]])
+        for b in batches:
+            rows = [{"path": p, "language": lang} | {k: f.get(k) for k in registry.FIELDS} for p, lang, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for f in one(p, lang, t)]
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-
-def parse(files: DataFrame) -> DataFrame:
-    """Facts of files (path, language, text) in languages that have a parser; Arrow batches, no shuffle."""
-    return files.filter(F.col("language").isin(*PARSED)).select("path", "language", "text").mapInArrow(_facts, _SCHEMA)
+    return files.filter(F.col("language").isin(*known)).select("path", "language", "text").mapInArrow(run, _SCHEMA)
 
 
 @dataclass
@@ -70,8 +66,9 @@ def read_files(files: DataFrame) -> DataFrame:
     return some.select("path", paths.detect_language(F.col("path")).alias("language"), "text", text.content_hash(F.col("text")).alias("content_hash"), text.line_count(F.col("text")).alias("line_count"), paths.is_test_path(F.col("path")).alias("is_test")).withColumn("parser_version", parser_version(F.col("language")))
 
 
-def parser_version(language: Column) -> Column:
-    pairs = [F.lit(x) for kv in PARSER_VERSIONS.items() for x in kv]
+def parser_version(language: Column, analyzers: dict[str, registry.Analyzer] | None = None) -> Column:
+    """What writes the facts of a language: a file whose facts another version wrote is analyzed again."""
+    pairs = [F.lit(x) for k, a in registry.registry(analyzers).items() for x in (k, a.parser_version)]
     return F.coalesce(F.create_map(*pairs)[language], F.lit(TEXT_VERSION))
 
 
@@ -116,7 +113,7 @@ class Facts:
 def extract(files: DataFrame) -> Facts:
     """Facts of files (as read_files gives them), without any shuffle of texts."""
     source = files.select("path", "text")
-    code = files.filter(F.col("language").isin(*PARSED)).select("path", "text")
+    code = files.filter(F.col("language").isin(*registry.BUILTIN)).select("path", "text")
     entries = ex.entries(code, [], "path")
     return Facts(parse(files), ex.db_objects(source, ["path"]), ex.server_routes(code, ["path"]), ex.client_requests(code, ["path"]), entries)
 
@@ -216,7 +213,7 @@ def relate(files: DataFrame, found: Facts) -> Index:
     edges = parts_[0]
     for p in parts_[1:]:
         edges = edges.unionByName(p)
-    return Index(files, symbols, deps, routes, started, objects, tests, cut(build.with_id(edges)), facts.filter("fact = 'failed'").select("path", "language", F.col("extra").alias("message")))
+    return Index(files, symbols, deps, routes, started, objects, tests, cut(build.with_id(edges)), diagnostics(facts, modules))
 
 
 FEATURES = "feature_id string, name string, description string, status string, needs_review boolean, invariants array<string>, steps array<struct<action:string,symbol_id:string,file_path:string>>"
@@ -228,7 +225,18 @@ def corpus_of(index: Index, features: DataFrame | None = None) -> Corpus:
     symbols = index.symbols.select("symbol_id", F.col("path").alias("file_path"), "name", F.concat_ws(".", F.nullif("receiver", F.lit("")), "name").alias("qualified_name"), "description", "signature", "line_start", "line_end")
     edges = index.edges.select("edge_id", F.col("from_node_id").alias("src"), F.col("to_node_id").alias("dst"), "type", "confidence")
     features = spark.createDataFrame([], FEATURES) if features is None else features
-    return Corpus(index.files, symbols, index.routes, index.objects, index.entries, index.dependencies, index.tests, features, edges, index.diagnostics.count())
+    return Corpus(index.files, symbols, index.routes, index.objects, index.entries, index.dependencies, index.tests, features, edges, index.diagnostics.filter("severity = 'error'").count())
+
+
+def diagnostics(facts: DataFrame, modules: DataFrame, most: int = 8) -> DataFrame:
+    """path, language, severity, analyzer, message: files that could not be analyzed, and of each file the first `most` relative modules that lead nowhere."""
+    failed = facts.filter("fact = 'failed'").select("path", "language", F.lit("error").alias("severity"), F.col("name").alias("analyzer"), F.col("extra").alias("message"))
+    lost = modules.filter("to_file is null and ref like '.%' and fact in ('import', 'reexport', 'reexport_all') or fact = 'dynamic_import'")
+    lost = lost.groupBy("path", "language", "ref", "fact").agg(F.min("line_start").alias("line"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("line", "ref", "fact"))
+    lost = lost.withColumn("n", place).filter(F.col("n") <= most)
+    what = F.when(F.col("fact") == "dynamic_import", "dynamic import is not resolved: ").otherwise("cannot find module: ")
+    return failed.unionByName(lost.select("path", "language", F.lit("warning").alias("severity"), F.lit("modules").alias("analyzer"), F.concat(what, "ref").alias("message")))
 
 
 def test_targets(files: DataFrame, symbols: DataFrame, deps: DataFrame) -> DataFrame:

@@ -104,11 +104,24 @@ def mark_features(features: DataFrame, steps: DataFrame, symbols: DataFrame, pat
     return met.withColumn("status", F.when(hit, "needs_review").otherwise(F.col("status"))).withColumn("needs_review", hit | F.col("needs_review")).withColumn("stale_reason", F.coalesce("why", "stale_reason")).drop("why")
 
 
-def sync_features(stored: DataFrame, defined: DataFrame) -> DataFrame:
-    """Features after a read of their definitions (feature_id, definition_hash): a new hash resets the status, missing ones go."""
-    met = defined.join(stored.select("feature_id", F.col("definition_hash").alias("_h"), F.col("status").alias("_s")), "feature_id", "left")
-    same = F.col("_h").eqNullSafe(F.col("definition_hash"))
-    return met.select("feature_id", "definition_hash", F.when(same, F.col("_s")).otherwise("needs_review").alias("status"))
+FEATURE_KEEPS = ("status", "needs_review", "stale_reason", "generated_hash", "reviewed_at")
+
+
+def sync_features(stored: DataFrame, stored_steps: DataFrame, defined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features and their steps after a read of their definitions: what is new or defined otherwise starts valid, with steps not observed yet; missing ones go.
+
+    stored: feature_id, definition_hash and FEATURE_KEEPS. defined: feature_id, name, description, definition_hash, invariants, steps (array of order,
+    action, symbol_id, file_path). Steps without an order are numbered as they stand.
+    """
+    old = stored.select("feature_id", F.col("definition_hash").alias("_h"), *[F.col(c).alias(f"_{c}") for c in FEATURE_KEEPS])
+    met = defined.join(old, "feature_id", "left").withColumn("_same", F.coalesce(F.col("_h") == F.col("definition_hash"), F.lit(False)))
+    fresh = {"status": F.lit("valid"), "needs_review": F.lit(False)}
+    kept = [F.when(F.col("_same"), F.col(f"_{c}")).otherwise(fresh[c]).alias(c) if c in fresh else F.when(F.col("_same"), F.col(f"_{c}")).alias(c) for c in FEATURE_KEEPS]
+    features = met.select("feature_id", "name", "description", "definition_hash", "invariants", *kept)
+    new = met.filter("not _same").select("feature_id", F.posexplode("steps").alias("n", "s"))
+    new = new.select("feature_id", F.coalesce("s.order", F.col("n") + 1).alias("step_order"), F.coalesce("s.action", F.lit("")).alias("action"), "s.symbol_id", "s.file_path", F.lit(None).cast("string").alias("observed_hash"))
+    same = stored_steps.join(met.filter("_same").select("feature_id"), "feature_id", "left_semi")
+    return features, same.select(new.columns).unionByName(new)
 
 
 def review(features: DataFrame, reviews: DataFrame, feature_id: str, at: str, note: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -65,13 +65,16 @@ def feature_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.status_counts(_feature_state(spark, sf_dir))
 
 
-@query("select c_custkey as feature_id, case when c_custkey % 4 = 0 then 'h2' else 'h1' end as definition_hash, case when c_custkey % 5 = 0 or c_custkey % 4 = 0 then 'needs_review' else 'valid' end as status from customer where c_custkey % 3 <> 0")
+@query("select c_custkey as feature_id, case when c_custkey % 4 = 0 then 'h2' else 'h1' end as definition_hash, case when c_custkey % 5 = 0 or c_custkey % 4 = 0 then 'valid' else 'needs_review' end as status, n.n as step_order, case when c_custkey % 5 > 0 and c_custkey % 4 > 0 then 'seen' end as observed_hash from customer, (select 1 as n union all select 7) n where c_custkey % 3 <> 0 and (n = 1 or c_custkey % 5 = 0 or c_custkey % 4 = 0)")
 def sync_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").select(k.alias("feature_id"))
-    stored = c.filter("feature_id % 5 <> 0").select("feature_id", F.lit("h1").alias("definition_hash"), F.lit("valid").alias("status"))
-    defined = c.filter("feature_id % 3 <> 0").select("feature_id", F.when(F.col("feature_id") % 4 == 0, "h2").otherwise("h1").alias("definition_hash"))
-    return fr.sync_features(stored, defined)
+    k, none = F.col("feature_id"), F.lit(None).cast("string")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("feature_id"))
+    stored = c.filter(k % 5 != 0).select("feature_id", F.lit("h1").alias("definition_hash"), F.lit("needs_review").alias("status"), F.lit(True).alias("needs_review"), none.alias("stale_reason"), none.alias("generated_hash"), none.alias("reviewed_at"))
+    had = stored.select("feature_id", F.lit(1).alias("step_order"), F.lit("see").alias("action"), F.lit("s").alias("symbol_id"), none.alias("file_path"), F.lit("seen").alias("observed_hash"))
+    step = lambda order: F.struct(order.cast("int").alias("order"), F.lit("see").alias("action"), F.lit("s").alias("symbol_id"), none.alias("file_path"))
+    defined = c.filter(k % 3 != 0).select("feature_id", F.lit("n").alias("name"), F.lit("d").alias("description"), F.when(k % 4 == 0, "h2").otherwise("h1").alias("definition_hash"), F.array(F.lit("i")).alias("invariants"), F.array(step(F.lit(None)), step(F.lit(7))).alias("steps"))
+    features, steps = fr.sync_features(stored, had, defined)
+    return features.join(steps, "feature_id").select("feature_id", "definition_hash", "status", "step_order", "observed_hash")
 
 
 _LANG = "lang as (select path, case when ends_with(path, '.ts') then 'typescript' when ends_with(path, '.go') then 'go' else 'text' end as language from files)"

@@ -84,10 +84,12 @@ def extract_links_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.server_routes(t, ["c_custkey"])
 
 
-_CLIENT_TEXT = "concat('fetch(\"/a/', c_custkey, '?q=1\")', {nl}, 'axios.post(`/b/$', '{{id}}/', c_nationkey, '`)', {nl}, 'await sendRequest(\"https://h.io//c//d\", {{ method: \"put\" }})', {nl}, 'other(\"/e\")')"
+_CLIENT_TEXT = "concat('fetch(\"/a/', c_custkey, '?q=1\")', {nl}, 'axios.post(`/b/$', '{{id}}/', c_nationkey, '`)', {nl}, 'await sendRequest(\"https://h.io//c//d\", {{ method: \"put\" }})', {nl}, 'other(\"/e\")', {nl}, 'const BASE = \"/k', c_nationkey, '\"; fetch(BASE)', {nl}, 'fetch(`$', '{{BASE}}/x/$', '{{ id }}`)', {nl}, 'call({{ method: \"delete\", url: \"/o/', c_custkey, '\" }}); call({{ url: BASE }})')"
 
 
-@query("select c_custkey, 'GET' as method, concat('/a/', c_custkey) as route_path, 1 as line from customer union all select c_custkey, 'POST', concat('/b/{param}/', c_nationkey), 2 from customer union all select c_custkey, 'PUT', '/c/d', 3 from customer")
+@query(
+    "select c_custkey, 'GET' as method, concat('/a/', c_custkey) as route_path, 1 as line from customer union all select c_custkey, 'POST', concat('/b/{param}/', c_nationkey), 2 from customer union all select c_custkey, 'PUT', '/c/d', 3 from customer union all select c_custkey, 'GET', concat('/k', c_nationkey), 5 from customer union all select c_custkey, 'GET', concat('/k', c_nationkey, '/x/{param}'), 6 from customer union all select c_custkey, 'DELETE', concat('/o/', c_custkey), 7 from customer union all select c_custkey, 'ANY', concat('/k', c_nationkey), 7 from customer"
+)
 def client_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_CLIENT_TEXT.format(nl="char(10)")).alias("text"))
     return facts.client_requests(t, ["c_custkey"])
@@ -144,6 +146,19 @@ def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(tree).edges.select("type", "from_node_id", "to_node_id", "confidence")
 
 
+@query("select p_partkey, list_transform(['a', 'b'], lambda x: x)::varchar as names, concat('map<', p_size, ', list>') as kind_b from part")
+def parse_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a: number = f(1, 2), ...b?: map<"), F.col("p_size").cast("string"), F.lit(", list> ")).alias("v"))
+    p = text.parse_params(F.col("v"))
+    return t.select("p_partkey", F.concat(F.lit("["), F.array_join(F.transform(p, lambda x: x["name"]), ", "), F.lit("]")).alias("names"), F.get(p, F.lit(1))["type"].alias("kind_b"))
+
+
+@query("with t as (select p_partkey, concat('é x ', p_name, '; call(', p_brand, ')') as v, split_part(p_name, ' ', 1) as w from part), n as (select *, len(regexp_extract_all(v, concat('\\b', w, '\\b'))) as k from t) select p_partkey, case when k = 1 then strlen(v[:instr(v, w) - 1]) end::int as first_byte, case when k = 1 then strlen(v[:instr(v, w) - 1]) + strlen(w) end::int as last_byte from n")
+def identifier_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("é x "), "p_name", F.lit("; call("), "p_brand", F.lit(")")).alias("v"), F.substring_index("p_name", " ", 1).alias("w"))
+    return t.select("p_partkey", text.unique_span(F.col("v"), F.col("w")).alias("s")).select("p_partkey", F.col("s.first").alias("first_byte"), F.col("s.last").alias("last_byte"))
+
+
 @query("with d as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, unnest(string_split(t, chr(10))) as s, generate_subscripts(string_split(t, chr(10)), 1) as line from d) select doc_id, line::int as line, count(*) as n from (select doc_id, line, unnest(regexp_extract_all(s, '[0-9]{3,}')) as m from l) group by 1, 2")
 def line_of_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facts.match_rows(files(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "[0-9]{3,}", {})

@@ -99,12 +99,12 @@ def page_with_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te.next_cursor(found, 25).select(F.col("request_id").alias("event_id"), "next")
 
 
-_ACTS = "acts as (select o_custkey as request_id, case o_orderkey % 3 when 0 then 'read' when 1 then 'edit' else 'other' end as kind, o_orderpriority as path, cast(o_totalprice as bigint) as n_bytes from orders), sel as (select distinct o_custkey as request_id, o_orderpriority as path from orders where o_orderstatus = 'O')"
+_ACTS = "acts as (select o_custkey as request_id, case o_orderkey % 3 when 0 then 'read' when 1 then 'edit' else 'other' end as kind, o_orderpriority as path, cast(floor(o_totalprice) as bigint) as n_bytes from orders), sel as (select distinct o_custkey as request_id, o_orderpriority as path from orders where o_orderstatus = 'O')"
 
 
 @query(f'''with {_ACTS}, a as (select request_id, count(distinct path) filter (kind = 'read') as files_read, count(distinct path) filter (kind = 'edit') as files_edited, count(*) as operations, sum(n_bytes)::bigint as n_bytes from acts group by 1), r as (select distinct request_id, path from acts where kind = 'read'), o as (select coalesce(s.request_id, r.request_id) as request_id, sum((s.path is not null and r.path is not null)::int)::bigint as "both", sum((r.path is null)::int)::bigint as only_selected, sum((s.path is null)::int)::bigint as only_read from sel s full join r on s.request_id = r.request_id and s.path = r.path group by 1) select request_id, coalesce(files_read, 0) as files_read, coalesce(files_edited, 0) as files_edited, coalesce(operations, 0) as operations, coalesce(n_bytes, 0) as n_bytes, coalesce("both", 0) as "both", coalesce(only_selected, 0) as only_selected, coalesce(only_read, 0) as only_read from a full join o using (request_id)''')
 def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey") % 3
-    acts = o.select(F.col("o_custkey").alias("request_id"), F.when(k == 0, "read").when(k == 1, "edit").otherwise("other").alias("kind"), F.col("o_orderpriority").alias("path"), F.round("o_totalprice").cast("long").alias("n_bytes"))
+    acts = o.select(F.col("o_custkey").alias("request_id"), F.when(k == 0, "read").when(k == 1, "edit").otherwise("other").alias("kind"), F.col("o_orderpriority").alias("path"), F.floor("o_totalprice").cast("long").alias("n_bytes"))
     return te.experiment_summary(o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("request_id"), F.col("o_orderpriority").alias("path")), acts)

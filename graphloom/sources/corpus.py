@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import subprocess
@@ -49,8 +50,11 @@ FEATURE = "id string, name string, description string, steps array<struct<order:
 
 
 def feature_definitions(spark: SparkSession, folder: str) -> DataFrame:
-    """Definitions of a folder's JSON files with a hash of their content; without id, name or description none."""
-    raw = spark.read.text(f"{folder}/*.json", wholetext=True)
+    """Definitions of a folder's JSON files with a hash of their content; without id, name or description none, without the folder neither."""
+    if not glob.glob(f"{folder.removeprefix('file://')}/*.json"):
+        raw = spark.createDataFrame([], "value string")
+    else:
+        raw = spark.read.text(f"{folder}/*.json", wholetext=True)
     got = raw.select(F.from_json("value", FEATURE).alias("f")).select("f.*").filter("id is not null and name is not null and description is not null")
     got = got.withColumn("steps", F.coalesce("steps", F.from_json(F.lit("[]"), "array<struct<order:int,action:string,symbol_id:string,file_path:string>>"))).withColumn("invariants", F.coalesce("invariants", F.array().cast("array<string>")))
     return got.withColumn("definition_hash", F.sha2(F.to_json(F.struct("description", "id", "invariants", "name", "steps")), 256)).withColumnRenamed("id", "feature_id")

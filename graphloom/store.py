@@ -58,7 +58,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         raise FileNotFoundError(f"{folder} holds no index")
     if at["schema_version"] > SCHEMA_VERSION:
         raise ValueError(f"{folder} was written by schema version {at['schema_version']}, this is {SCHEMA_VERSION}")
-    df = spark.read.parquet(f"{folder}/{at['snapshot']}/{name}")
+    df = spark.read.parquet(f"{folder}/{at.get('tables', {}).get(name, at['snapshot'])}/{name}")
     for version in range(at["schema_version"] + 1, SCHEMA_VERSION + 1):
         for column, kind in ADDED.get(version, {}).get(name, {}).items():
             if column not in df.columns:
@@ -70,6 +70,47 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(read_table(spark, folder, "files"), *[read_table(spark, folder, r) for r in RELATIONS])
 
 
+FEATURES = "feature_id string, name string, description string, definition_hash string, invariants array<string>, status string, needs_review boolean, stale_reason string, generated_hash string, reviewed_at string"
+STEPS = "feature_id string, step_order int, action string, symbol_id string, file_path string, observed_hash string"
+REVIEWS = "feature_id string, reviewed_at string, generated_hash string, note string"
+
+
+def features_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored features with their steps gathered, as a question reads them."""
+    steps = read_table(spark, folder, "feature_steps").groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("step_order", "action", "symbol_id", "file_path"))).alias("steps"))
+    shown = F.transform(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), lambda s: F.struct(s["action"].alias("action"), s["symbol_id"].alias("symbol_id"), s["file_path"].alias("file_path")))
+    met = read_table(spark, folder, "features").join(steps, "feature_id", "left")
+    return met.select("feature_id", "name", "description", "status", "needs_review", "invariants", shown.alias("steps"))
+
+
+def _refresh_features(spark: SparkSession, folder: str, stored: bool, defined: DataFrame | None, index: Index, events: DataFrame) -> dict[str, DataFrame]:
+    """The features' tables after a refresh: definitions read, marked by what changed, and set by how their symbols stand now."""
+    old = {n: read_table(spark, folder, n) if stored else spark.createDataFrame([], kind) for n, kind in (("features", FEATURES), ("feature_steps", STEPS), ("feature_reviews", REVIEWS))}
+    features, steps = old["features"], old["feature_steps"]
+    if defined is not None:
+        features, steps = freshness.sync_features(features, steps, defined)
+    features, steps = cut(features), cut(steps)
+    changed = events.filter("kind = 'symbol_changed'").select("symbol_id")
+    files = events.filter("kind = 'file_reindexed'").select(F.col("file_path").alias("path")) if stored else events.limit(0).select(F.col("file_path").alias("path"))
+    marked = cut(freshness.mark_features(features, steps, changed, files))
+    symbols = index.symbols.select("symbol_id", "implementation_hash", F.col("path").alias("file_path"))
+    states = freshness.feature_status(marked, steps, symbols).drop("steps")
+    now = marked.drop("status", "needs_review", "stale_reason", "generated_hash").join(states, "feature_id")
+    return {"features": now.select(old["features"].columns), "feature_steps": freshness.observe(steps, symbols).select(old["feature_steps"].columns), "feature_reviews": old["feature_reviews"]}
+
+
+def review_feature(spark: SparkSession, folder: str, feature_id: str, note: str | None = None) -> dict:
+    """Mark a stored feature as reviewed and note it; the two tables take the place of the former ones, all others stay."""
+    at, now = _pointer(spark, folder), datetime.now(UTC).isoformat()
+    features, reviews = freshness.review(read_table(spark, folder, "features"), read_table(spark, folder, "feature_reviews"), feature_id, now, note)
+    features = features.withColumn("reviewed_at", F.when(F.col("feature_id") == feature_id, now).otherwise(F.col("reviewed_at")))
+    name = f"review-{uuid.uuid4().hex}"
+    for table, df in (("features", features), ("feature_reviews", reviews)):
+        df.write.parquet(f"{folder}/{name}/{table}")
+    _swap(spark, folder, at | {"tables": at.get("tables", {}) | {"features": name, "feature_reviews": name}})
+    return {"feature_id": feature_id, "reviewed_at": now, "status": "valid"}
+
+
 def _meta(rows: dict, old: DataFrame | None, spark: SparkSession) -> DataFrame:
     """Keys and values, the last of each key."""
     new = spark.createDataFrame([(k, v, 1) for k, v in rows.items()], "key string, value string, age int")
@@ -87,12 +128,13 @@ def _events(old: DataFrame, new: DataFrame, changed: DataFrame, at: str) -> Data
     return rows.unionByName(files).withColumn("indexed_at", F.lit(at))
 
 
-def refresh(spark: SparkSession, tree: DataFrame, folder: str, *, force: bool = False, meta: dict | None = None) -> dict:
+def refresh(spark: SparkSession, tree: DataFrame, folder: str, *, force: bool = False, meta: dict | None = None, features: DataFrame | None = None) -> dict:
     """Bring the stored index up to date with tree (path, text; null text: what can't be read keeps its facts) and say what was done.
 
     Files whose content or analyzer changed are analyzed, and those that depend on them (freshness.pending). The facts of
     all others, and of files whose analysis failed, are taken over from the last snapshot; relations, which
-    any file may touch, are computed from all facts. Everything is written to a new snapshot before the pointer moves to it.
+    any file may touch, are computed from all facts. features are definitions (sources.corpus.feature_definitions); without them the stored ones
+    stay and are held against the symbols as they are now. Everything is written to a new snapshot before the pointer moves to it.
     """
     unread = cut(tree.filter("text is null").select("path").distinct())
     now = datetime.now(UTC).isoformat()
@@ -135,6 +177,9 @@ def refresh(spark: SparkSession, tree: DataFrame, folder: str, *, force: bool =
     for r in RELATIONS:
         write(getattr(index, r), r)
     events = _events(read_table(spark, folder, "symbols"), index.symbols, done, now) if stored else _events(index.symbols.limit(0), index.symbols, done, now)
+    events = cut(events)
+    for t, df in _refresh_features(spark, folder, stored, features, index, events).items():
+        write(df, t)
     write(read_table(spark, folder, "change_events").unionByName(events) if stored else events, "change_events")
     write(_meta({"schema_version": str(SCHEMA_VERSION), "last_indexed_at": now} | (meta or {}), read_table(spark, folder, "meta") if stored else None, spark), "meta")
     _swap(spark, folder, {"snapshot": name, "schema_version": SCHEMA_VERSION})
@@ -157,5 +202,6 @@ def status(spark: SparkSession, tree: DataFrame, folder: str) -> dict:
         "unreadable": unread.count(),
         "samples": {r.state: r.paths for r in samples.collect()},
         "tables": {t: read_table(spark, folder, t).count() for t in ("files", *RELATIONS)},
+        "features": {r.status: r.n for r in freshness.status_counts(read_table(spark, folder, "features")).collect()},
         "meta": {r.key: r.value for r in read_table(spark, folder, "meta").collect()},
     }

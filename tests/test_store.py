@@ -58,3 +58,45 @@ def test_failed_analysis_keeps_former_facts(spark, tmp_path):
     assert [s.name for s in ix.symbols.collect()] == ["one"] and ix.diagnostics.count() == 1
     assert store.refresh(spark, tree(spark, {"v.vue": good}), where)["failed"] == 0
     assert store.load(spark, where).diagnostics.count() == 0
+
+
+def test_features_are_held_against_their_symbols(spark, tmp_path):
+    from graphloom.index import corpus_of
+    from graphloom.operators.ask import ask
+    from graphloom.sources import corpus
+
+    where, folder = f"file://{tmp_path}/ix", tmp_path / "defs"
+    assert corpus.feature_definitions(spark, str(folder)).count() == 0
+    folder.mkdir()
+    step = '{"action": "adds", "symbol_id": "typescript:src/a.ts::add"}'
+    (folder / "sum.json").write_text('{"id": "sum", "name": "Sums", "description": "adds numbers", "steps": [%s, {"action": "docs", "file_path": "src/b.ts"}], "invariants": ["no rest"]}' % step)
+    (folder / "lost.json").write_text('{"id": "lost", "name": "Lost", "description": "points nowhere", "steps": [{"action": "x", "symbol_id": "typescript:src/zzz.ts::no"}]}')
+    (folder / "bad.json").write_text('{"id": "bad"}')
+    files = {"src/a.ts": "export function add(x: number) { return x; }\n", "src/b.ts": "export function other() { return 1; }\n"}
+    run = lambda: store.refresh(spark, tree(spark, files), where, features=corpus.feature_definitions(spark, f"file://{folder}"))
+    state = lambda: {r.feature_id: (r.status, r.needs_review, r.stale_reason) for r in store.read_table(spark, where, "features").collect()}
+    run()
+    assert state() == {"sum": ("valid", False, None), "lost": ("stale", True, "unresolved_feature_symbol")}
+    first = {r.feature_id: r.generated_hash for r in store.read_table(spark, where, "features").collect()}
+    files["src/a.ts"] = "export function add(x: number) { return x + 1; }\n"
+    run()
+    assert state()["sum"] == ("needs_review", True, "referenced_symbol_changed")
+    run()  # nothing changed since, but nobody has looked
+    assert state()["sum"][:2] == ("needs_review", True) and {r.feature_id: r.generated_hash for r in store.read_table(spark, where, "features").collect()}["sum"] != first["sum"]
+    assert store.review_feature(spark, where, "sum", "fine")["status"] == "valid" and state()["sum"] == ("valid", False, None)
+    for bad in ("lost", "none"):
+        try:
+            store.review_feature(spark, where, bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    assert [(r.feature_id, r.note) for r in store.read_table(spark, where, "feature_reviews").collect()] == [("sum", "fine")]
+    files["src/b.ts"] = "export function other() { return 2; }\n"
+    run()
+    assert state()["sum"] == ("needs_review", True, "referenced_file_changed") and store.status(spark, tree(spark, files), where)["features"] == {"needs_review": 1, "stale": 1}
+    (folder / "lost.json").unlink()
+    (folder / "sum.json").write_text('{"id": "sum", "name": "Sums", "description": "adds anew", "steps": [%s]}' % step)
+    run()
+    assert state() == {"sum": ("valid", False, None)}
+    found = ask(corpus_of(store.load(spark, where), store.features_of(spark, where)), "sums of numbers")
+    assert found.features[0]["feature_id"] == "sum" and "feature:sum" in found.selected[0]["reasons"]

@@ -129,3 +129,95 @@ def test_recorded_events_are_valid(spark, index, tmp_path):
     bad = rows.limit(1).withColumn("event_type", F.lit("dance"))
     assert te.append_events(late.unionByName(bad), path) == {"after_end": 1, "unknown_event_type": 1}
     assert spark.read.parquet(path).count() == len(log)
+
+
+def test_a_users_analyzer_and_bad_facts(spark):
+    from graphloom.extract.registry import Analyzer, registry
+    from graphloom.index import parse
+
+    def words(path, text):
+        if "boom" in text:
+            return [{"fact": "symbol", "name": "x"}]  # no whole symbol
+        return [{"fact": "symbol", "name": w, "ref": f"python:{path}::{w}", "line_start": 1, "line_end": 1} for w in text.split()]
+
+    mine = {"python": Analyzer("words", "7", "heuristic", words)}
+    files = spark.createDataFrame([("a.py", "python", "one two"), ("b.py", "python", "boom"), ("c.go", "go", "package c\n\nfunc F() {}\n"), ("d.txt", "text", "none")], "path string, language string, text string")
+    got = parse(files, mine).collect()
+    assert {(r.path, r.name) for r in got if r.fact == "symbol"} == {("a.py", "one"), ("a.py", "two"), ("c.go", "F")}
+    assert [(r.path, r.name) for r in got if r.fact == "failed"] == [("b.py", "words-7")]
+    assert {r.path for r in parse(files).collect()} == {"c.go"}
+    for bad in (Analyzer("w", "1", "unsupported", words), Analyzer("", "1", "static", words), Analyzer("w", "1", "sure", words)):
+        with pytest.raises(ValueError):
+            registry({"python": bad})
+
+
+def test_diagnostics_name_lost_modules(spark):
+    many = "".join(f"import {{ x{i} }} from './none{i}';\n" for i in range(12))
+    ix = build_index(spark.createDataFrame([("a.ts", many + "export async function f() { await import('./dyn'); }\n"), ("b.ts", "import z from 'lib';\n")], "path string, text string"))
+    got = [(r.path, r.severity, r.message) for r in ix.diagnostics.collect()]
+    assert len(got) == 8 and all(p == "a.ts" and s == "warning" for p, s, _ in got) and ("a.ts", "warning", "cannot find module: ./none0") in got
+    assert corpus_of(ix).failed == 0
+
+
+def test_a_provider_changes_the_order_or_nothing(spark):
+    import time
+
+    from graphloom.operators.semantic import refine
+
+    ranked = spark.createDataFrame([(f"f{i:02d}", i + 1, 100.0 - i, ["r"]) for i in range(40)], "path string, rank int, final double, reasons array<string>")
+    last_first = lambda task, sent: [{"path": x["path"], "score": i / len(sent)} for i, x in enumerate(sent)]
+    out, said = refine(ranked, "t", last_first, weight=0.35)
+    assert said == {"status": "applied", "candidates": 36}
+    order = [r.path for r in out.orderBy("rank").collect()]
+    assert sorted(order) == sorted(f"f{i:02d}" for i in range(40)) and order[36:] == [f"f{i}" for i in range(36, 40)]
+    want = sorted(range(36), key=lambda i: (-(0.65 * (1 - i / 35) + 0.35 * i / 36), i))
+    assert order[:36] == [f"f{i:02d}" for i in want]
+    for bad, error in ((lambda t, s: s[:-1], "ValueError"), (lambda t, s: [{"path": x["path"], "score": 2} for x in s], "ValueError"), (lambda t, s: 1 / 0, "ZeroDivisionError"), (lambda t, s: time.sleep(1), "timeout")):
+        same, said = refine(ranked, "t", bad, timeout_ms=200)
+        assert said == {"status": "fallback", "error": error} and same is ranked
+
+
+def test_scip_round_trip(spark, index, tmp_path):
+    from graphloom.sources import scip
+
+    n = scip.write_scip(index, f"{tmp_path}/index.scip")
+    assert n == 3 and scip.inspect_scip(f"{tmp_path}/index.scip") == {"documents": 3, "occurrences": 4, "symbols": 4, "languages": {"Go": 2, "TypeScript": 1}}
+    doc = next(bytes(r.message) for r in scip.documents(index).collect() if r.path == "a.go")
+    first = next(v for f, v in scip.fields(doc) if f == 2)
+    inner = dict(scip.fields(first))
+    assert list(inner[1]) == [2, 5, 8] and inner[2] == b"scip-graphloom . . . `a.go`/One()." and inner[3] == 1
+    assert scip.descriptor("x", "*Service", "Run") == "scip-graphloom . . . x/Service#Run()."
+
+
+def test_service_reads_the_log(spark, tmp_path):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from graphloom.serve import serve
+
+    log = []
+    rec = Recorder(log.append, "a" * 64)
+    for _ in range(3):
+        with rec.request("status"):
+            pass
+    rows = spark.createDataFrame([tuple(r[k] for k in ("event_id", "request_id", "trace_id", "repository_id", "event_type", "ts", "payload")) for r in log], "event_id long, request_id string, trace_id string, repository_id string, event_type string, ts string, payload string").withColumn("ts", F.to_timestamp("ts"))
+    te.append_events(rows, f"file://{tmp_path}/log")
+    server = serve(spark, f"file://{tmp_path}/log")
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path: json.loads(urlopen(f"http://127.0.0.1:{server.server_port}{path}").read())
+    try:
+        assert get("/status") == {"ok": True, "events": 6}
+        page = get("/requests?size=2")
+        assert len(page["requests"]) == 2 and page["next"]
+        rest = get(f"/requests?size=2&cursor={page['next']}")
+        assert len({r["request_id"] for r in page["requests"] + rest["requests"]}) == 3 and rest["next"] is None
+        one = get(f"/requests/{log[0]['request_id']}")
+        assert [x["event_type"] for x in one["events"]] == ["request_started", "request_completed"]
+        assert get("/metrics")["success"] == 3 and get("/effects")["measured"] == 0
+        for path, method, code in (("/none", "GET", 404), ("/status", "POST", 405), ("/requests?size=x", "GET", 400)):
+            with pytest.raises(HTTPError) as e:
+                urlopen(Request(f"http://127.0.0.1:{server.server_port}{path}", method=method))
+            assert e.value.code == code
+    finally:
+        server.shutdown()
