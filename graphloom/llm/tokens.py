@@ -23,7 +23,7 @@ from .util import materialize, scratch_path, tasks_for
 
 #: Ids of one file at most (but for a longer document), held in memory while it is written.
 FILE_IDS = 2_000_000
-_CACHE = 1_000_000  # pieces a worker keeps: some 210 MB
+_CACHE = 800_000  # pieces a worker keeps: some 170 MB
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 
 
