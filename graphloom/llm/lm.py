@@ -18,7 +18,7 @@ WEIGHT = 8.0
 #: The key of the start sign; words hold no space.
 START = np.uint64(xxhash.xxh64_intdigest(b" "))
 #: Tokens of one pack, and mean keys of one range of keys.
-PACK, RANGE = 1_000_000, 2_000_000
+PACK, RANGE = 750_000, 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
