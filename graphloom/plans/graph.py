@@ -56,13 +56,24 @@ def bfs_branch_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.frontier.filter("reason = 'branch_limit' and hop = 0").select("flow_id", "node_id", "omitted")
 
 
-@query()  # the queue's order under a binding node limit has no SQL form; tests hold it against a plain queue
+def _queue_sql(starts: tuple[str, ...], hops: int, branch: int, nodes: int, least: int) -> str:
+    """The queue's order under a node limit, level by level: new nodes by their first (parent's visit, edge's rank)."""
+    first = " union all ".join(f"select '{s}' as flow_id, '{s}' as node_id, 1 as visit, 0 as hop" for s in starts)
+    parts = [EDGES_SQL, f"e as (select src as a, dst as b, rn from (select *, row_number() over (partition by src order by {_TYPE}, {_CONF} desc, edge_id) as rn from edges where {_CONF} >= {least} and confidence <> 'unresolved') where rn <= {branch})", f"s0 as ({first})"]
+    for h in range(1, hops + 1):
+        parts.append(f"c{h} as (select l.flow_id, e.b as node_id, min(l.visit * 1000 + e.rn) as k from s{h - 1} l join e on e.a = l.node_id where l.hop = {h - 1} and not exists (select 1 from s{h - 1} x where x.flow_id = l.flow_id and x.node_id = e.b) group by 1, 2)")
+        parts.append(f"l{h} as (select c.flow_id, c.node_id, n + row_number() over (partition by c.flow_id order by k) as visit, {h} as hop from c{h} c join (select flow_id, max(visit) as n from s{h - 1} group by 1) m using (flow_id) qualify visit <= {nodes})")
+        parts.append(f"s{h} as (select * from s{h - 1} union all select * from l{h})")
+    return f"with {', '.join(parts)} select flow_id, node_id, hop::int as hop, visit::int as visit from s{hops}"
+
+
+@query(_queue_sql(FORWARD, 4, 10, 40, 2))
 def bfs_node_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark, sf_dir, FORWARD, max_hops=4, branch_limit=10, node_limit=40).visited
 
 
 _VISITED = _bfs_sql(FORWARD, "src", "dst", 2, 4, 2).removeprefix("with recursive ")
-_FLOW_SQL = f"""with recursive {_VISITED.replace("select flow_id, node_id, min(hop)::int as hop from r group by 1, 2", "select flow_id, node_id, hop from v").replace("r(flow_id, node_id, hop) as", "r(flow_id, node_id, hop) as").rsplit("select flow_id, node_id, hop from v", 1)[0].rstrip()},
+_FLOW_SQL = f"""with recursive {_VISITED.replace("select flow_id, node_id, min(hop)::int as hop from r group by 1, 2", "select flow_id, node_id, hop from v").rsplit("select flow_id, node_id, hop from v", 1)[0].rstrip()},
 v as (select flow_id, node_id, min(hop) as hop from r group by 1, 2),
 n as (select src as node_id, sum((confidence = 'unresolved')::int) as u, sum((confidence = 'inferred')::int) as below, sum((confidence in ('static', 'exact'))::int) as ok from edges group by 1),
 f as (select v.flow_id, count(*) as nodes, sum(least(coalesce(u, 0), 4)) as unresolved, sum(coalesce(below, 0) + (coalesce(ok, 0) > 4)::int + case when hop = 2 then least(coalesce(ok, 0), 4) else 0 end) as frontier from v left join n using (node_id) group by 1)
@@ -253,3 +264,18 @@ def describe_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = edges(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(*tr.edge_order())))
     return ranked.filter("rn <= 3").select(F.col("src").alias("node_id"), "edge_id", "rn")
+
+
+@query(_queue_sql(FORWARD, 2, 4, 1000, 2).rsplit(" select flow_id", 1)[0] + ", up as (select node_id, hop, flow_id from s2) select flow_id, (count(*))::bigint as nodes, (count(*) - 1)::bigint as steps, sum((split_part(node_id, ':', 1) = 'part')::int)::bigint as parts from up group by 1")
+def flow_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows as rows of a manifest: what they hold, told from the gathered arrays."""
+    ix = _index(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    c = SimpleNamespace(symbols=ix.symbols.select("symbol_id", F.col("name").alias("qualified_name"), F.col("path").alias("file_path"), "line_start"), entries=ix.entries, routes=ix.routes.withColumn("symbol_id", none))
+    from ..operators.nodes import describe
+
+    e = stored_edges(spark, sf_dir)
+    t = tr.traverse(e, _starts(spark, FORWARD), max_hops=2, branch_limit=4, node_limit=1000)
+    rows = tr.flow_rows(t, e, describe(t.visited, c))
+    parts = F.size(F.filter("nodes", lambda n: n["kind"] == "part"))
+    return rows.select("flow_id", F.size("nodes").cast("long").alias("nodes"), F.coalesce(F.size("steps"), F.lit(0)).cast("long").alias("steps"), parts.cast("long").alias("parts"))

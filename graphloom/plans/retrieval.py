@@ -145,3 +145,57 @@ def reserved_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = retrieve.Group("manifest", "urgent", 1, F.col("k"), F.lit(True), False)
     found = retrieve.pool(r, [group], 10)  # one place and five that others may hold
     return found.select("path", F.concat(F.lit("["), F.array_join(F.array_sort(F.transform(F.map_keys("places"), lambda x: x.cast("string"))), ", "), F.lit("]")).alias("groups"))
+
+
+_WORDS = ["the", "Ent", "x-1"]
+
+
+@query("with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents) select doc_id, (3.0 * (list_contains(w, 'the')::int + list_contains(w, 'ent')::int + list_contains(w, 'x1')::int))::double as score from t")
+def exact_token_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("doc_id", text.exact_token_score(F.col("text"), _WORDS, 3.0).alias("score"))
+
+
+_LEX = ["api", "an", "test"]
+_LEX_SQL = " + ".join(f"case when contains(lower(path), '{t}') then 8.0 else 0.0 end + case when contains(lower(text), '{t}') then 2.0 else 0.0 end + case when len(string_split(lower(text), '{t}')) > 2 then 1.0 else 0.0 end" for t in _LEX)
+
+
+@query(f"with {FILES_SQL} select doc_id, (case when doc_id % 10 = 0 then 6.0 else 0.0 end + {_LEX_SQL} + case when regexp_matches(regexp_extract(lower(path), '[^/]*$'), 'test|spec|acceptance') then 3.0 else 0.0 end)::double as score from files order by score desc, doc_id limit 40")
+def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best by lexical score, ties as the candidates came."""
+    scored = files(spark, sf_dir).select("doc_id", text.lexical_score(F.col("path"), F.col("text"), _LEX, F.col("doc_id") % 10 == 0).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(40)
+
+
+@query("select case when p >= 0.8 then 'must_read' when p >= 0.4 then 'maybe_read' else 'skip' end as verdict, count(*) as n from (select (c_custkey % 100) / 100.0 as p from customer) group by 1")
+def classify_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "customer").select(((F.col("c_custkey") % 100) / 100).alias("p"))
+    return p.groupBy(text.classify_score(F.col("p"), 0.8, 0.4).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_SURFACE = expand_query("api packages")
+_API = "path_tokens as (select path, not is_test as code, stem, tokens, lower(path) as low from (select path, regexp_matches(path, '(^|/)(test|tests|__tests__|acceptance)(/|$)') or regexp_matches(path, '(^|[._-])(test|spec)([._-]|$)') or regexp_matches(path, '_test\\.go$') as is_test, split_part(regexp_extract(" + _SHOWN + ", '[^/]*$'), '.', 1) as stem, regexp_extract_all(" + _SHOWN + ", '[a-z0-9]+') as tokens from files))"
+_ALIAS = " + ".join(f"case when stem = '{t}' then 24.0 when list_contains(tokens, '{t}') then 9.0 else 0.0 end" for t in ("api", "route", "router", "handler", "endpoint"))
+
+
+@query(
+    f"with {FILES_SQL}, {_API}, r as (select path, 'path' as channel, ({_score('low', _SURFACE.terms, 2.0)})::double as score from path_tokens where code union all select path, 'developer_intent', least(30.0, {_ALIAS})::double from path_tokens where code union all select path, 'manifest', (case when ends_with(path, '/package.json') then 20.0 + least(6.0, {_score('low', _SURFACE.focus(), 2.0)}) else 0.0 end)::double from path_tokens where code) select channel, path, score from r where score > 0"
+)
+def path_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("is_test", paths.is_test_path(F.col("path")))
+    return retrieve.path_hits(f, _SURFACE, "api packages").select("channel", "path", "score")
+
+
+_TESTS = expand_query("check the cli test list")
+
+
+@query(
+    f"with {FILES_SQL}, {_API}, t as (select f.path, f.text, lower(f.path) as low, stem, tokens, regexp_extract_all(lower(substr(f.text, 1, 24576)), '[a-z0-9]+') as words from path_tokens p join files f using (path) where not code) select * from (select path, least(48.0, least(30.0, "
+    + " + ".join(f"case when stem = '{t}' then 24.0 when list_contains(tokens, '{t}') then 9.0 else 0.0 end" for t in ("cli", "command", "commandline", "cmd"))
+    + ") + "
+    + " + ".join(f"case when list_contains(words, '{t}') then 6.0 else 0.0 end" for t in ("cli", "command", "commandline", "cmd"))
+    + f" + least(18.0, {_score('low', _TESTS.focus(), 3.0)} + {_score('substr(text, 1, 24576)', _TESTS.focus(), 1.0)}))::double as score from t) where score > 0"
+)
+def direct_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("is_test", paths.is_test_path(F.col("path")))
+    found = retrieve.path_hits(f, _TESTS, "check the cli test list")
+    return found.filter("channel = 'direct_test'").select("path", "score")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_likely_source
+from ..functions.text import stable_hash
 
 MAX_BYTES = 4_194_304
 
@@ -57,7 +58,7 @@ def feature_definitions(spark: SparkSession, folder: str) -> DataFrame:
         raw = spark.read.text(f"{folder}/*.json", wholetext=True)
     got = raw.select(F.from_json("value", FEATURE).alias("f")).select("f.*").filter("id is not null and name is not null and description is not null")
     got = got.withColumn("steps", F.coalesce("steps", F.from_json(F.lit("[]"), "array<struct<order:int,action:string,symbol_id:string,file_path:string>>"))).withColumn("invariants", F.coalesce("invariants", F.array().cast("array<string>")))
-    return got.withColumn("definition_hash", F.sha2(F.to_json(F.struct("description", "id", "invariants", "name", "steps")), 256)).withColumnRenamed("id", "feature_id")
+    return got.withColumn("definition_hash", stable_hash(*[(c, F.col(c)) for c in ("id", "name", "description", "steps", "invariants")])).withColumnRenamed("id", "feature_id")
 
 
 def project_aliases(path: str) -> dict:
