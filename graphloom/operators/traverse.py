@@ -114,7 +114,7 @@ def flow_summary(t: Traversal) -> DataFrame:
     return t.stats.agg(F.count("*").alias("flows"), F.sum(whole.cast("long")).alias("complete"), F.sum((~whole).cast("long")).alias("partial"), F.sum("nodes").alias("nodes"), F.sum("steps").alias("steps"), F.sum("unresolved").alias("unresolved"))
 
 
-def closure(pairs: DataFrame, starts: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(pairs: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(start, node, depth): everything reached from starts (node) along pairs (src, dst), cycles cut by what is seen."""
     seen = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
     level = seen

@@ -81,11 +81,12 @@ _LANG = "lang as (select path, case when ends_with(path, '.ts') then 'typescript
 
 
 @query(
-    f"with recursive {FILES_SQL}, {_LANG}, st as (select path, case when doc_id % 31 = 3 then 'changed' else 'fresh' end as state from files), imp as (select b.path as from_file, a.path as to_file from files a join files b on b.doc_id = a.doc_id + 7), up(path) as (select st.path from st join lang using (path) where state = 'changed' and language = 'typescript' union select from_file from up join imp on to_file = up.path) select path from st where state = 'changed' union select path from up"
+    f"with recursive {FILES_SQL}, {_LANG}, st as (select path, case when doc_id % 31 = 3 then 'changed' else 'fresh' end as state from files), imp as (select b.path as from_file, a.path as to_file from files a join files b on a.doc_id = b.doc_id // 2 and b.doc_id > 1), up(path) as (select st.path from st join lang using (path) where state = 'changed' and language = 'typescript' union select from_file from up join imp on to_file = up.path) select path from st where state = 'changed' union select path from up"
 )
 def pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).select("doc_id", "path")
     states = f.select("path", F.when(F.col("doc_id") % 31 == 3, "changed").otherwise("fresh").alias("state"))
     language = F.when(F.col("path").endswith(".ts"), "typescript").when(F.col("path").endswith(".go"), "go").otherwise("text")
-    imports = f.select((F.col("doc_id") + 7).alias("doc_id"), F.col("path").alias("to_file")).join(f.withColumnRenamed("path", "from_file"), "doc_id").select("from_file", "to_file")
+    users = f.filter("doc_id > 1").select(F.col("path").alias("from_file"), F.floor(F.col("doc_id") / 2).alias("doc_id"))
+    imports = users.join(f.withColumnRenamed("path", "to_file"), "doc_id").select("from_file", "to_file")
     return fr.pending(states, f.select("path", language.alias("language")), imports)

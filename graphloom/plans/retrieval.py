@@ -118,16 +118,16 @@ def feature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.feature_scores(f, _EXP).select("feature_id", "score")
 
 
-_FACT = expand_query("blush lace red", {"lace": ["lace"]})
+_FACT = expand_query("small bolt red", {"bolt": ["bolt"]})
 
 
-@query(f"select * from (select p_partkey, case when ({_score('v', ['lace'], 24.0)}) > 0 then {_score('v', ['lace'], 24.0)} + {_score('v', _FACT.terms, 10.0)} else 0.0 end::double as score from (select p_partkey, concat('GET /', p_name) as v from part)) where score > 0")
+@query(f"select * from (select p_partkey, case when ({_score('v', ['bolt'], 24.0)}) > 0 then {_score('v', ['bolt'], 24.0)} + {_score('v', _FACT.terms, 10.0)} else 0.0 end::double as score from (select p_partkey, concat('GET /', p_name) as v from part)) where score > 0")
 def fact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("GET /"), "p_name").alias("v"))
     return v.select("p_partkey", retrieve.fact_score(F.col("v"), _FACT, retrieve.ROUTE_WEIGHTS).alias("score")).filter("score > 0")
 
 
-_SYM = expand_query("steel small")
+_SYM = expand_query("widget small")
 
 
 @query(f"with s as (select p_partkey as symbol_id, {_score('p_name', _SYM.terms, 14.0)} + {_score('p_type', _SYM.terms, 12.0)} + {_score('p_brand', _SYM.terms, 6.0)} as score from part) select symbol_id, score::double as score from s where score > 0")
@@ -185,17 +185,17 @@ def path_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.path_hits(f, _SURFACE, "api packages").select("channel", "path", "score")
 
 
-_TESTS = expand_query("check the cli test list")
+_TESTS = expand_query("check the api test list")
 
 
 @query(
     f"with {FILES_SQL}, {_API}, t as (select f.path, f.text, lower(f.path) as low, stem, tokens, regexp_extract_all(lower(substr(f.text, 1, 24576)), '[a-z0-9]+') as words from path_tokens p join files f using (path) where not code) select * from (select path, least(48.0, least(30.0, "
-    + " + ".join(f"case when stem = '{t}' then 24.0 when list_contains(tokens, '{t}') then 9.0 else 0.0 end" for t in ("cli", "command", "commandline", "cmd"))
+    + " + ".join(f"case when stem = '{t}' then 24.0 when list_contains(tokens, '{t}') then 9.0 else 0.0 end" for t in ("api", "route", "router", "handler", "endpoint"))
     + ") + "
-    + " + ".join(f"case when list_contains(words, '{t}') then 6.0 else 0.0 end" for t in ("cli", "command", "commandline", "cmd"))
+    + " + ".join(f"case when list_contains(words, '{t}') then 6.0 else 0.0 end" for t in ("api", "route", "router", "handler", "endpoint"))
     + f" + least(18.0, {_score('low', _TESTS.focus(), 3.0)} + {_score('substr(text, 1, 24576)', _TESTS.focus(), 1.0)}))::double as score from t) where score > 0"
 )
 def direct_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).withColumn("is_test", paths.is_test_path(F.col("path")))
-    found = retrieve.path_hits(f, _TESTS, "check the cli test list")
+    found = retrieve.path_hits(f, _TESTS, "check the api test list")
     return found.filter("channel = 'direct_test'").select("path", "score")
