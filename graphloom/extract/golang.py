@@ -34,6 +34,18 @@ def _types(text: str) -> list[str]:
     return out + ["?"] * waiting
 
 
+def _named(text: str) -> list[tuple[str, str]]:
+    """(name, type) of a parameter list whose parameters have names."""
+    parts, out, waiting = split_list(text), [], []
+    for p in parts:
+        name, _, kind = p.strip().partition(" ")
+        waiting.append(name)
+        if kind.strip():
+            out += [(w, kind.strip()) for w in waiting]
+            waiting = []
+    return out
+
+
 def _results(code: str, at: int) -> tuple[list[str], int]:
     """Result types after a parameter list, and where they end."""
     m = re.compile(r"\s*").match(code, at)
@@ -66,6 +78,7 @@ def facts(path: str, text: str) -> list[dict]:
         stop = close_of(code, brace) if brace >= 0 else after
         sid = f"go:{path}::{receiver + '.' if receiver else ''}{name}"
         row = {"fact": "symbol", "name": name, "ref": sid, "owner": receiver, "line_start": lines.of(m.start()), "line_end": lines.of(stop), "extra": f"({','.join(params)})({','.join(results)})"}
+        out += [{"fact": "param", "owner": sid, "name": n, "ref": kind, "extra": how} for how, pairs in (("receiver", [(var, receiver)] if var else []), ("parameter", _named(code[m.end() : end]))) for n, kind in pairs]
         names = {}
         for c in _CALL.finditer(code, brace, stop):
             if c.group(1) not in BUILTIN:

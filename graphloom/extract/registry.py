@@ -10,7 +10,7 @@ from . import golang, script
 # How sure an analyzer is of what it says.
 CAPABILITIES = ("unsupported", "heuristic", "static", "exact")
 FIELDS = ("fact", "name", "ref", "owner", "line_start", "line_end", "extra", "doc", "doc_source", "hash", "meaning")
-FACTS = ("symbol", "call", "import", "dynamic_import", "reexport", "reexport_all", "binding", "export", "package", "field", "iface_method")
+FACTS = ("symbol", "call", "import", "dynamic_import", "reexport", "reexport_all", "binding", "export", "package", "field", "iface_method", "param")
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ def _script(language: str) -> Callable[[str, str], list[dict]]:
 
 
 BUILTIN = {
-    "go": Analyzer("go", "2", "static", golang.facts),
+    "go": Analyzer("go", "3", "static", golang.facts),
     "typescript": Analyzer("script", "2", "static", _script("typescript")),
     "javascript": Analyzer("script", "2", "static", _script("javascript")),
     "vue": Analyzer("vue", "2", "static", script.vue_facts),

@@ -194,12 +194,17 @@ def relate(files: DataFrame, found: Facts) -> Index:
     entries = entries.unionByName(mains)
     objects = cut(near(found.objects, ["operation", "object_name"]).withColumn("object_type", F.lit("table")))
 
-    # a handler: the method of the owner's receiver, else a unique simple name among functions and methods of Go
+    # a handler `x.Show`: x is the receiver of the function around it, or a parameter of it, and Show a method of its type; else a unique
+    # simple name among functions and methods of Go
     tail, dotted = F.substring_index("handler_ref", ".", -1), F.col("handler_ref").contains(".")
     every = one(symbols.filter("language = 'go'"), ["name"], "a")
-    handled = server.withColumn("name", tail).withColumn("base", F.when(dotted, F.col("owner_type"))).join(by_method, ["scope", "base", "name"], "left").join(every, "name", "left")
-    handler = F.when(F.col("n_m") == 1, F.col("t_m")).when(F.col("n_a") == 1, F.col("t_a"))
-    handled = handled.filter("handler_ref is not null").select("node_id", "file_path", "line", "handler_ref", handler.alias("handler_symbol_id"))
+    held = facts.filter("fact = 'param'").select(F.col("owner").alias("symbol_id"), F.col("name").alias("var"), _base(F.col("ref")).alias("base"), F.col("extra").alias("held_by")).dropDuplicates(["symbol_id", "var"])
+    handled = server.withColumn("name", tail).withColumn("var", F.when(dotted, F.substring_index("handler_ref", ".", 1))).join(held, ["symbol_id", "var"], "left")
+    handled = handled.join(by_method, ["scope", "base", "name"], "left").join(every, "name", "left")
+    typed = F.col("base").isNotNull() & (F.col("n_m") == 1)
+    handler = F.when(typed, F.col("t_m")).when(F.col("n_a") == 1, F.col("t_a"))
+    why = F.when(typed & (F.col("held_by") == "receiver"), "method_receiver_type").when(typed, "receiver_parameter_type").when(F.col("n_a") == 1, "unique_symbol_name").when(F.col("n_a") > 1, "handler_not_unique").otherwise("receiver_not_resolved")
+    handled = handled.filter("handler_ref is not null").select("node_id", "file_path", "line", "handler_ref", handler.alias("handler_symbol_id"), why.alias("resolution"))
     scoped = _in_scope(entries.withColumnRenamed("file_path", "path"), packages)
     started = scoped.withColumn("name", F.when(~dotted, F.col("handler_ref"))).join(by_name, ["scope", "name"], "left").select("node_id", F.col("path").alias("file_path"), "line", "entry_kind", "entry_name", "symbol_id", "handler_ref", F.when(F.col("n_s") == 1, F.col("t_s")).alias("handler_symbol_id"))
     started = cut(started)

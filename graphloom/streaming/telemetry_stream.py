@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +35,16 @@ def judged(events: DataFrame, started: str, ended: tuple[str, ...], keep: str =
             return
         opened, over, n = state.get if state.exists else (0, 0, 0)
         rows = pd.concat(list(batches)).sort_values("event_id")
-        out = []
-        for event, kind in zip(rows.event_id, rows.event_type, strict=True):
-            start = kind == started
-            if not opened and not start:
-                out.append((event, key[0], "before_start"))
-                continue
-            verdict = "after_end" if over else "started_twice" if start and opened else "too_many" if n >= most else "accepted"
-            out.append((event, key[0], verdict))
-            opened, over, n = opened + start, over + (kind in ended), n + 1
+        start, end = (rows.event_type == started).to_numpy(), rows.event_type.isin(ended).to_numpy()
+        before = lambda marks, first: first + np.cumsum(marks) - marks  # what stood before each row
+        starts = before(start.astype(np.int64), opened)
+        counted = (starts > 0) | start
+        overs, places = before((end & counted).astype(np.int64), over), before(counted.astype(np.int64), n)
+        verdict = np.select([~counted, overs > 0, start & (starts > 0), places >= most], ["before_start", "after_end", "started_twice", "too_many"], "accepted")
+        opened, over, n = opened + start.sum(), over + (end & counted).sum(), n + counted.sum()
         state.update((int(opened), int(over), int(n)))
         state.setTimeoutTimestamp(int(rows.ts.max().timestamp() * 1000) + days)
-        yield pd.DataFrame(out, columns=["event_id", "request_id", "verdict"])
+        yield pd.DataFrame({"event_id": rows.event_id, "request_id": key[0], "verdict": verdict})
 
     marked = events.withWatermark("ts", "2 hours").select("event_id", "ts", "request_id", "event_type")
     return marked.groupBy("request_id").applyInPandasWithState(judge, "event_id long, request_id string, verdict string", "opened long, over long, n long", "append", GroupStateTimeout.EventTimeTimeout)

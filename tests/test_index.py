@@ -141,3 +141,16 @@ def test_path_aliases_of_the_nearest_settings(spark):
     assert said["svc/api/api.go", "st.Gone"] == "go_types_target_unindexed" and said["web/inner/lost.ts", "@lib/tools"] == "external_or_untracked_module"
     proof = {(r.type, r.to_node_id): r.evidence for r in ix.edges.collect()}
     assert proof["call", "symbol:go:svc/store/store.go::Fetch"].resolution == "go_types_object"
+
+
+def test_handlers_by_what_holds_them(spark):
+    files = {
+        "web/api.go": 'package web\n\ntype A struct{}\n\ntype B struct{}\n\nfunc (a *A) Show() {}\n\nfunc (b *B) Show() {}\n\nfunc (a *A) Mount(r *Router) {\n\tr.GET("/a", a.Show)\n}\n\nfunc Wire(r *Router, x, b *B) {\n\tr.GET("/b", b.Show)\n\tr.GET("/n", none.Show)\n}\n',
+    }
+    got, ix = edges_of(spark, files)
+    proof = {(e.from_node_id, e.to_node_id): e.evidence.resolution for e in ix.edges.filter("type = 'route_handler'").collect()}
+    assert proof == {
+        ("route:server:GET:/a", "symbol:go:web/api.go::*A.Show"): "method_receiver_type",
+        ("route:server:GET:/b", "symbol:go:web/api.go::*B.Show"): "receiver_parameter_type",
+        ("route:server:GET:/n", "ref:route_handler:none.Show"): "handler_not_unique",
+    }

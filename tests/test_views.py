@@ -50,7 +50,7 @@ def test_public_index_is_checked(spark, index, tmp_path):
 def test_whole_export(spark, index, tmp_path):
     features = spark.createDataFrame([("f", "valid"), ("g", "stale")], "feature_id string, status string")
     said = export.export_index(index, f"file://{tmp_path}/all", features)
-    assert said["counts"]["symbols"] == 4 and said["feature_status"] == {"valid": 1, "stale": 1} and set(said["parser_versions"]) == {"go-2", "script-2"}
+    assert said["counts"]["symbols"] == 4 and said["feature_status"] == {"valid": 1, "stale": 1} and set(said["parser_versions"]) == {"go-3", "script-2"}
     rows = [json.loads(x.value) for x in spark.read.text(f"file://{tmp_path}/all/files").collect()]
     assert [r["path"] for r in rows] == ["a.go", "b.go", "c.ts"] and "text" not in rows[0]
 
