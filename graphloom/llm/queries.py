@@ -65,7 +65,7 @@ with w as (
   select row_number() over () as r, doc_id, source, coalesce(text, '') as t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
   from documents),
-l as (select r, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from w),
+l as (select r, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines from w),
 g as (select r, i, array_to_string(words[i:i + 4], ' ') as g
       from (select r, words, unnest(range(1, len(words) - 3)) as i from w)),
 g2 as (select r, i, count(*) over (partition by r, g) as c from g),
