@@ -108,7 +108,7 @@ _EXP = expand_query(_TASK)
 
 
 @query(
-    f"with f as (select s_suppkey as feature_id, concat(s_name, case when s_suppkey % 4 = 0 then ' Order' else '' end) as name, case when s_suppkey % 3 = 0 then 'the list of refunds' else 'none' end as description, case when s_suppkey % 5 = 0 then ['orders stay', 'x'] else [] end as invariants, case when s_suppkey % 2 = 0 then 'order' else 'see' end as action from supplier), s as (select feature_id, {_score('name', _EXP.terms, 12.0)} + {_score('description', _EXP.terms, 8.0)} + list_sum(list_concat([0.0], list_transform(invariants, lambda v: {_score('v', _EXP.terms, 5.0)}))) + {_score('action', _EXP.terms, 5.0)} as score from f) select feature_id, score::double as score from s where score > 0 order by score desc, feature_id limit 3"
+    f"with f as (select s_suppkey as feature_id, concat(s_name, case when s_suppkey % 4 = 0 then ' Order' else '' end) as name, case when s_suppkey % 3 = 0 then 'the list of refunds' else 'none' end as description, case when s_suppkey % 5 = 0 then ['orders stay', 'x'] else [] end as invariants, case when s_suppkey % 2 = 0 then 'order' else 'see' end as action from supplier), s as (select feature_id, {_score('name', _EXP.terms, 12.0)} + {_score('description', _EXP.terms, 8.0)} + list_sum(list_concat([0.0], [{_score('v', _EXP.terms, 5.0)} for v in invariants])) + {_score('action', _EXP.terms, 5.0)} as score from f) select feature_id, score::double as score from s where score > 0 order by score desc, feature_id limit 3"
 )
 def feature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")

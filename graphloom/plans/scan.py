@@ -146,7 +146,7 @@ def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(tree).edges.select("type", "from_node_id", "to_node_id", "confidence")
 
 
-@query("select p_partkey, list_transform(['a', 'b'], lambda x: x)::varchar as names, concat('map<', p_size, ', list>') as kind_b from part")
+@query("select p_partkey, ['a', 'b']::varchar as names, concat('map<', p_size, ', list>') as kind_b from part")
 def parse_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a: number = f(1, 2), ...b?: map<"), F.col("p_size").cast("string"), F.lit(", list> ")).alias("v"))
     p = text.parse_params(F.col("v"))
