@@ -1,4 +1,4 @@
-"""Near-dedup by texts: MinHash bands give candidates, five-word shingle sets decide."""
+"""Near-dedup by texts: SimHash links and MinHash bands give candidates, five-word shingle sets decide."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .simhash import fingerprint, fingerprint_links
 from .util import materialize, small, tasks_for, text_or_empty
 
 SHINGLE = 5
@@ -62,12 +63,28 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
     return _mix((_FOLD * (low.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [band_keys(shingle_set(t.as_py())) for t in b.column(2)]
-        flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
+        fps, keys = np.empty(b.num_rows, dtype=np.uint64), np.empty((b.num_rows, BANDS), dtype=np.int64)
+        for k, t in enumerate(b.column(2)):
+            text = t.as_py()
+            fps[k], keys[k] = fingerprint(text), band_keys(shingle_set(text))
         ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, flat)], ["th", "doc_id", "bands"])
+        bands = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), bands], ["th", "doc_id", "fp", "bands"])
+
+
+def simhash_links(marks: DataFrame) -> DataFrame:
+    """th, least: links that connect all texts whose fingerprints are linked, by the buckets and pivot tables of op7.
+
+    Texts of one fingerprint are linked to the least of them, and of each link between fingerprints the least texts are.
+    """
+    fps = materialize(marks.groupBy("fp").agg(F.min("th").alias("least"), F.max("th").alias("most")), "fingerprints")
+    shared = small(materialize(fps.filter("least < most").select("fp", "least"), "sharedfps"))
+    same = marks.select("th", "fp").join(shared, "fp").filter("th > least").select("th", "least").distinct()
+    ends = fingerprint_links(fps.select("fp")).select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    ends = small(materialize(ends, "fplinks"))
+    return same.unionByName(fps.join(ends, "fp").groupBy("a", "b").agg(F.max("least").alias("th"), F.min("least").alias("least")).select("th", "least"))
 
 
 class Kept:
@@ -140,17 +157,18 @@ def _round(texts: DataFrame) -> DataFrame:
 def repeated_texts(docs: DataFrame) -> DataFrame:
     """th (hash of the text) of every text that is like one that is kept.
 
-    Texts of one group (joined by shared bands, in chains) are taken by least doc_id, nulls last, then hash; each is
-    kept if it is unlike all kept ones. So no two kept texts that share a band
+    Candidates are the links of SimHash (fingerprints at most 4 bits apart, all of them) and, for the alike texts beyond those bits, shared
+    MinHash bands. Texts of one group (joined by either, in chains) are taken by least doc_id, nulls last, then hash; each is
+    kept if it is unlike all kept ones. So no two kept texts that are linked or share a band
     are alike, and each other text is like a kept one. A group that is too large for one task goes in rounds: its first rows are judged, and
     all others, dealt to many tasks, are held against those kept of them; what is unlike is left for the next round.
     """
     cols = [F.xxhash64(text_or_empty()).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), "text"]
-    table = materialize(docs.select(*cols).mapInArrow(_bands, "th long, doc_id long, bands array<long>"), "bands")
-    rows = table.select("th", F.posexplode("bands").alias("band", "key"))
+    marks = materialize(docs.select(*cols).mapInArrow(_marks, "th long, doc_id long, fp long, bands array<long>"), "marks")
+    rows = marks.select("th", F.posexplode("bands").alias("band", "key"))
     met = rows.groupBy("band", "key").agg(F.min("th").alias("least"), F.max("th").alias("most")).filter("least < most")
     met = materialize(met.select("band", "key", "least"), "metbands")
-    links = rows.join(small(met), ["band", "key"]).filter("th > least").select("th", "least").distinct()
+    links = rows.join(small(met), ["band", "key"]).filter("th > least").select("th", "least").distinct().unionByName(simhash_links(marks))
     nodes = materialize(connected_components(links), "textgroups").withColumnsRenamed({"node": "th", "component": "grp"})
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("order")
     wanted = docs.select(*cols).join(small(nodes), "th")

@@ -75,3 +75,36 @@ def test_null_and_equal_ids_lose_no_text(spark):
     rows = [(None, texts[k], "s") for k in range(4)] + [(1, texts[4], "s"), (1, texts[5], "s"), (2, texts[6], "s"), (None, texts[6], "s"), (None, texts[7], "s"), (None, texts[7], "t")]
     got = [(r.doc_id, r.text) for r in neardup.near_dedup(docs(spark, rows)).collect()]
     assert sorted(t for _, t in got) == sorted(texts) and (2, texts[6]) in got
+
+
+def test_fingerprint_links_bring_candidates(spark):
+    """Similar texts that share no band, 4 fingerprint bits apart or fewer, go too; linked texts that are unlike stay."""
+    rows = []
+    for k in (165143, 180339):
+        w = prose(k, 13).split()
+        a, b = " ".join(w), " ".join(["x", *w[1:]])
+        x, y = (neardup.shingle_set(t) for t in (a, b))
+        assert neardup.similar(x, y) and not (neardup.band_keys(x) == neardup.band_keys(y)).any()
+        assert (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4
+        rows += [(k, a, "s"), (k + 1, b, "s")]
+    w = prose(9100, 23).split()  # repeats outweigh the ends in the fingerprint, but not among different runs
+    u, v, x, y = w[:5], w[5:11], w[11:17], w[17:]
+    rows += [(1, " ".join(u * 30 + v * 30 + x), "s"), (2, " ".join(u * 30 + v * 30 + y), "s")]
+    got = neardup.near_dedup(docs(spark, rows)).collect()
+    assert sorted(r.text for r in got) == brute(rows)
+    assert {165143, 180339} <= {r.doc_id for r in got} and not {165144, 180340} & {r.doc_id for r in got}
+    fps = [simhash.fingerprint(t) for _, t, _ in rows[-2:]]
+    assert (fps[0] ^ fps[1]).bit_count() <= 4 and {1, 2} <= {r.doc_id for r in got}
+
+
+def test_links_of_texts_match_brute_force(spark):
+    """Texts of one fingerprint and of linked ones are connected just as fingerprints at most 4 bits apart connect them."""
+    signed = [5, 5, 5, 5 ^ 15, 5 ^ 15 ^ 240, 5 ^ (31 << 20), -1, -1 ^ 7, 1023 << 40]
+    rows = [(100 - k, k, fp) for k, fp in enumerate(signed)] * 2
+    got = neardup.simhash_links(spark.createDataFrame(rows, "th long, doc_id long, fp long")).collect()
+    assert all(r.th > r.least for r in got)
+    groups = {t: {t} for t, _, _ in rows}
+    for r in got:
+        one = groups[r.th] | groups[r.least]
+        groups |= dict.fromkeys(one, one)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(range(96, 101)), frozenset([95]), frozenset([93, 94]), frozenset([92])}
