@@ -154,13 +154,14 @@ def _totals(packs: DataFrame, counts: Callable[[Pack], tuple[np.ndarray, np.ndar
     """pack, part, keys, data: for each pack and range of keys, the whole corpus's counts (2, n) of the pack's keys, in their order.
 
     The first row of a range, of pack -1, holds the number of its different keys. A pack sends each of its keys once to the
-    key's range; the number of ranges grows with the tokens, so that a range stays of one size.
+    key's range; the number of ranges grows with the tokens, so that a range stays of one size, and each is a task of its own.
     """
     edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, *data in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for i in range(b.num_rows):
+                k, *data = (c[i].as_py() for c in b.columns)
                 keys, c = counts(_unpack(*data))
                 at = np.r_[0, np.searchsorted(keys, edges), len(keys)]
                 some = np.flatnonzero(np.diff(at))
@@ -195,7 +196,7 @@ def _totals(packs: DataFrame, counts: Callable[[Pack], tuple[np.ndarray, np.ndar
 
     schema = "pack long, part long, data binary, counts binary"
     sent = packs.select("pack", "hits", "lengths", "words", "tokens").mapInArrow(cut, schema)
-    return sent.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(add, "pack long, part long, keys long, data binary")
+    return sent.repartitionById(ranges, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(add, "pack long, part long, keys long, data binary")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -211,7 +212,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     packs = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack, _PACKED), "packs")
-    n = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, written = packs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.shiftright("pack", 32)) + 1, F.lit(1))).first()
     packs, n_target = _with_hits(packs, targets)
     tokens, ranges = np.array([[n], [n_target]], dtype=np.float64), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
     scale = n_target / n if n and n_target else 1.0
@@ -253,6 +254,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     none = [F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in cols]
     parts = [t.filter("pack >= 0").select("pack", F.lit(k).alias("kind"), "part", "data", *none) for k, t in enumerate((words, pairs))]
     whole = packs.select("pack", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("binary").alias("data"), *cols)
-    rows = parts[0].unionByName(parts[1]).unionByName(whole).repartition(ranges, "pack")
+    # packs are numbered by the task that wrote them and their turn there; by turns, then tasks, they are dealt evenly
+    turn = F.col("pack").bitwiseAND(F.lit(2**32 - 1)) * written + F.shiftright("pack", 32)
+    rows = parts[0].unionByName(parts[1]).unionByName(whole).repartitionById(ranges, F.pmod(turn, F.lit(ranges)).cast("int"))
     rows = rows.sortWithinPartitions("pack", "kind", "part").select("kind", "data", *cols)
     return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, ce_diff double")

@@ -1,6 +1,9 @@
 """Every word and pair counts for itself, beyond any fixed vocabulary."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 from graphloom.llm import lm
 from helpers import docs, plain, plain_losses, prose
 
@@ -37,3 +40,20 @@ def test_a_second_copy_shows(spark, monkeypatch):
         monkeypatch.setattr(lm, "_with_hits", with_hits)
         check(rows, target, got)
         assert min(got[3]["ce_diff"], got[100]["ce_diff"]) > max(r["ce_diff"] for k, r in got.items() if k not in (3, 100)) + 0.5
+
+
+def test_ranges_and_packs_are_dealt_evenly(spark, monkeypatch):
+    """A task holds what it reads at once: one range of keys, and of as many packs as tasks one."""
+    rows = [(k, prose(k, 100), "s") for k in range(96)]
+    monkeypatch.setattr(lm, "RANGE", 850)  # 96 * 101 tokens: 12 ranges
+    d, target = docs(spark, rows, partitions=12), spark.createDataFrame([(1,), (7,)], "doc_id long")
+    totals, seen = lm._totals, []
+    monkeypatch.setattr(lm, "_totals", lambda *a: seen.append(totals(*a)) or seen[-1])
+    scored = lm.cross_entropy_difference(d, target)
+    got = {r["doc_id"]: r for r in plain(scored)}
+    check(rows, {1, 7}, got)
+    for t in seen:
+        tasks = t.select("part", F.spark_partition_id().alias("task")).distinct().collect()
+        assert len(tasks) == 12 == len({r.task for r in tasks}) == len({r.part for r in tasks})
+    docs_ = Counter(r.task for r in scored.select(F.spark_partition_id().alias("task")).collect())
+    assert sorted(docs_.values()) == [8] * 12
