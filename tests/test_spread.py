@@ -5,7 +5,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.extract import facts
+from graphloom.functions import text
 from graphloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,19 @@ def test_requests_with_marks_and_constants(spark):
     got = sorted(tuple(r) for r in facts.client_requests(rows, ["id"]).collect())
     want = [("ANY", "/k", 3), ("GET", "/k", 1), ("GET", "/k/x/{param}", 2)]
     assert got == [(i, *w) for i in (1, 2) for w in want]
+
+
+@tables
+@pytest.mark.parametrize("name", ["parse_params", "identifier_bytes"])
+def test_signatures_of_one_row_group_are_dealt(spark, name):
+    assert f"RoundRobinPartitioning({2 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan(catalog.queries()[name](spark, SF))
+
+
+def test_parameters_are_cut_by_tokens(spark):
+    signs = ["a: number = f(1, 2), ...b?: map<x, list> ", "", None, "x", ")a, b: (c, d) => e", "a: {b: c,\nd}, , e=[1,2]"]
+    df = spark.createDataFrame([(s,) for s in signs], "s string").select("s", text.parse_params(F.col("s")).alias("p"))
+    got = [None if r.p is None else [tuple(x) for x in r.p] for r in df.collect()]
+    assert got[:4] == [[("a", "number"), ("b", "map<x, list>")], [], None, [("x", None)]]
+    assert [[tuple(x) for x in r.p] for r in spark.createDataFrame([("a: T0, b: T1",)], "s string").select(text.parse_params(F.col("s")).alias("p")).collect()] == [[("a", "T0"), ("b", "T1")]]
+    assert got[4:] == [[(")a", None), ("b", "(c"), ("d) => e", None)], [("a", "{b: c,\nd}"), ("e", None)]]
+    assert "split(" not in plan(df)  # no step for each character
