@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut
+from .spread import IDS, spread
 
 # Edge types in the order in which a node's edges are followed, and ranks of confidence.
 TYPE_ORDER = ("entry_handler", "api_request", "route_handler", "call", "db_read", "db_write", "page_api", "test_of", "import")
@@ -128,7 +129,8 @@ def closure(pairs: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"))
+    """Ends of each node, counted in tasks whose number follows the edges: a task holds its nodes, of a hub one row."""
+    ends = spread(edges.select(F.explode(F.array("src", "dst")).alias("node_id")), IDS, "node_id")
     return ends.groupBy("node_id").agg(F.count("*").alias("degree"))
 
 

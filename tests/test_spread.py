@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.extract import facts
 from graphloom.functions import text
+from graphloom.operators.spread import tasks_for
 from graphloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,18 @@ def test_parameters_are_cut_by_tokens(spark):
     assert [[tuple(x) for x in r.p] for r in spark.createDataFrame([("a: T0, b: T1",)], "s string").select(text.parse_params(F.col("s")).alias("p")).collect()] == [[("a", "T0"), ("b", "T1")]]
     assert got[4:] == [[(")a", None), ("b", "(c"), ("d) => e", None)], [("a", "{b: c,\nd}"), ("e", None)]]
     assert "split(" not in plan(df)  # no step for each character
+
+
+def test_tasks_follow_the_bytes(spark):
+    few, many = (tasks_for(spark.range(n), 1 << 20) for n in (10_000_000, 100_000_000))
+    assert 70 < few < 90 and 9.9 < many / few < 10.1
+    assert tasks_for(spark.range(10), 1 << 20) == 2 * spark.sparkContext.defaultParallelism
+
+
+def dealt(df, *columns):
+    return [c for c in columns if not re.search(rf"hashpartitioning\({c}[^)]*\), REPARTITION_BY_NUM", re.sub(r"#\d+L?", "", plan(df)))]
+
+
+@tables
+def test_degrees_are_counted_in_tasks_that_follow_the_edges(spark):
+    assert dealt(catalog.queries()["node_degree"](spark, SF), "a, b", "node_id") == []
