@@ -49,7 +49,7 @@ def _check(direction: str, hops: int, branch: int, nodes: int, least: str) -> No
             raise ValueError(f"{name} is 1 to {most}")
 
 
-def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward", max_hops: int = 3, branch_limit: int = 20, node_limit: int = 200, min_confidence: str = "static", edge_types: tuple[str, ...] | None = None) -> Traversal:
+def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward", max_hops: int = 3, branch_limit: int = 20, node_limit: int = 200, min_confidence: str = "static", edge_types: tuple[str, ...] | None = None, repeated: bool = False) -> Traversal:
     """Breadth-first walks from starts (flow_id, node_id), all flows at once, a level a round.
 
     A level is the frontier joined to the edge table: the frontier has node_limit rows a flow at most and goes
@@ -57,7 +57,7 @@ def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward",
     a node's edges the first branch_limit by (type, confidence, id) are followed; a partial top-k before the
     shuffle keeps hubs from gathering. Levels equal a queue: a new node is visited in the order of its
     first (parent's visit, edge rank). What isn't followed is reported: confidence_threshold, max_hops,
-    branch_limit, node_limit rows, and unresolved links.
+    branch_limit, node_limit rows, and unresolved links. repeated: an edge may stand in several rows; only those of a level are told apart.
     """
     _check(direction, max_hops, branch_limit, node_limit, min_confidence)
     here, there = ("src", "dst") if direction == "forward" else ("dst", "src")
@@ -72,7 +72,10 @@ def traverse(edges: DataFrame, starts: DataFrame, *, direction: str = "forward",
     rank = confidence_rank(F.col("confidence"))
     kind = F.when(F.col("confidence") == "unresolved", "unresolved").when(rank < CONFIDENCE[min_confidence], "below").otherwise("eligible")
     for hop in range(max_hops + 1):
-        met = usable.join(near(level.select("flow_id", "node_id", "visit")), "node_id").withColumn("kind", kind)
+        # the edges are read once a level; of these rows all else is made
+        touched = usable.join(near(level.select("node_id").distinct()), "node_id", "left_semi")
+        touched = cut(touched.distinct() if repeated else touched)
+        met = touched.join(near(level.select("flow_id", "node_id", "visit")), "node_id").withColumn("kind", kind)
         place = Window.partitionBy("flow_id", "node_id", "kind")
         ranked = met.withColumn("rn", F.row_number().over(place.orderBy(*edge_order())))
         some = ranked.filter(F.col("rn") <= branch_limit)
@@ -146,9 +149,12 @@ def flow_rows(t: Traversal, edges: DataFrame, described: DataFrame) -> DataFrame
     described: t.visited with kind, name, file_path, symbol_id, line. A flow has 1000 nodes at most, so its arrays are bounded; it is complete
     if nothing was left out and nothing is unresolved.
     """
-    proof = edges.select("edge_id", "evidence") if "evidence" in edges.columns else edges.select("edge_id", F.lit(None).cast("struct<file_path:string,line:int>").alias("evidence"))
     gather = lambda d, order, row, name: d.groupBy("flow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*row).alias("x")))), lambda r: r["x"]).alias(name))
-    steps = t.steps.join(proof, "edge_id", "left")
+    if "evidence" in edges.columns:
+        # of all edges only those walked meet the steps
+        steps = t.steps.join(edges.select("edge_id", "evidence").join(t.steps.select("edge_id").distinct(), "edge_id", "left_semi"), "edge_id", "left")
+    else:
+        steps = t.steps.withColumn("evidence", F.lit(None).cast("struct<file_path:string,line:int>"))
     nodes = gather(described, ["visit"], ["node_id", "hop", "kind", "name", "file_path", "symbol_id", "line"], "nodes")
     walked = gather(steps, ["visit"], ["edge_id", "type", "confidence", F.col("node_id").alias("from_node_id"), F.col("target").alias("to_node_id"), "hop", "evidence"], "steps")
     files = described.select("flow_id", "file_path").unionByName(steps.select("flow_id", F.col("evidence.file_path").alias("file_path"))).filter("file_path is not null")

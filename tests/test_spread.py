@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from graphloom.extract import facts
 from graphloom.functions import text
+from graphloom.operators.cut import cut
 from graphloom.operators.spread import tasks_for
 from graphloom.plans import catalog
+from graphloom.plans.adapter import edges
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -72,3 +74,27 @@ def dealt(df, *columns):
 @tables
 def test_degrees_are_counted_in_tasks_that_follow_the_edges(spark):
     assert dealt(catalog.queries()["node_degree"](spark, SF), "a, b", "node_id") == []
+
+
+@tables
+@pytest.mark.parametrize(("name", "columns"), [("edge_order_topk", ["a, b", "src"]), ("public_nodes", ["a, b", "id"])])
+def test_edges_are_ranked_and_told_apart_in_tasks_that_follow_them(spark, name, columns):
+    assert dealt(catalog.queries()[name](spark, SF), *columns) == []
+
+
+@tables
+def test_edges_for_a_walk_are_not_shuffled(spark):
+    rows = edges(spark, SF, once=False)
+    assert "Exchange" not in plan(rows) and rows.distinct().count() == edges(spark, SF).count()
+
+
+@tables
+@pytest.mark.parametrize("name", ["flow_summary", "flow_manifest"])
+def test_a_walk_writes_only_edges_it_touches(spark, name, monkeypatch):
+    from graphloom.operators import traverse
+
+    sizes = []
+    monkeypatch.setattr(traverse, "cut", lambda df: (lambda d: (sizes.append(d.count()), d)[1])(cut(df)))
+    monkeypatch.setattr("graphloom.plans.adapter.cut", lambda df: (lambda d: (sizes.append(d.count()), d)[1])(cut(df)))
+    catalog.queries()[name](spark, SF).collect()
+    assert 0 < max(sizes) < edges(spark, SF).count() // 10
